@@ -7,13 +7,16 @@ dominant cluster and found by later queries that list this cluster among their t
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dominant_cluster, round_half_even4, top_clusters
 from softseek.operators.joins import lookup_join
 from softseek.operators.ordering import carry_window, range_parts
-from softseek.operators.pairs import Rule, nearest_pairs
+from softseek.operators.pairs import Rule, Sizes, measure, with_best_match
 from softseek.session import materialize
 
 DEFAULT_THRESHOLD = 0.80
@@ -38,16 +41,18 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = DEFA
     then the earlier entry.
     """
     theta = F.coalesce("theta", F.lit(threshold)) if "theta" in queries.columns else F.lit(threshold)
-    lookups = queries.select(
-        F.col("seq").alias("q_id"), F.col("embedding").alias("q_vec"),
-        F.col("top_clusters").alias("q_buckets"), theta.alias("q_floor"),
+    lookups = queries.withColumns(
+        {"q_id": F.col("seq").cast("long"), "q_vec": F.col("embedding"), "q_buckets": F.col("top_clusters"), "q_floor": theta}
     )
     stored = entries.select(
         F.col("seq").alias("e_id"), F.col("embedding").alias("e_vec"), F.col("cluster_id").alias("e_bucket")
     )
-    found = nearest_pairs(lookups, stored, Rule(bucketed=True, floor=True, by_position=True))
-    matches = found.select(F.col("q_id").alias("seq"), F.col("e_id").alias("matched_seq"), F.col("score"))
-    return queries.join(matches, "seq", "left").withColumn("cache_hit", F.col("matched_seq").isNotNull())
+    matched = with_best_match(lookups, stored, Rule(bucketed=True, floor=True, by_position=True))
+    return (
+        matched.drop("q_id", "q_vec", "q_buckets", "q_floor")
+        .withColumnRenamed("e_id", "matched_seq")
+        .withColumn("cache_hit", F.col("matched_seq").isNotNull())
+    )
 
 
 def cache_store(entries: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,19 +121,12 @@ def _bucket(epoch, cluster):
     return F.shiftleft(epoch.cast("long"), 20) + cluster.cast("long")
 
 
-def _pairs(lookups: DataFrame, entries: DataFrame) -> DataFrame:
-    """Best earlier entry at or above the lookup's threshold."""
-    q = lookups.select(
-        F.col("seq").alias("q_id"), F.col("embedding").alias("q_vec"),
-        F.col("buckets").alias("q_buckets"), F.col("theta").alias("q_floor"),
-    )
-    e = entries.select(
-        F.col("seq").alias("e_id"), F.col("embedding").alias("e_vec"), F.col("home").alias("e_bucket")
-    )
-    rule = Rule(bucketed=True, earlier=True, floor=True, by_position=True)
-    return nearest_pairs(q, e, rule).select(
-        F.col("q_id").alias("seq"), F.col("e_id").alias("matched_seq"), "score"
-    )
+REPLAY_RULE = Rule(bucketed=True, earlier=True, floor=True, by_position=True)
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """Log rows as cache entries."""
+    return rows.select(F.col("q_id").alias("e_id"), F.col("q_vec").alias("e_vec"), F.col("home").alias("e_bucket"))
 
 
 def _candidates(log: DataFrame) -> DataFrame:
@@ -139,27 +137,27 @@ def _candidates(log: DataFrame) -> DataFrame:
     cluster), if it hit an entry they see that entry too. So one row per group is enough, and copies of a
     query collapse before anything is shuffled. Rows that would not find themselves are all kept.
     """
-    keys = ["epoch", "theta", "embedding", "buckets", "home"]
-    itself = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    finds_itself = (itself >= F.col("theta")) & F.array_contains("buckets", F.col("home"))
-    marked = log.withColumn("_own", F.when(finds_itself, F.lit(None)).otherwise(F.col("seq")))
-    return marked.groupBy(*keys, "_own").agg(F.min("seq").alias("seq")).drop("_own")
+    keys = ["q_floor", "q_vec", "q_buckets", "home"]
+    itself = F.aggregate("q_vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    finds_itself = (itself >= F.col("q_floor")) & F.array_contains("q_buckets", F.col("home"))
+    marked = log.withColumn("_own", F.when(finds_itself, F.lit(None)).otherwise(F.col("q_id")))
+    return marked.groupBy(*keys, "_own").agg(F.min("q_id").alias("q_id")).drop("_own")
 
 
 def _block_bounds(rows: DataFrame, count: int, first_block: int) -> list[tuple[int | None, int | None]]:
-    """Ranges of ``seq``, each ``BLOCK_GROWTH`` times the one before: few rounds for any log length."""
+    """Ranges of the log, each ``BLOCK_GROWTH`` times the one before: few rounds for any log length."""
     shares, size, done = [], first_block, first_block
     while done < count:
         shares.append(done / count)
         size *= BLOCK_GROWTH
         done += size
     # The position of the cuts does not affect the result, so approximate quantiles do.
-    cuts = sorted(set(int(c) for c in rows.approxQuantile("seq", shares, 0.001))) if shares else []
+    cuts = sorted(set(int(c) for c in rows.approxQuantile("q_id", shares, 0.001))) if shares else []
     edges = [None, *cuts, None]
     return list(zip(edges[:-1], edges[1:]))
 
 
-def _leaders(candidates: DataFrame, entries: DataFrame | None, first_block: int) -> DataFrame:
+def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int) -> DataFrame:
     """The candidates that the ordered log stores.
 
     A candidate is stored iff no stored one before it matches it: the lexicographically first maximal
@@ -168,40 +166,34 @@ def _leaders(candidates: DataFrame, entries: DataFrame | None, first_block: int)
     Shun (2012) show that few rounds are needed. Candidates that an earlier block's entries match leave
     before the rounds start, which is exact because hits are never stored.
     """
-    spark = candidates.sparkSession
-    columns = ["seq", "embedding", "home", "buckets", "theta"]
-    known = [entries.select("seq", "embedding", "home")] if entries is not None else []
-    found = []
-    for low, high in _block_bounds(candidates, candidates.count(), first_block):
-        rows = candidates.select(*columns)
-        rows = rows if low is None else rows.where(F.col("seq") > low)
-        rows = rows if high is None else rows.where(F.col("seq") <= high)
-        for stored in known:
-            rows = rows.join(_pairs(rows, stored), "seq", "left_anti")
+    total = measure(candidates, candidates.select(F.col("q_vec").alias("e_vec")), REPLAY_RULE)
+    n_before = before.count() if before is not None else 0
+    within = replace(total, entries=total.lookups)  # bounds: every round works on a part of these
+    decided = []
+    for low, high in _block_bounds(candidates, total.lookups, first_block):
+        rows = candidates if low is None else candidates.where(F.col("q_id") > low)
+        rows = rows if high is None else rows.where(F.col("q_id") <= high)
+        known = [_stored(d) for d in decided] + ([before] if before is not None else [])
         if known:
-            rows = materialize(rows, "undecided")
-        while True:
-            blocked = materialize(_pairs(rows, rows).select("seq"), "blocked")
-            new = materialize(rows.join(blocked, "seq", "left_anti"), "stored")
-            found.append(new)
-            if blocked.isEmpty():
-                break
-            rest = rows.join(blocked, "seq", "left_semi")
-            rows = materialize(rest.join(_pairs(rest, new), "seq", "left_anti"), "undecided")
-            if rows.isEmpty():
-                break
-        known = [_union(([entries.select("seq", "embedding", "home")] if entries is not None else [])
-                        + [f.select("seq", "embedding", "home") for f in found])]
-    if not found:
-        return spark.createDataFrame([], candidates.select("seq", "embedding", "home").schema)
-    return _union([f.select("seq", "embedding", "home") for f in found])
+            bound = replace(total, entries=total.lookups + n_before)
+            rows = _unmatched(rows, _union(known), bound)
+        while not rows.isEmpty():
+            probed = with_best_match(rows, _stored(rows), REPLAY_RULE, sizes=within)
+            probed = materialize(probed.drop("score").withColumnRenamed("e_id", "blocker"), "round")
+            new = probed.where("blocker is null").drop("blocker")
+            decided.append(new)
+            rows = _unmatched(probed.where("blocker is not null").drop("blocker"), _stored(new), within)
+    return _union([_stored(d) for d in decided]) if decided else _stored(candidates)
+
+
+def _unmatched(rows: DataFrame, entries: DataFrame, sizes: Sizes) -> DataFrame:
+    """The rows that no entry matches, as a table without lineage."""
+    matched = with_best_match(rows, entries, REPLAY_RULE, sizes=sizes)
+    return materialize(matched.where("e_id is null").drop("e_id", "score"), "undecided")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return reduce(DataFrame.unionByName, frames)
 
 
 def cache_replay(
@@ -218,27 +210,34 @@ def cache_replay(
     """
     theta = F.coalesce("theta", F.lit(threshold)) if "theta" in queries.columns else F.lit(threshold)
     epoch = F.col("epoch") if "epoch" in queries.columns else F.lit(0)
-    log = queries.select(
-        F.col("seq").cast("long").alias("seq"), "embedding",
-        theta.cast("double").alias("theta"), epoch.cast("long").alias("epoch"),
-        _bucket(epoch, F.col("dominant_cluster")).alias("home"),
-        F.transform("top_clusters", lambda c: _bucket(epoch, c)).alias("buckets"),
+    log = materialize(
+        queries.withColumns(
+            {
+                "q_id": F.col("seq").cast("long"),
+                "q_vec": F.col("embedding"),
+                "q_floor": theta.cast("double"),
+                "q_buckets": F.transform("top_clusters", lambda c: _bucket(epoch, c)),
+                "home": _bucket(epoch, F.col("dominant_cluster")),
+            }
+        ).drop("embedding"),
+        "queries",
     )
-    log = materialize(log, "queries")
     before = None
     if entries is not None:
         entry_epoch = F.col("epoch") if "epoch" in entries.columns else F.lit(0)
         before = entries.select(
-            F.col("seq").cast("long").alias("seq"), "embedding", _bucket(entry_epoch, F.col("cluster_id")).alias("home")
+            F.col("seq").cast("long").alias("e_id"), F.col("embedding").alias("e_vec"),
+            _bucket(entry_epoch, F.col("cluster_id")).alias("e_bucket"),
         )
     stored = materialize(_leaders(materialize(_candidates(log), "candidates"), before, first_block), "entries")
     cache = stored if before is None else before.unionByName(stored)
-    matches = _pairs(log.join(stored, "seq", "left_anti"), cache)
     return (
-        queries.join(matches, "seq", "left")
-        .withColumn("cache_hit", F.col("matched_seq").isNotNull())
+        with_best_match(log, cache, REPLAY_RULE)
+        .withColumn("embedding", F.col("q_vec"))
+        .withColumn("cache_hit", F.col("e_id").isNotNull())
+        .withColumn("matched_seq", F.col("e_id"))
         .withColumn("similarity", round_half_even4(F.col("score")))
-        .drop("score")
+        .select(*queries.columns, "cache_hit", "matched_seq", "similarity")
     )
 
 

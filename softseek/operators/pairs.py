@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAIR_SCHEMA = "q_id long, e_id long, pos int, score double"
 
@@ -267,6 +268,18 @@ class Sizes:
     max_k: int
     results: int  # bound on the rows found
 
+    def entries_fit(self, limit: int) -> bool:
+        return self.entries * (self.width + 16) <= limit
+
+    def lookups_fit(self, limit: int) -> bool:
+        return self.lookups * (self.width + 64) <= limit
+
+    @property
+    def tasks(self) -> int:
+        """Tasks that the arithmetic is worth."""
+        work = 2.0 * self.lookups * self.entries * self.width / 8
+        return max(1, int(min(self.lookups, self.entries, -(-work // TASK_FLOPS))))
+
 
 def measure(lookups: DataFrame, entries: DataFrame, rule: Rule) -> Sizes:
     """Row counts and vector width; the counts prune all columns but ``q_k``."""
@@ -295,13 +308,10 @@ def nearest_pairs(
     entries = entries.select(*(["e_id", "e_vec", "e_bucket"] if rule.bucketed else ["e_id", "e_vec"]))
 
     sizes = sizes or measure(lookups, entries, rule)
-    work = 2.0 * sizes.lookups * sizes.entries * sizes.width / 8
-    tasks = max(1, int(min(sizes.lookups, sizes.entries, -(-work // TASK_FLOPS))))
-
-    if sizes.entries * (sizes.width + 16) <= broadcast_bytes:
-        found = _entries_everywhere(_spread(lookups, "q_id", tasks), entries, rule, sizes.max_k)
-    elif sizes.lookups * (sizes.width + 64) <= broadcast_bytes:
-        found = _lookups_everywhere(lookups, _spread(entries, "e_id", tasks), rule, sizes.max_k)
+    if sizes.entries_fit(broadcast_bytes):
+        found = _entries_everywhere(_spread(lookups, "q_id", sizes.tasks), entries, rule, sizes.max_k)
+    elif sizes.lookups_fit(broadcast_bytes):
+        found = _lookups_everywhere(lookups, _spread(entries, "e_id", sizes.tasks), rule, sizes.max_k)
     else:
         found = _grid(lookups, entries, rule, sizes.max_k, max(1, block_bytes // max(sizes.width, 1)))
 
@@ -313,6 +323,48 @@ def nearest_pairs(
     return ranked
 
 
+def with_best_match(
+    df: DataFrame,
+    entries: DataFrame,
+    rule: Rule,
+    *,
+    sizes: Sizes | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``df``, which holds the lookup columns among others, plus ``e_id`` and ``score`` of its best entry.
+
+    Rows without a match keep nulls. While the entries fit the broadcast bound this is a pass over
+    ``df`` without any shuffle; otherwise the matches are joined back by ``q_id``.
+    """
+    assert rule.k == 1 and not rule.row_k
+    sizes = sizes or measure(df, entries, rule)
+    if not sizes.entries_fit(broadcast_bytes):
+        found = nearest_pairs(
+            df, entries, rule, sizes=sizes, broadcast_bytes=broadcast_bytes, block_bytes=block_bytes
+        )
+        return df.join(found.select("q_id", "e_id", "score"), "q_id", "left").select(*df.columns, "e_id", "score")
+
+    # Checked above: the entries fit the broadcast bound.
+    columns = ["e_id", "e_vec", "e_bucket"] if rule.bucketed else ["e_id", "e_vec"]
+    shared = df.sparkSession.sparkContext.broadcast(entries.select(*columns).toArrow())
+    schema = T.StructType([*df.schema.fields, T.StructField("e_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            n = batch.num_rows
+            eid, score, missing = np.zeros(n, np.int64), np.zeros(n), np.ones(n, dtype=bool)
+            if n and shared.value.num_rows:
+                block = block or Entries.of(shared.value, rule, 1)
+                found = _match(Lookups.of(batch, rule), block, rule, Found.none())
+                eid[found.row], score[found.row], missing[found.row] = found.eid, found.score, False
+            added = [pa.array(eid, pa.int64(), mask=missing), pa.array(score, pa.float64(), mask=missing)]
+            yield pa.RecordBatch.from_arrays(batch.columns + added, names=[*batch.schema.names, "e_id", "score"])
+
+    return _spread(df, "q_id", sizes.tasks).mapInArrow(task, schema)
+
+
 def _spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
     """Cut the streamed side into enough tasks for the arithmetic; small jobs stay as they are."""
     return df if tasks <= 1 else df.repartition(tasks, F.xxhash64(key))
