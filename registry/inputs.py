@@ -8,6 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from softseek.functions.vectors import l2_normalize
 from softseek.operators.cache import with_clusters
 from softseek.operators.clusters import centers_array, fcm_memberships
 
@@ -120,9 +121,8 @@ def pair_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     both = emb.join(nxt, "point_id")
     share = F.lit(0.3) + F.lit(0.1) * (F.col("point_id") % 8)
     mixed = F.zip_with("embedding", "_next", lambda a, b: a.cast("double") + share * b.cast("double"))
-    length = F.sqrt(F.aggregate("_mixed", F.lit(0.0), lambda acc, x: acc + x * x))
     blends = both.withColumn("_mixed", mixed).select(
-        (F.col("point_id") + 1_000_000).alias("point_id"), F.transform("_mixed", lambda x: x / length).alias("embedding")
+        (F.col("point_id") + 1_000_000).alias("point_id"), l2_normalize(F.col("_mixed")).alias("embedding")
     )
     all_vectors = emb.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(blends)
     queries = with_clusters(fcm_memberships(all_vectors, centers(spark, sf), FUZZINESS))

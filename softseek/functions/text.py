@@ -6,34 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The patterns must match exactly the text the cleaning rules name. They are written
-# for Java with Unicode classes (U) and "\n" as the only line end (d). The classes are widened to
-# what the rules call whitespace and word characters: \x1c-\x1f are spaces, all numbers are letters.
-SPACE = r"[\s\x1c-\x1f]"
-WORD = r"[\w\p{N}]"
+# for Java with Unicode classes (U) and "\n" as the only line end (d). What the rules call whitespace
+# is this list; what they call word characters is \w and every number.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_SET = r"\t\n\x0b\f\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{SPACE_SET}]"
+NON_SPACE = f"[^{SPACE_SET}]"
+LINE_SPACE = SPACE.replace(r"\n", "")
+WORD = r"[[a-zA-Z0-9_][\w\p{N}]]"
+ADDRESS_CHAR = r"[[a-zA-Z0-9_.+\-][\w\p{N}]]"
+INTRO_CHAR = rf"[[a-zA-Z0-9_,.<>@\-(){SPACE_SET}][\w\p{{N}}]]"
 WORD_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-LINE_SPACE = r"[[\s\x1c-\x1f]&&[^\n]]"
-NON_SPACE = r"[^\s\x1c-\x1f]"
 
 PGP_BLOCK = r"(?s)-----BEGIN PGP.*?-----END PGP[^-]*-----"
-SIGNATURE = rf"(?U)\n--{SPACE}*\n"
-REPLY_INTRO = rf"(?imUd)^In{SPACE}+article{SPACE}+.*?(?:writes?|wrote){SPACE}*:.*$"
-ATTRIBUTION = rf"(?imUd)^[\w\p{{N}}\s\x1c-\x1f,.<>@\-()]+(?:wrote|writes){SPACE}*:{SPACE}*$"
-QUOTED_LINE = rf"(?mUd)^{SPACE}*>+.*$"
-EMAIL = rf"(?U){WORD_EDGE}[\w\p{{N}}.+\-]+@[\w\p{{N}}\-]+(?:\.[a-zA-Z]{{2,}})+{WORD_EDGE}"
-DIVIDER = r"(?mUd)^[\s\x1c-\x1f\-=*#~+_|]{5,}$"
+SIGNATURE = rf"\n--{SPACE}*\n"
+REPLY_INTRO = rf"(?mUd)^(?i:In){SPACE}+(?i:article){SPACE}+.*?(?i:writes?|wrote){SPACE}*:.*$"
+QUOTED_LINE = rf"(?md)^{SPACE}*>+.*$"
+DIVIDER = rf"(?md)^[{SPACE_SET}\-=*#~+_|]{{5,}}$"
 BLANK_RUN = r"\n{3,}"
 SUBJECT_PREFIX = rf"(?iU)^{SPACE}*(?:Re|Fwd|AW){SPACE}*:{SPACE}*"
-SUBJECT_EDGE = r"\A[<>\"']+|[<>\"']+\z"
-OUTER_SPACE = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+SUBJECT_EDGE = "<>\"'"
+
+# "<intro characters> wrote:" at the end of a line, from the first line start it can begin at. Intro
+# characters include line ends but no colon, so only the run of them right before the colon matters.
+# A try begins where such a run begins or where the last match ended, and $1 is what is left of the
+# line there. Trying at every line start instead finds the same but rereads the run once per line.
+ATTRIBUTION = (
+    rf"(?mUd)(\G(?<=\n)|\A|(?:\G|(?<!{INTRO_CHAR}))[{INTRO_CHAR}&&[^\n]]*+\n)"
+    rf"{INTRO_CHAR}+(?i:wrote|writes){SPACE}*:{SPACE}*$"
+)
+ATTRIBUTION_END = rf"(?mUd)(?i:wrote|writes){SPACE}*:{SPACE}*$"
+
+# An address begins at the first word character of a run of address characters ($1 is what comes
+# before it in the run), or right where the previous address ended.
+EMAIL = (
+    rf"(?U)(?:\G(?<=[a-zA-Z])|(?<!{ADDRESS_CHAR})([.+\-]*+)(?={WORD})){ADDRESS_CHAR}++"
+    rf"@[\w\p{{N}}\-]+(?:\.[a-zA-Z]{{2,}})+{WORD_EDGE}"
+)
 # End of the fixed values.
 
-# Necessary conditions, cheap to test, for the expensive patterns above.
-ATTRIBUTION_END = rf"(?imUd)(?:wrote|writes){SPACE}*:{SPACE}*$"
-
 
 def strip_text(text: Column) -> Column:
     """Remove whitespace of every kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def strip_pgp(body: Column) -> Column:
@@ -49,7 +64,7 @@ def strip_reply_intro(body: Column) -> Column:
 
 
 def strip_attribution(body: Column) -> Column:
-    return F.regexp_replace(body, ATTRIBUTION, "")
+    return F.regexp_replace(body, ATTRIBUTION, "$1")
 
 
 def strip_quotes(body: Column) -> Column:
@@ -57,7 +72,7 @@ def strip_quotes(body: Column) -> Column:
 
 
 def strip_emails(body: Column) -> Column:
-    return F.regexp_replace(body, EMAIL, "")
+    return F.regexp_replace(body, EMAIL, "$1")
 
 
 def strip_dividers(body: Column) -> Column:
@@ -68,15 +83,22 @@ def collapse_blank(body: Column) -> Column:
     return strip_text(F.regexp_replace(body, BLANK_RUN, "\n\n"))
 
 
+def count_matches(text: Column, pattern: str) -> Column:
+    """Matches of a pattern that is never empty, in one pass over the text."""
+    return F.when(text.isNotNull(), F.size(F.split(text, pattern, -1)) - 1)
+
+
 def quote_ratio(body: Column) -> Column:
     """Quoted lines over non-blank lines; a body without a non-blank line counts as fully quoted."""
-    lines = F.regexp_count(body, F.lit(rf"(?mUd)^{LINE_SPACE}*{NON_SPACE}"))
-    quoted = F.regexp_count(body, F.lit(rf"(?mUd)^{LINE_SPACE}*>"))
-    return F.when(body.isNull(), None).otherwise(F.coalesce(F.try_divide(quoted, lines), F.lit(1.0)))
+    lines = count_matches(body, rf"(?md)^{LINE_SPACE}*{NON_SPACE}")
+    quoted = count_matches(body, rf"(?md)^{LINE_SPACE}*>")
+    return F.when(body.isNotNull(), F.coalesce(F.try_divide(quoted, lines), F.lit(1.0)))
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?U){NON_SPACE}+"))
+    """Whitespace-separated words: the gaps inside the stripped text, plus one."""
+    bare = strip_text(text)
+    return F.when(bare == "", 0).otherwise(count_matches(bare, f"{SPACE}+") + 1)
 
 
 def compose_text(subject: Column, body: Column) -> Column:
@@ -153,7 +175,7 @@ def header_fields(block: Column, names: tuple[str, ...]) -> Column:
 def clean_subject(subject: Column) -> Column:
     """Drop one reply prefix, blanks, then angle brackets and quotes at both ends; empty is null."""
     bare = strip_text(F.regexp_replace(strip_text(subject), SUBJECT_PREFIX, ""))
-    return F.nullif(F.regexp_replace(bare, SUBJECT_EDGE, ""), F.lit(""))
+    return F.nullif(F.trim(bare, F.lit(SUBJECT_EDGE)), F.lit(""))
 
 
 def parse_groups(newsgroups: Column) -> Column:

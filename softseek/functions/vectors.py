@@ -23,8 +23,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit vector in double precision; a zero vector stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), x.cast("double")))
+    # The length is repeated as an array: inside a lambda it would be computed once per element.
+    lengths = F.array_repeat(norm(a), F.size(a))
+    return F.zip_with(a, lengths, lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n), x.cast("double")))
 
 
 def top_clusters(memberships: Column, n: int = 2) -> Column:

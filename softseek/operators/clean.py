@@ -6,6 +6,8 @@ before the report.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,7 @@ from softseek.functions import text as tx
 MIN_WORDS = 20
 MAX_QUOTE = 0.70
 
-# Each step with a cheap necessary condition: rows that cannot match skip the pattern. Columns that
-# are referenced twice stay separate projections, so no step is evaluated more than once.
+# Each step with a cheap necessary condition: rows that cannot match skip the pattern.
 _STEPS = (
     (tx.strip_pgp, lambda c: c.contains("-----BEGIN PGP")),
     (tx.cut_signature, lambda c: c.contains("\n--")),
@@ -28,13 +29,21 @@ _STEPS = (
 )
 
 
-def clean_body(df: DataFrame, body: str = "body", out: str = "clean") -> DataFrame:
+def _gated(text: Column, step: Callable[[Column], Column], needed: Callable[[Column], Column]) -> Column:
+    """``step`` where ``needed`` holds. The text is bound once, as a lambda variable, so that a chain of
+    such steps stays linear in size when the optimizer substitutes columns."""
+    return F.transform(F.array(text), lambda t: F.when(needed(t), step(t)).otherwise(t))[0]
+
+
+def clean_text(body: Column) -> Column:
     """All noise removal steps in their fixed order."""
-    df = df.withColumn(out, F.col(body))
     for step, needed in _STEPS:
-        c = F.col(out)
-        df = df.withColumn(out, step(c) if needed is None else F.when(needed(c), step(c)).otherwise(c))
-    return df
+        body = step(body) if needed is None else _gated(body, step, needed)
+    return body
+
+
+def clean_body(df: DataFrame, body: str = "body", out: str = "clean") -> DataFrame:
+    return df.withColumn(out, clean_text(F.col(body)))
 
 
 def split_post(df: DataFrame) -> DataFrame:
@@ -85,8 +94,11 @@ def classify_docs(df: DataFrame, min_words: int = MIN_WORDS, max_quote: float =
 
 def preprocess(df: DataFrame, min_words: int = MIN_WORDS, max_quote: float = MAX_QUOTE) -> DataFrame:
     """The whole cleaning job: kept documents only."""
-    kept = classify_docs(df, min_words, max_quote).where("drop_reason is null")
-    return kept.drop("quote_ratio", "drop_reason")
+    # A filter on cleaned text is no use below the cleaning: pushed down it would clean every post
+    # twice. The partition id, always >= 0, makes the column one that filters are not pushed through.
+    reason = F.when(F.spark_partition_id() >= 0, F.col("drop_reason"))
+    marked = classify_docs(df, min_words, max_quote).withColumn("drop_reason", reason)
+    return marked.where("drop_reason is null").drop("quote_ratio", "drop_reason")
 
 
 def cleaning_report(classified: DataFrame) -> DataFrame:

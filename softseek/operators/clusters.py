@@ -179,7 +179,8 @@ def start_memberships(row_id: Column, k: int, seed: int) -> Column:
         F.sequence(F.lit(0), F.lit(k - 1)),
         lambda j: (F.pmod(F.xxhash64(row_id, j, F.lit(seed)), F.lit(1_000_003)) + 1) / F.lit(1_000_003.0),
     )
-    return F.transform(raw, lambda u: u / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    totals = F.array_repeat(F.aggregate(raw, F.lit(0.0), lambda a, b: a + b), k)
+    return F.zip_with(raw, totals, lambda u, total: u / total)
 
 
 def fcm_fit(

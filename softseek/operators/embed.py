@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from softseek.functions.text import truncate_text
-from softseek.functions.vectors import l2_normalize
 from softseek.operators.ordering import dense_index
 
 DIMENSIONS = 384
@@ -52,8 +51,19 @@ def embed_texts(
         out = model.transform(df.withColumn("_text", cut))
         unit = vector_to_array(F.col("_unit"), "float32")
         return out.withColumn("embedding", unit).drop("_text", "_tokens", "_counts", "_weights", "_unit")
-    predict = predict_batch_udf(model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn("embedding", l2_normalize(predict(cut)).cast("array<float>"))
+
+    def load():
+        predict = model()
+
+        def unit_vectors(texts: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(predict(texts), dtype=np.float64)
+            lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+            return (vectors / np.where(lengths > 0, lengths, 1.0)).astype(np.float32)
+
+        return unit_vectors
+
+    predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return df.withColumn("embedding", predict(cut))
 
 
 def assign_point_ids(df: DataFrame) -> DataFrame:

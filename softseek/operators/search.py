@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from softseek.functions.text import strip_text
 from softseek.operators.joins import HOT_ROWS, lookup_join
 from softseek.operators.pairs import Rule, measure, nearest_pairs
 from softseek.session import materialize
@@ -80,9 +81,9 @@ def knn_graph(vectors: DataFrame, n: int = 15) -> DataFrame:
 
 def result_block(rank: Column, category: Column, score: Column, subject: Column, text: Column) -> Column:
     """One hit as text: rank, category and score, subject, excerpt."""
-    shown = F.regexp_replace(F.substring(text, 1, EXCERPT_CHARS), "\n", " ")
+    shown = F.translate(F.substring(text, 1, EXCERPT_CHARS), "\n", " ")
     excerpt = F.concat(
-        F.regexp_replace(shown, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""),
+        strip_text(shown),
         F.when(F.length(text) > EXCERPT_CHARS, F.lit("...")).otherwise(F.lit("")),
     )
     return F.concat(
