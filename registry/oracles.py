@@ -172,15 +172,15 @@ TURNS = rf"""turns AS (SELECT conv_id * 1000 + turn AS seq,
 
 PAIRS = f"""{EMB},
 {CENTERS},
-both AS (SELECT a.point_id, a.v AS a, b.v AS b, 0.3::DOUBLE + 0.1::DOUBLE * (a.point_id % 8) AS s
+duo AS (SELECT a.point_id, a.v AS a, b.v AS b, 0.3::DOUBLE + 0.1::DOUBLE * (a.point_id % 8) AS s
   FROM emb a JOIN emb b ON b.point_id = a.point_id + 1),
-mixed AS (SELECT point_id, list_transform(list_zip(a, b), lambda p: p[1] + s * p[2]) AS m FROM both),
+mixed AS (SELECT point_id, list_transform(list_zip(a, b), lambda p: p[1] + s * p[2]) AS m FROM duo),
 blends AS (SELECT point_id + 1000000 AS point_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM mixed),
 points AS (SELECT point_id, v FROM emb UNION ALL SELECT * FROM blends),
 {weights('w', 'points')},
 {features('f', 'w')},
-pairs AS (SELECT point_id AS pair_id, 'unrelated' AS kind, point_id AS q1, point_id + 1 AS q2 FROM both
-  UNION ALL SELECT point_id + 1000000, 'paraphrase', point_id, point_id + 1000000 FROM both),
+pairs AS (SELECT point_id AS pair_id, 'unrelated' AS kind, point_id AS q1, point_id + 1 AS q2 FROM duo
+  UNION ALL SELECT point_id + 1000000, 'paraphrase', point_id, point_id + 1000000 FROM duo),
 feature AS (SELECT pair_id, kind, list_dot_product(p1.v, p2.v) AS raw_sim, f1.dom AS stored_cluster, list_contains(f2.top2, f1.dom) AS routed
   FROM pairs JOIN points p1 ON p1.point_id = q1 JOIN points p2 ON p2.point_id = q2
   JOIN f f1 ON f1.point_id = q1 JOIN f f2 ON f2.point_id = q2)"""

@@ -13,7 +13,7 @@ from softseek.functions import text as tx
 from softseek.functions import vectors as vx
 from softseek.operators import cache, clean, clusters, embed, search
 from softseek.plans import answer, evaluate
-from softseek.session import scratch_path
+from softseek.session import materialize, scratch_path
 from softseek.sources import docs, index, models, posts
 from softseek.streaming import cache_stream
 
@@ -436,9 +436,11 @@ def cache_replay_events(spark, sf):
 def cache_replay_stream(spark, sf):
     """The event log as a stream of files, in order, one file per micro-batch."""
     folder = scratch_path(spark, "stream")
-    log = src.event_log(spark, sf).drop("latency")
-    ordered = log.repartitionByRange(4, "seq").sortWithinPartitions("seq")
-    ordered.write.parquet(f"{folder}/log")
+    log = materialize(src.event_log(spark, sf).drop("latency"), "log")
+    cuts = [-1.0, *log.approxQuantile("seq", [0.2, 0.5, 0.7], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        part = log.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1)
+        part.write.mode("append").parquet(f"{folder}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     cache_stream.cache_replay_stream(stream, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
     return cache_stream.read_decisions(spark, f"{folder}/store").select(

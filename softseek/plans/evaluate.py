@@ -101,12 +101,12 @@ def latency_summary(log: DataFrame, warmup: int = 3, order: str = "seq", latency
     first = rows.orderBy("_order").limit(warmup).agg(F.max("_order").alias("_last")).withColumn("_one", F.lit(1))
     if warmup > 0:
         rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").where("_order > _last").select("_order", "_x")
-    placed = dense_index(rows, "_x", "_order", name="_at")
+    placed = dense_index(rows, "_x", "_order", name="_pos")
     totals = placed.agg(F.count("*").alias("n"), F.avg("_x").alias("avg_latency")).withColumn("_one", F.lit(1))
     spot = F.lit(0.95) * (F.col("n") - 1)
     totals = totals.withColumns({"_low": F.floor(spot), "_high": F.ceil(spot), "_share": spot - F.floor(spot)})
     near = (
-        placed.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").where("_at = _low or _at = _high")
+        placed.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").where("_pos = _low or _pos = _high")
         .groupBy("_one").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
     )
     return totals.join(near, "_one", "left").select(

@@ -18,8 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from softseek.operators.cache import DEFAULT_THRESHOLD, cache_replay, control_state
 from softseek.session import materialize
 
-_CONTROL = "epoch long, theta double"
-_ENTRY = "seq long, query string, embedding array<float>, cluster_id int, epoch long"
+_CONTROL = "epoch long, theta double, last_seq long"
 
 
 def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
@@ -43,15 +42,24 @@ def read_decisions(spark: SparkSession, store: str) -> DataFrame:
 def decide_batch(batch: DataFrame, batch_id: int, store: str, threshold: float = DEFAULT_THRESHOLD) -> None:
     """Decide one micro-batch and append its decisions, entries and control row."""
     spark = batch.sparkSession
-    epoch, theta, entries = 0, threshold, None
+    epoch, theta, last_seq, entries = 0, threshold, None, None
     if _exists(spark, f"{store}/control"):
         before = _earlier(spark, f"{store}/control", _CONTROL, batch_id).orderBy(F.desc("batch_id")).head(1)
-        epoch, theta = (before[0]["epoch"], before[0]["theta"]) if before else (epoch, theta)
+        if before:
+            epoch, theta, last_seq = before[0]["epoch"], before[0]["theta"], before[0]["last_seq"]
     if _exists(spark, f"{store}/entries"):
         # Entries of earlier epochs were flushed and cannot match any more.
-        entries = _earlier(spark, f"{store}/entries", _ENTRY, batch_id).where(F.col("epoch") == epoch)
+        vector = batch.schema["embedding"].dataType.simpleString()
+        schema = f"seq long, query string, embedding {vector}, cluster_id int, epoch long"
+        entries = _earlier(spark, f"{store}/entries", schema, batch_id).where(F.col("epoch") == epoch)
 
     state = materialize(control_state(batch, theta, epoch), "batch")
+    ends = state.agg(
+        F.min("seq").alias("first"), F.max("seq").alias("last_seq"),
+        F.max_by("epoch", "seq").alias("epoch"), F.max_by("theta", "seq").alias("theta"),
+    ).head()
+    if last_seq is not None and ends["first"] is not None and ends["first"] <= last_seq:
+        raise ValueError(f"row {ends['first']} arrived after row {last_seq}; a cache has one order")
     is_query = ~F.coalesce(F.col("is_flush"), F.lit(False)) & F.col("set_theta").isNull()
     decided = cache_replay(state.where(is_query).drop("is_flush", "set_theta"), threshold, entries)
     decided = materialize(decided, "decided")
@@ -61,10 +69,9 @@ def decide_batch(batch: DataFrame, batch_id: int, store: str, threshold: float =
         "seq", "query", "embedding", F.col("dominant_cluster").alias("cluster_id"), "epoch"
     )
     stored.write.mode("overwrite").parquet(f"{store}/entries/batch_id={batch_id}")
-    last = state.agg(F.max_by("epoch", "seq").alias("epoch"), F.max_by("theta", "seq").alias("theta"))
-    last = last.select(F.coalesce("epoch", F.lit(epoch)).alias("epoch"), F.coalesce("theta", F.lit(theta)).alias("theta"))
+    after = (epoch, theta, last_seq) if ends["first"] is None else (ends["epoch"], ends["theta"], ends["last_seq"])
     # Written last: a batch counts for later ones once its decisions and entries are complete.
-    last.write.mode("overwrite").parquet(f"{store}/control/batch_id={batch_id}")
+    spark.createDataFrame([after], _CONTROL).write.mode("overwrite").parquet(f"{store}/control/batch_id={batch_id}")
 
 
 def cache_replay_stream(
