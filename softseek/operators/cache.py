@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from softseek.functions.vectors import dominant_cluster, round_half_even4, top_clusters
 from softseek.operators.joins import lookup_join
 from softseek.operators.ordering import carry_window, range_parts
-from softseek.operators.pairs import Rule, Sizes, measure, with_best_match
+from softseek.operators.pairs import Rule, Sizes, with_best_match
 from softseek.session import materialize
 
 DEFAULT_THRESHOLD = 0.80
@@ -157,7 +157,7 @@ def _block_bounds(rows: DataFrame, count: int, first_block: int) -> list[tuple[i
     return list(zip(edges[:-1], edges[1:]))
 
 
-def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int) -> DataFrame:
+def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int, sizes: Sizes) -> DataFrame:
     """The candidates that the ordered log stores.
 
     A candidate is stored iff no stored one before it matches it: the lexicographically first maximal
@@ -166,16 +166,16 @@ def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int)
     Shun (2012) show that few rounds are needed. Candidates that an earlier block's entries match leave
     before the rounds start, which is exact because hits are never stored.
     """
-    total = measure(candidates, candidates.select(F.col("q_vec").alias("e_vec")), REPLAY_RULE)
+    total = candidates.count()
     n_before = before.count() if before is not None else 0
-    within = replace(total, entries=total.lookups)  # bounds: every round works on a part of these
+    within = replace(sizes, lookups=total, entries=total)  # bounds: every round works on a part of these
     decided = []
-    for low, high in _block_bounds(candidates, total.lookups, first_block):
+    for low, high in _block_bounds(candidates, total, first_block):
         rows = candidates if low is None else candidates.where(F.col("q_id") > low)
         rows = rows if high is None else rows.where(F.col("q_id") <= high)
         known = [_stored(d) for d in decided] + ([before] if before is not None else [])
         if known:
-            bound = replace(total, entries=total.lookups + n_before)
+            bound = replace(within, entries=total + n_before)
             rows = _unmatched(rows, _union(known), bound)
         while not rows.isEmpty():
             probed = with_best_match(rows, _stored(rows), REPLAY_RULE, sizes=within)
@@ -229,10 +229,13 @@ def cache_replay(
             F.col("seq").cast("long").alias("e_id"), F.col("embedding").alias("e_vec"),
             _bucket(entry_epoch, F.col("cluster_id")).alias("e_bucket"),
         )
-    stored = materialize(_leaders(materialize(_candidates(log), "candidates"), before, first_block), "entries")
+    first = log.select(F.size("q_vec").alias("d")).head(1)
+    sizes = Sizes(log.count(), 0, 8 * first[0]["d"] if first else 0, 1, 0)
+    candidates = materialize(_candidates(log), "candidates")
+    stored = materialize(_leaders(candidates, before, first_block, sizes), "entries")
     cache = stored if before is None else before.unionByName(stored)
     return (
-        with_best_match(log, cache, REPLAY_RULE)
+        with_best_match(log, cache, REPLAY_RULE, sizes=replace(sizes, entries=cache.count()))
         .withColumn("embedding", F.col("q_vec"))
         .withColumn("cache_hit", F.col("e_id").isNotNull())
         .withColumn("matched_seq", F.col("e_id"))
