@@ -81,6 +81,14 @@ def membership_matrix(x: np.ndarray, centers: np.ndarray, m: float) -> np.ndarra
     return u
 
 
+def _fit_memberships(x: np.ndarray, centers: np.ndarray, m: float) -> tuple[np.ndarray, np.ndarray]:
+    """Memberships while fitting, and distances. A row on a centre counts as very near to it, so no
+    centre loses all its weight."""
+    d = np.fmax(_distances(x, centers), np.finfo(np.float64).eps)
+    closeness = (d.min(axis=1, keepdims=True) / d) ** (2.0 / (m - 1.0))
+    return closeness / closeness.sum(axis=1, keepdims=True), d
+
+
 def _list_array(matrix: np.ndarray) -> pa.Array:
     n, d = matrix.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * d)
@@ -150,12 +158,12 @@ def _pass(points: DataFrame, k: int, m: float, centers: np.ndarray | None, previ
                 continue
             x = vector_matrix(batch.column("x")).astype(np.float64)
             start = vector_matrix(batch.column("start")) if use_start else None
-            u = start if centers is None else membership_matrix(x, centers, m)
-            um = u**m
+            u, d = (start, None) if centers is None else _fit_memberships(x, centers, m)
+            um = np.fmax(u, np.finfo(np.float64).eps) ** m
             if centers is not None:
-                before = start if previous is None else membership_matrix(x, previous, m)
+                before = start if previous is None else _fit_memberships(x, previous, m)[0]
                 change += float(((u - before) ** 2).sum())
-                objective += float((um * _distances(x, centers) ** 2).sum())
+                objective += float((um * d**2).sum())
             total = um.T @ x + (0 if total is None else total)
             weight = um.sum(axis=0) + (0 if weight is None else weight)
         if total is not None:

@@ -10,7 +10,8 @@ def read_posts(spark: SparkSession, root: str) -> DataFrame:
     """``category, doc_id, raw`` of every file exactly one level below a category folder.
 
     Malformed UTF-8 is replaced and line ends become ``\\n``. Files that cannot be read come back with a
-    null ``raw`` where the source reports them; names that begin with ``.`` or ``_`` are skipped by Spark.
+    null ``raw`` where the source reports them. Spark's file sources skip names that begin with ``.`` or
+    ``_`` and files without any byte; the latter would be dropped by the quality filter in any case.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
