@@ -44,7 +44,9 @@ def as_queries(index: DataFrame) -> DataFrame:
 
 
 def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr("source as category", "cast(doc_id as string) as doc_id", f"{RAW_POST} as raw")
+    """Documents as posts. The table is one small file; cleaning it should still use every core."""
+    docs = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
+    return docs.selectExpr("source as category", "cast(doc_id as string) as doc_id", f"{RAW_POST} as raw")
 
 
 def centers(spark: SparkSession, sf: str) -> np.ndarray:

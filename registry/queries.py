@@ -233,7 +233,7 @@ def assign_point_ids(spark, sf):
 
 @query
 def build_index(spark, sf):
-    kept = clean.preprocess(src.raw_posts(spark, sf))
+    kept = materialize(clean.preprocess(src.raw_posts(spark, sf)), "docs")
     built = embed.build_index(kept, embed.fit_text_model(kept))
     return built.select(
         "point_id", "doc_id", "category", "word_count", F.size("embedding").alias("dimensions"),

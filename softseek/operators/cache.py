@@ -20,7 +20,7 @@ from softseek.operators.pairs import Rule, Sizes, with_best_match
 from softseek.session import materialize
 
 DEFAULT_THRESHOLD = 0.80
-FIRST_BLOCK = 50_000
+FIRST_BLOCK = 100_000
 BLOCK_GROWTH = 4
 
 
@@ -166,9 +166,10 @@ def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int,
     Shun (2012) show that few rounds are needed. Candidates that an earlier block's entries match leave
     before the rounds start, which is exact because hits are never stored.
     """
-    total = candidates.count()
+    total, n_buckets = candidates.agg(F.count("*"), F.approx_count_distinct("home")).head()
     n_before = before.count() if before is not None else 0
-    within = replace(sizes, lookups=total, entries=total)  # bounds: every round works on a part of these
+    # bounds: every round works on a part of these
+    within = replace(sizes, lookups=total, entries=total, buckets=max(1, n_buckets))
     decided = []
     for low, high in _block_bounds(candidates, total, first_block):
         rows = candidates if low is None else candidates.where(F.col("q_id") > low)
@@ -234,8 +235,10 @@ def cache_replay(
     candidates = materialize(_candidates(log), "candidates")
     stored = materialize(_leaders(candidates, before, first_block, sizes), "entries")
     cache = stored if before is None else before.unionByName(stored)
+    n_e, n_buckets = cache.agg(F.count("*"), F.approx_count_distinct("e_bucket")).head()
+    sizes = replace(sizes, entries=n_e, buckets=max(1, n_buckets))
     return (
-        with_best_match(log, cache, REPLAY_RULE, sizes=replace(sizes, entries=cache.count()))
+        with_best_match(log, cache, REPLAY_RULE, sizes=sizes)
         .withColumn("embedding", F.col("q_vec"))
         .withColumn("cache_hit", F.col("e_id").isNotNull())
         .withColumn("matched_seq", F.col("e_id"))

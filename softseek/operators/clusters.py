@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import PythonException
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -319,7 +320,7 @@ def sweep_k(
                     "dominant_cluster", dominant_cluster(F.col("memberships"))
                 )
                 scored.append((k, silhouette(hard, "dominant_cluster", vector, row_id, sample, seed), model.iterations))
-            except ValueError:
+            except (ValueError, PythonException):
                 scored.append((k, None, None))
     finally:
         points.unpersist()

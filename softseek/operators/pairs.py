@@ -23,9 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,8 @@ PAIR_SCHEMA = "q_id long, e_id long, pos int, score double"
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
-TASK_FLOPS = 2e10
+MAX_BROADCAST_BUCKETS = 100_000
+TASK_FLOPS = 5e9
 CELLS_AT_ONCE = 4_000_000
 
 
@@ -267,6 +270,7 @@ class Sizes:
     width: int  # bytes of one vector in double precision
     max_k: int
     results: int  # bound on the rows found
+    buckets: int = 1  # about how many buckets share the entries
 
     def entries_fit(self, limit: int) -> bool:
         return self.entries * (self.width + 16) <= limit
@@ -277,17 +281,19 @@ class Sizes:
     @property
     def tasks(self) -> int:
         """Tasks that the arithmetic is worth."""
-        work = 2.0 * self.lookups * self.entries * self.width / 8
+        work = 2.0 * self.lookups * self.entries * self.width / 8 * min(1.0, 2.0 / self.buckets)
         return max(1, int(min(self.lookups, self.entries, -(-work // TASK_FLOPS))))
 
 
 def measure(lookups: DataFrame, entries: DataFrame, rule: Rule) -> Sizes:
-    """Row counts and vector width; the counts prune all columns but ``q_k``."""
+    """Row counts and vector width; the counts prune all columns but ``q_k`` and ``e_bucket``."""
     k = F.col("q_k") if rule.row_k else F.lit(rule.k)
     row = lookups.agg(F.count("*").alias("n"), F.max(k).alias("top"), F.sum(k).alias("all")).head()
-    n_e = entries.count()
+    buckets = F.approx_count_distinct("e_bucket") if rule.bucketed else F.lit(1)
+    n_e, n_buckets = entries.agg(F.count("*"), buckets).head()
     first = entries.select(F.size("e_vec").alias("d")).head(1)
-    return Sizes(row["n"], n_e, 8 * first[0]["d"] if first else 0, int(row["top"] or 0), int(row["all"] or 0))
+    width = 8 * first[0]["d"] if first else 0
+    return Sizes(row["n"], n_e, width, int(row["top"] or 0), int(row["all"] or 0), max(1, n_buckets))
 
 
 def nearest_pairs(
@@ -313,7 +319,7 @@ def nearest_pairs(
     elif sizes.lookups_fit(broadcast_bytes):
         found = _lookups_everywhere(lookups, _spread(entries, "e_id", sizes.tasks), rule, sizes.max_k)
     else:
-        found = _grid(lookups, entries, rule, sizes.max_k, max(1, block_bytes // max(sizes.width, 1)))
+        found = _grid(lookups, entries, rule, sizes, max(1, block_bytes // max(sizes.width, 1)))
 
     order = [F.desc("score"), *([F.asc("pos")] if rule.by_position else []), F.asc("e_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
@@ -347,7 +353,7 @@ def with_best_match(
 
     # Checked above: the entries fit the broadcast bound.
     columns = ["e_id", "e_vec", "e_bucket"] if rule.bucketed else ["e_id", "e_vec"]
-    shared = df.sparkSession.sparkContext.broadcast(entries.select(*columns).toArrow())
+    shared, token = df.sparkSession.sparkContext.broadcast(entries.select(*columns).toArrow()), uuid4().hex
     schema = T.StructType([*df.schema.fields, T.StructField("e_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +362,7 @@ def with_best_match(
             n = batch.num_rows
             eid, score, missing = np.zeros(n, np.int64), np.zeros(n), np.ones(n, dtype=bool)
             if n and shared.value.num_rows:
-                block = block or Entries.of(shared.value, rule, 1)
+                block = block or _shared_entries(token, shared, rule, 1)
                 found = _match(Lookups.of(batch, rule), block, rule, Found.none())
                 eid[found.row], score[found.row], missing[found.row] = found.eid, found.score, False
             added = [pa.array(eid, pa.int64(), mask=missing), pa.array(score, pa.float64(), mask=missing)]
@@ -365,6 +371,20 @@ def with_best_match(
     return _spread(df, "q_id", sizes.tasks).mapInArrow(task, schema)
 
 
+_ready: dict[str, Entries] = {}
+
+
+def _shared_entries(token: str, shared: Broadcast, rule: Rule, max_k: int) -> Entries:
+    """Broadcast entries, put in order once per Python worker rather than once per task.
+
+    ``token`` names the broadcast. Only the latest one is kept: a worker serves one stage at a time.
+    """
+    if token not in _ready:
+        _ready.clear()
+        _ready[token] = Entries.of(shared.value, rule, max_k)
+    return _ready[token]
+
+
 def _spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
     """Cut the streamed side into enough tasks for the arithmetic; small jobs stay as they are."""
     return df if tasks <= 1 else df.repartition(tasks, F.xxhash64(key))
@@ -372,13 +392,13 @@ def _spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
 
 def _entries_everywhere(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int) -> DataFrame:
     # Checked by the caller: the entries fit the broadcast bound.
-    shared = lookups.sparkSession.sparkContext.broadcast(entries.toArrow())
+    shared, token = lookups.sparkSession.sparkContext.broadcast(entries.toArrow()), uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
             if batch.num_rows and shared.value.num_rows:
-                block = block or Entries.of(shared.value, rule, max_k)
+                block = block or _shared_entries(token, shared, rule, max_k)
                 q = Lookups.of(batch, rule)
                 yield from _match(q, block, rule, Found.none()).batches(q.ids)
 
@@ -401,7 +421,7 @@ def _lookups_everywhere(lookups: DataFrame, entries: DataFrame, rule: Rule, max_
     return entries.mapInArrow(task, PAIR_SCHEMA)
 
 
-def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int, block_rows: int) -> DataFrame:
+def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, sizes: Sizes, block_rows: int) -> DataFrame:
     """Cut every bucket into blocks of ``block_rows`` lookups by ``block_rows`` entries.
 
     Each lookup is sent once per entry block of its bucket and the other way round. A cell therefore
@@ -414,7 +434,7 @@ def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int, block_
     else:
         q = lookups.withColumns({"q_pos": F.lit(0), "bucket": F.lit(0).cast("long")})
         e = entries.withColumn("bucket", F.lit(0).cast("long"))
-    sizes = (
+    counts = (
         q.groupBy("bucket").agg(F.count("*").alias("n_q"))
         .join(e.groupBy("bucket").agg(F.count("*").alias("n_e")), "bucket")
         .select(
@@ -423,16 +443,18 @@ def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int, block_
             F.ceil(F.col("n_e") / block_rows).cast("int").alias("e_blocks"),
         )
     )
+    if sizes.buckets <= MAX_BROADCAST_BUCKETS:  # three numbers per bucket; a hot bucket is not shuffled whole
+        counts = F.broadcast(counts)
     blocks = F.sequence(F.lit(0), F.col("e_blocks") - 1)
     q = (
-        q.join(sizes, "bucket")
+        q.join(counts, "bucket")
         .withColumn("q_block", F.pmod(F.xxhash64("q_id"), "q_blocks").cast("int"))
         .withColumn("e_block", F.explode(blocks))
         .drop("q_blocks", "e_blocks")
         .withColumn("q_bucket", F.col("bucket"))
     )
     e = (
-        e.join(sizes, "bucket")
+        e.join(counts, "bucket")
         .withColumn("e_block", F.pmod(F.xxhash64("e_id"), "e_blocks").cast("int"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
         .drop("q_blocks", "e_blocks")
@@ -444,7 +466,7 @@ def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int, block_
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], schema=_ARROW_SCHEMA)
         q_side = Lookups.of(left, rule)
-        found = _match(q_side, Entries.of(right, rule, max_k), rule, Found.none())
+        found = _match(q_side, Entries.of(right, rule, sizes.max_k), rule, Found.none())
         return pa.Table.from_batches(found.batches(q_side.ids), schema=_ARROW_SCHEMA)
 
     return q.groupBy(*cell).cogroup(e.groupBy(*cell)).applyInArrow(task, PAIR_SCHEMA)

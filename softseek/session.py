@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def local_session(cores: str = "8", name: str = "softseek") -> SparkSession:
@@ -56,3 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession, folder: str | Path) -> None:
+    """Give the executors a package folder, whatever their working directory; once per application."""
+    folder = Path(folder)
+    key = (spark.sparkContext.applicationId, str(folder))
+    if key in _shipped:
+        return
+    target = Path(tempfile.mkdtemp(prefix="softseek-code-")) / f"{folder.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(folder.rglob("*.py")):
+            archive.write(source, source.relative_to(folder.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(key)
