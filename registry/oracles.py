@@ -262,6 +262,18 @@ ORACLES: dict[str, str] = {
   count(*) FILTER (drop_reason = 'quoted') AS dropped_quoted, 0::BIGINT AS dropped_read_error FROM classified GROUP BY ROLLUP (category)""",
     ),
     "truncate_text": "SELECT doc_id, length(substr(text, 1, 4000))::INTEGER AS chars, md5(substr(text, 1, 4000)) AS digest FROM documents",
+    "embed_texts": rf"SELECT doc_id, 384::INTEGER AS dimensions, CASE WHEN regexp_matches(text, '[{W_IN}]') THEN 1.0::DOUBLE ELSE 0.0 END AS length FROM documents",
+    "embed_texts_network": f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 4000), '{NOT_S}+')) AS word FROM documents),
+counts AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM words GROUP BY 1, 2),
+lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM counts GROUP BY 1)
+SELECT doc_id, dim::INTEGER AS dim, round(coalesce(n / len, 0.0)::FLOAT::DOUBLE, 5) AS value FROM documents, (SELECT unnest(range(64)) AS dim)
+LEFT JOIN counts USING (doc_id, dim) LEFT JOIN lengths USING (doc_id)""",
+    "build_index": with_(
+        CLEAN,
+        f"""SELECT row_number() OVER (ORDER BY category, doc_id) - 1 AS point_id, doc_id, category, word_count, 384::INTEGER AS dimensions,
+  1.0::DOUBLE AS length FROM ({DOC_ROWS})""",
+    ),
+    "reduce_dims_full_rank": with_(EMB, "SELECT point_id, len(v)::INTEGER AS dimensions, round(sqrt(list_dot_product(v, v)), 6) AS length FROM emb"),
     "l2_normalize": with_(
         f"{EMB}, scaled AS (SELECT point_id, list_transform(v, lambda x: x * (point_id % 5)) AS s FROM emb)",
         """SELECT point_id, (pos - 1)::INTEGER AS dim, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) + 0.0 AS value

@@ -192,13 +192,13 @@ def truncate_text(spark, sf):
 
 def _hash_network():
     """A stand-in for a network: word counts hashed to 64 numbers."""
-    import zlib
+    from hashlib import md5
 
     def predict(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), 64), dtype=np.float32)
+        out = np.zeros((len(texts), 64))
         for i, t in enumerate(texts):
-            for word in str(t).lower().split():
-                out[i, zlib.crc32(word.encode()) % 64] += 1.0
+            for word in str(t).split():
+                out[i, int(md5(word.encode()).hexdigest()[:8], 16) % 64] += 1.0
         return out
 
     return predict
@@ -216,7 +216,9 @@ def embed_texts(spark, sf):
 
 @query
 def embed_texts_network(spark, sf):
-    return _vector_shape(embed.embed_texts(src.table(spark, sf, "documents"), _hash_network), "doc_id")
+    df = embed.embed_texts(src.table(spark, sf, "documents"), _hash_network)
+    values = df.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return values.select("doc_id", "dim", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query
@@ -310,6 +312,15 @@ def reduce_dims(spark, sf):
     return reduced.select("point_id", F.size("reduced").alias("dimensions"))
 
 
+@query
+def reduce_dims_full_rank(spark, sf):
+    """A projection to all dimensions is a rotation: lengths stay."""
+    points = src.embeddings(spark, sf)
+    width = points.select(F.size("embedding")).head()[0]
+    reduced = clusters.reduce_dims(points, clusters.fit_reducer(points, width))
+    return reduced.select("point_id", F.size("reduced").alias("dimensions"), r6(vx.norm(F.col("reduced"))).alias("length"))
+
+
 @query
 def fcm_memberships(spark, sf):
     df = src.weighted(spark, sf).select("point_id", F.posexplode("memberships").alias("cluster_id", "u"))
