@@ -266,7 +266,7 @@ ORACLES: dict[str, str] = {
     "embed_texts_network": f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 4000), '{NOT_S}+')) AS word FROM documents),
 counts AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM words GROUP BY 1, 2),
 lengths AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM counts GROUP BY 1)
-SELECT doc_id, dim::INTEGER AS dim, round(coalesce(n / len, 0.0)::FLOAT::DOUBLE, 5) AS value FROM documents, (SELECT unnest(range(64)) AS dim)
+SELECT doc_id, dim::INTEGER AS dim, round(coalesce(n / len, 0.0)::FLOAT::DOUBLE, 5) AS value FROM (SELECT doc_id, unnest(range(64)) AS dim FROM documents)
 LEFT JOIN counts USING (doc_id, dim) LEFT JOIN lengths USING (doc_id)""",
     "build_index": with_(
         CLEAN,
