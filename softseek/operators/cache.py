@@ -237,7 +237,7 @@ def cache_replay(
     cache = stored if before is None else before.unionByName(stored)
     n_e, n_buckets = cache.agg(F.count("*"), F.approx_count_distinct("e_bucket")).head()
     sizes = replace(sizes, entries=n_e, buckets=max(1, n_buckets))
-    return (
+    decided = (
         with_best_match(log, cache, REPLAY_RULE, sizes=sizes)
         .withColumn("embedding", F.col("q_vec"))
         .withColumn("cache_hit", F.col("e_id").isNotNull())
@@ -245,6 +245,8 @@ def cache_replay(
         .withColumn("similarity", round_half_even4(F.col("score")))
         .select(*queries.columns, "cache_hit", "matched_seq", "similarity")
     )
+    # Statistics, entries and answers all read the decisions: they are computed once.
+    return materialize(decided, "decisions")
 
 
 def with_matched_query(decisions: DataFrame, entries: DataFrame | None = None) -> DataFrame:

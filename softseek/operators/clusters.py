@@ -244,6 +244,21 @@ def fuzzy_partition_coefficient(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------- silhouette
 
 
+def _lowest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the lowest hash ``order``.
+
+    Every task would offer its own lowest ``n``. In a large table only hashes in the lowest part of their
+    range, wide enough for twice ``n`` rows, are looked at; if they are too few after all, every row is.
+    """
+    total = rows.count()
+    if total > 4 * n:
+        bound = int((2 * n + 1000) / total * 2**64) - 2**63
+        low = rows.where(F.col("order") <= min(bound, 2**63 - 1))
+        if low.select("id").count() >= n:
+            rows = low
+    return rows.orderBy("order", "id").limit(n)
+
+
 def silhouette(
     df: DataFrame,
     label: str = "dominant_cluster",
@@ -257,8 +272,11 @@ def silhouette(
     The sample is the operator's parameter and bounds what is shared with the tasks. Each task compares
     a block of rows with the whole sample and keeps one distance sum per row and cluster.
     """
-    ranked = df.select(F.col(vector).alias("x"), F.col(label).cast("int").alias("label"), F.col(row_id).alias("id"))
-    chosen = ranked.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).drop("id").toArrow()
+    rows = df.select(
+        F.col(vector).alias("x"), F.col(label).cast("int").alias("label"),
+        F.xxhash64(F.col(row_id), F.lit(seed)).alias("order"), F.col(row_id).alias("id"),
+    )
+    chosen = _lowest(rows, sample).select("x", "label").toArrow()
     if not chosen.num_rows:
         raise ValueError("no rows")
     points = vector_matrix(chosen.column("x")).astype(np.float64)

@@ -12,6 +12,7 @@ from softseek.session import materialize
 
 NO_RESULT = "No relevant documents found."
 EXCERPT_CHARS = 300
+MAX_SCAN_CLUSTERS = 1000
 
 
 def _lookups(queries: DataFrame, k: int, *extra: Column) -> tuple[DataFrame, bool]:
@@ -48,7 +49,14 @@ def topk_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool
 
 
 def pruned_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
-    """Approximate search: only points whose dominant cluster is among the query's ``top_clusters``."""
+    """Approximate search: only points whose dominant cluster is among the query's ``top_clusters``.
+
+    When few clusters are asked for, the scan is filtered to them first, which skips the partitions of an
+    index written by cluster.
+    """
+    asked = queries.select(F.explode("top_clusters").alias("c")).distinct().limit(MAX_SCAN_CLUSTERS + 1).collect()
+    if len(asked) <= MAX_SCAN_CLUSTERS:
+        index = index.where(F.col("dominant_cluster").isin([r["c"] for r in asked]))
     lookups, row_k = _lookups(queries, k, F.col("top_clusters").alias("q_buckets"))
     entries = index.select(
         F.col("point_id").cast("long").alias("e_id"),

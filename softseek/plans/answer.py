@@ -38,7 +38,7 @@ def answer_queries(
     """
     valid = validate_queries(queries).where("reject_reason is null").drop("reject_reason")
     log = with_clusters(model.memberships(valid))
-    decided = materialize(cache_replay(log, threshold, entries), "decisions")
+    decided = cache_replay(log, threshold, entries)
 
     misses = decided.where(~F.col("cache_hit")).select(F.col("seq").alias("query_id"), "embedding", "top_k")
     texts = format_results(misses, topk_search(misses, index))

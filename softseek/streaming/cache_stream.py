@@ -62,7 +62,6 @@ def decide_batch(batch: DataFrame, batch_id: int, store: str, threshold: float =
         raise ValueError(f"row {ends['first']} arrived after row {last_seq}; a cache has one order")
     is_query = ~F.coalesce(F.col("is_flush"), F.lit(False)) & F.col("set_theta").isNull()
     decided = cache_replay(state.where(is_query).drop("is_flush", "set_theta"), threshold, entries)
-    decided = materialize(decided, "decided")
 
     decided.drop("embedding").write.mode("overwrite").parquet(f"{store}/decisions/batch_id={batch_id}")
     stored = decided.where(~F.col("cache_hit")).select(

@@ -76,6 +76,13 @@ def test_silhouette(spark):
         clusters.silhouette(df.withColumn("dominant_cluster", F.lit(0)))
 
 
+def test_sample_is_the_lowest_hashes(spark):
+    rows = spark.range(5000).select(F.xxhash64("id", F.lit(1)).alias("order"), "id").repartition(4)
+    for n in (10, 900, 4000):
+        want = [r.id for r in rows.orderBy("order", "id").limit(n).collect()]
+        assert [r.id for r in clusters._lowest(rows, n).collect()] == want
+
+
 def test_sweep_finds_the_blobs(spark):
     df, _ = blobs(spark)
     scores = clusters.sweep_k(df, range(2, 6))

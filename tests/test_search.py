@@ -4,6 +4,7 @@ from registry import inputs as src
 from softseek.operators import search
 from softseek.operators.cache import with_clusters
 from softseek.operators.clusters import fcm_memberships
+from softseek.sources.index import scan_index, write_index
 
 
 def blocks(spark, rows):
@@ -57,3 +58,23 @@ def test_neighbors_and_graph(spark, sf):
     assert len(near) == 8 and all(r.point_id == r.query_id for r in near if r["rank"] == 1)
     graph = search.knn_graph(points, 15)
     assert graph.count() == 15 * points.count() and graph.where("point_id = neighbor_id").count() == 0
+
+
+def test_pruned_search_skips_partitions(spark, sf, tmp_path):
+    points = with_clusters(fcm_memberships(src.embeddings(spark, sf), src.centers(spark, sf), 1.1), 2)
+    path = str(tmp_path / "index")
+    write_index(points, path, by_cluster=True)
+    one = src.as_queries(points.where("point_id = 5"))
+    stored = scan_index(spark, path)
+    found = search.pruned_search(one, stored, 5)
+    asked = one.head().top_clusters
+    assert found.count() == 5 and {r.dominant_cluster for r in found.collect()} <= set(asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [dominant_cluster" in plan
+
+
+def test_search_scans_id_and_vector_only(spark, sf):
+    """The pass over the index reads no payload."""
+    points = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label")
+    hits = search.topk_search(points.withColumnRenamed("point_id", "query_id"), points, 5, payload=False)
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in hits._jdf.queryExecution().executedPlan().toString()
