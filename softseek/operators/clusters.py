@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dominant_cluster, is_boundary, max_membership
 from softseek.operators.pairs import vector_matrix
+from softseek.session import materialize
 
 MAX_CENTER_VALUES = 4_000_000
 
@@ -97,13 +98,16 @@ def _list_array(matrix: np.ndarray) -> pa.Array:
 
 
 def membership_column(vector: Column | str, centers: np.ndarray, m: float = 2.0) -> Column:
-    """Memberships of a vector column as ``array<double>``, computed block-wise in Arrow batches."""
+    """Memberships of a vector column as ``array<double>``, computed block-wise in Arrow batches.
+
+    The function is declared nondeterministic, although it is not, so that the optimizer computes the
+    column once instead of once per filter and column that is derived from it.
+    """
 
-    @F.arrow_udf("array<double>")
     def weights(v: pa.Array) -> pa.Array:
         return _list_array(membership_matrix(vector_matrix(v), centers, m))
 
-    return weights(vector)
+    return F.arrow_udf(weights, "array<double>").asNondeterministic()(vector)
 
 
 def fcm_memberships(df: DataFrame, centroids: DataFrame | np.ndarray, m: float = 2.0, vector: str = "embedding") -> DataFrame:
@@ -383,12 +387,17 @@ def cluster_profile(df: DataFrame, share: float = 0.7) -> DataFrame:
 
 
 def top_categories(df: DataFrame, n: int = 3) -> DataFrame:
-    """Per cluster its ``n`` most common categories; ties by the lowest point id in the cluster."""
+    """Per cluster its ``n`` most common categories; ties by the lowest point id in the cluster.
+
+    The counts per cluster and category are read twice, for the ranking and for the totals, and stored
+    in between; the ranking drops all but ``n`` rows per cluster and task before it is shuffled.
+    """
     counts = (
         df.select(dominant_cluster(F.col("memberships")).alias("cluster_id"), "category", "point_id")
         .groupBy("cluster_id", "category")
         .agg(F.count("*").alias("docs"), F.min("point_id").alias("_first"))
     )
+    counts = materialize(counts, "counts")
     order = Window.partitionBy("cluster_id").orderBy(F.desc("docs"), F.asc("_first"))
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_first")
     totals = counts.groupBy("cluster_id").agg(F.sum("docs").alias("_total"))
