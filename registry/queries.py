@@ -285,7 +285,7 @@ def neighbors(spark, sf):
 
 @query
 def pruned_search(spark, sf):
-    points = src.clustered(spark, sf)
+    points = materialize(src.clustered(spark, sf), "index")
     return _shown(search.pruned_search(src.as_queries(points), points, 5))
 
 
@@ -412,7 +412,7 @@ def _entries(spark, sf):
 @query
 def cache_lookup(spark, sf):
     queries = src.pair_inputs(spark, sf)[1].withColumnRenamed("query_id", "seq")
-    found = cache.cache_lookup(queries, _entries(spark, sf).withColumn("embedding", F.col("embedding").cast("array<double>")), 0.8)
+    found = cache.cache_lookup(queries, materialize(_entries(spark, sf), "entries").withColumn("embedding", F.col("embedding").cast("array<double>")), 0.8)
     return found.select("seq", "cache_hit", "matched_seq", r6("score").alias("score"))
 
 

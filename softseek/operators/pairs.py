@@ -288,12 +288,15 @@ class Sizes:
 def measure(lookups: DataFrame, entries: DataFrame, rule: Rule) -> Sizes:
     """Row counts and vector width; the counts prune all columns but ``q_k`` and ``e_bucket``."""
     k = F.col("q_k") if rule.row_k else F.lit(rule.k)
-    row = lookups.agg(F.count("*").alias("n"), F.max(k).alias("top"), F.sum(k).alias("all")).head()
     buckets = F.approx_count_distinct("e_bucket") if rule.bucketed else F.lit(1)
-    n_e, n_buckets = entries.agg(F.count("*"), buckets).head()
+    asked = lookups.agg(F.count("*").alias("n"), F.max(k).alias("top"), F.sum(k).alias("total"), F.lit(0).alias("buckets"))
+    stored = entries.agg(F.count("*").alias("n"), F.lit(0).alias("top"), F.lit(0).alias("total"), buckets.alias("buckets"))
+    # Two rows of one job.
+    both = asked.withColumn("side", F.lit("q")).unionByName(stored.withColumn("side", F.lit("e"))).collect()
+    q, e = sorted(both, key=lambda r: r["side"], reverse=True)
     first = entries.select(F.size("e_vec").alias("d")).head(1)
     width = 8 * first[0]["d"] if first else 0
-    return Sizes(row["n"], n_e, width, int(row["top"] or 0), int(row["all"] or 0), max(1, n_buckets))
+    return Sizes(q["n"], e["n"], width, int(q["top"] or 0), int(q["total"] or 0), max(1, e["buckets"]))
 
 
 def nearest_pairs(
