@@ -121,18 +121,22 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> HASH_BITS) * np.uint64(parts) >> HASH_BITS).astype(np.int64)
 
 
+_SHARED = pa.schema([("block", pa.int64()), ("ordinals", pa.binary())])
+SHARED_SCHEMA = "block long, ordinals binary"
 _COUNTS = pa.schema([("block", pa.int64()), ("ordinal", pa.int32()), ("shared", pa.int64())])
 COUNTS_SCHEMA = "block long, ordinal int, shared long"
 
 
-def _count_rows(blocks: list[int], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for block, own in zip(blocks, owners, strict=True):
-        ordinals, n = np.unique(own, return_counts=True)
-        yield pa.record_batch([np.full(len(n), block, np.int64), ordinals.astype(np.int32), n.astype(np.int64)], _COUNTS.names)
+def _count(table: pa.Table) -> pa.Table:
+    """Entries per document of a block."""
+    own = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("ordinals").to_pylist()])
+    ordinals, n = np.unique(own, return_counts=True)
+    block = table.column("block")[0].as_py()
+    return pa.table([np.full(len(n), block, np.int64), ordinals, n.astype(np.int64)], schema=_COUNTS)
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Per document of a range of hashes: how many of its hashes another document holds too."""
+    """Per block the document of each of its hashes that another document holds too."""
     blocks = table.column("block").to_pylist()
     holders = [np.frombuffer(x, np.int32) for x in table.column("ordinals").to_pylist()]
     hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
@@ -142,7 +146,8 @@ def _shared(table: pa.Table) -> pa.Table:
     both = np.sort(np.concatenate([every, twice]))
     common = np.unique(both[1:][both[1:] == both[:-1]])
     owners = [o[(o >= 0) & _in_sorted(h, common)] for h, o in zip(hashes, holders, strict=True)]
-    return pa.Table.from_batches(_count_rows(blocks, owners), _COUNTS)
+    rows = [(block, o.tobytes()) for block, o in zip(blocks, owners, strict=True) if len(o)]
+    return pa.Table.from_batches([_packed(_SHARED.names, rows, _SHARED)])
 
 
 def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -152,12 +157,6 @@ def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [np.frombuffer(x, np.int32) for x in batch.column("ordinals").to_pylist()]
-        yield from _count_rows(batch.column("block").to_pylist(), own)
-
-
 # ---- rare shingles ----------------------------------------------------------------------------
 
 _SETS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -375,6 +374,11 @@ def _cross(percent: int):
     return run
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns, told apart from those of another table with the same origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _salt(column: str, n) -> F.Column:
     return F.pmod(F.xxhash64(column), n).cast("int")
 
@@ -391,7 +395,7 @@ def _large_regions(members: DataFrame, sets: DataFrame, percent: int, cap: int,
     packs = centers.join(sets, "doc_id").select("pivot", F.col("doc_id").alias("center"), "shingles").join(slices, "pivot")
     near = (
         sliced.join(sets, "doc_id").groupBy("pivot", "slice")
-        .cogroup(packs.groupBy("pivot", "slice")).applyInArrow(_distances(percent), NEAR_SCHEMA)
+        .cogroup(_renewed(packs).groupBy("pivot", "slice")).applyInArrow(_distances(percent), NEAR_SCHEMA)
     )
     near = materialize(near, "distances")
 
@@ -415,7 +419,8 @@ def _large_regions(members: DataFrame, sets: DataFrame, percent: int, cap: int,
     keys = ["pivot", "cell", "ring"]
     rings = cells.groupBy(*keys).agg(F.count("*").alias("held"), F.min("to_cell").alias("low"), F.max("to_cell").alias("high"))
     rings = rings.withColumn("salts", F.ceil(F.col("held") / F.lit(cap)).cast("long"))
-    held = cells.select(*keys, "doc_id").join(rings.select(*keys, "salts"), keys).withColumn("salt", _salt("doc_id", F.col("salts")))
+    held = cells.select(*keys, "doc_id").join(rings.select(*keys, "salts"), keys)
+    held = held.withColumn("salt", _salt("doc_id", F.col("salts")))
     wander = cells.join(settled, ["pivot", "doc_id"], "left_anti")
     wanderers = wander.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(cap)).cast("long").alias("groups"))
     targets = wander.join(wanderers, "pivot").select(
@@ -430,7 +435,7 @@ def _large_regions(members: DataFrame, sets: DataFrame, percent: int, cap: int,
     tasks = targets.select(*keys, "salt", "group").distinct()
     names = [*keys, "salt", "group"]
     left = held.join(tasks, [*keys, "salt"]).join(sets, "doc_id").select(*names, "doc_id", "shingles")
-    right = targets.join(sets, "doc_id").select(*names, "doc_id", "shingles")
+    right = _renewed(targets.join(sets, "doc_id").select(*names, "doc_id", "shingles"))
     found = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(_cross(percent), LINKS_SCHEMA)
     return links.unionByName(found)
 
@@ -481,9 +486,9 @@ def jaccard_join(
     support = materialize(rows.mapInArrow(_support_rows(shingle_words, percent, parts), SUPPORT_SCHEMA), "support")
 
     packed = support.where("part >= 0").select("part", "block", "ordinals", "hashes")
-    counts = packed.groupBy("part").applyInArrow(_shared, COUNTS_SCHEMA)
-    local = support.where("part = -1").select("block", "ordinals").mapInArrow(_own_counts, COUNTS_SCHEMA)
-    shared = counts.unionByName(local).groupBy("block", "ordinal").agg(F.sum("shared").alias("shared"))
+    shared = packed.groupBy("part").applyInArrow(_shared, SHARED_SCHEMA)
+    shared = shared.unionByName(support.where("part = -1").select("block", "ordinals"))
+    shared = shared.groupBy("block").applyInArrow(_count, COUNTS_SCHEMA)
     each = support.where("part is null").select("block", "ordinal", "doc_id", "n", "print")
     least = F.expr(f"1 + 3 * ((n * {percent} + 99) div 100) div 20")
     left = each.where("n > 0 and doc_id is not null").join(shared, ["block", "ordinal"]).where(F.col("shared") >= least)
