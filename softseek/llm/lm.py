@@ -1,10 +1,10 @@
 """Language-model scores: prediction by partial matching over bytes, and a unigram base.
 
 *Model.* A trie of byte contexts up to ``order`` bytes, with counts from all training texts. A
-symbol is predicted in the longest context that has been seen; where it is new there, an escape of
-probability q / (T + q) (q distinct symbols, T in all) leads to the next shorter context, in which
-symbols of the longer one are excluded from both sums. Below the empty context all 256 symbols
-left are alike. Texts are lower-cased (A-Z), white space is one blank, byte 0xFE stands before and
+symbol of count n is predicted in the longest context that has been seen with (n - 1/2) / T; where
+it is new there, an escape of q / 2T (q distinct symbols, T in all) leads to the next shorter
+context, in which symbols of the longer one are excluded from all sums. (Method D.) Below the
+empty context all symbols left of 256 are alike. Texts are lower-cased (A-Z), white space is one blank, byte 0xFE stands before and
 0xFF behind a text (neither occurs in UTF-8). A text's score is the sum of its log10 probabilities.
 
 *Counting.* Tasks count their grams and send each distinct one once; Spark adds them up. Counts of
@@ -102,11 +102,11 @@ class Trie:
             self.sum_left.append(shorter.total[context] - excluded)
             self.distinct_left.append(shorter.distinct[context] - longer.distinct)
         top = self.levels[order]
-        self._index(top.keys, np.log10(top.counts / (top.total + top.distinct)[top.owner]))
+        self._index(top.keys, np.log10((top.counts - 0.5) / top.total[top.owner]))
 
     def _index(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing; ``probes`` is the longest search."""
-        bits = max(4, int(2 * len(keys) - 1).bit_length() + 1)
+        bits = max(4, int(2 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, ~np.uint64(0))
         self.values = np.zeros(1 << bits)
@@ -152,9 +152,9 @@ class Trie:
                 total = np.where(above >= 0, self.sum_left[k][above], total)
                 distinct = np.where(above >= 0, self.distinct_left[k][above], distinct)
             known = seen & has
-            out[known] += np.log10(level.counts[at[known]] / (total + distinct)[known]) if known.any() else 0
+            out[known] += np.log10((level.counts[at[known]] - 0.5) / total[known]) if known.any() else 0
             fell = seen & ~has & (distinct > 0)
-            out[fell] += np.log10(distinct[fell] / (total + distinct)[fell])
+            out[fell] += np.log10(distinct[fell] / 2 / total[fell])
             open_ &= ~known
             above = np.where(seen, context, -1)
         out[open_] -= np.log10(256 - (self.levels[0].distinct[0] if len(self.levels[0].distinct) else 0))
@@ -380,7 +380,7 @@ def _shard_share(shared, order: int, shard: int, shards: int):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 4, shard_grams: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 5, shard_grams: int = 1_200_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of
     ``docs(doc_id, held_out, text)``.
 

@@ -82,11 +82,11 @@ def apportion(parties: DataFrame, seats: int, votes: str = "votes", keys: tuple[
     fewer = parties.withColumn("seats", rounded(F.lit(high)).cast("long"))
     left = seats - int(fewer.agg(F.sum("seats")).first()[0])
     more = fewer.where(rounded(F.lit(low)) > F.col("seats"))
-    extra = more.orderBy((F.col("_v") / (2 * F.col("seats") + 1)).desc(), *keys).limit(left).select(*keys, F.lit(1).alias("_extra"))
-    match = reduce(lambda a, b: a & b, [fewer[k].eqNullSafe(extra[k]) for k in keys])
-    kept = [fewer[c] for c in fewer.columns if c not in ("_v", "seats")]
-    joined = fewer.join(extra, match, "left")
-    return joined.select(*kept, (F.col("seats") + F.coalesce("_extra", F.lit(0))).alias("seats"))
+    taken = [F.col(k).alias(f"_{k}") for k in keys]
+    extra = more.orderBy((F.col("_v") / (2 * F.col("seats") + 1)).desc(), *keys).limit(left).select(*taken, F.lit(1).alias("_extra"))
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    joined = fewer.join(extra, match, "left").withColumn("seats", F.col("seats") + F.coalesce("_extra", F.lit(0)))
+    return joined.select(*[c for c in fewer.columns if c != "_v"])
 
 
 def mix(

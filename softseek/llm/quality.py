@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-A text's features are its words, runs of neighbouring words, punctuation marks and runs of these,
-hashed to a fixed number of weights; x[j] is the number of occurrences over the root of their total.
+A text's features are its words, runs of neighbouring words, punctuation marks, runs of these, and
+for each pair of neighbouring words whether they are the same, hashed to a fixed number of weights; x[j] is the number of occurrences over the root of their total.
 Slices of the labelled rows learn side by side with per-coordinate FTRL-proximal updates and their
 weights are averaged. (McMahan et al., Ad Click Prediction, 2013; Zinkevich et al., Parallelized
 Stochastic Gradient Descent, 2010.) The score of a text is a sparse dot product, one pass over it.
@@ -53,6 +53,11 @@ def _features(column: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndar
             hashed = W.runs(words, n) + W.spread(50 * kind + n)
             found.append((W.mix(hashed) >> np.uint64(64 - settings.bits))[inside].astype(np.int64))
             owner.append(text[: len(words) - n + 1][inside])
+        if len(words) > 1:
+            inside = text[:-1] == text[1:]
+            pattern = W.spread(90 + 2 * kind + (words[:-1] == words[1:])) >> np.uint64(64 - settings.bits)
+            found.append(pattern[inside].astype(np.int64))
+            owner.append(text[:-1][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     found, owner = np.concatenate(found), np.concatenate(owner)
