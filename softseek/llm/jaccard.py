@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softseek.llm import words as W
@@ -379,7 +379,7 @@ def _renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _salt(column: str, n) -> F.Column:
+def _salt(column: str, n: Column) -> Column:
     return F.pmod(F.xxhash64(column), n).cast("int")
 
 

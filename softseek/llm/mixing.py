@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softseek.operators.ordering import dense_index
@@ -20,9 +20,9 @@ from softseek.session import materialize
 GRID = 48
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``size``: words between white space; null text 0."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def size_of(text: str) -> Column:
+    """Words between white space; null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -62,7 +62,7 @@ def apportion(parties: DataFrame, seats: int, votes: str = "votes", keys: tuple[
     if not voters or seats <= 0:
         return parties.withColumn("seats", F.lit(0).cast("long")).drop("_v")
 
-    def rounded(divisor) -> F.Column:
+    def rounded(divisor: Column) -> Column:
         return F.floor(F.col("_v") / divisor + 0.5)
 
     def used(divisors: list[float]) -> list[int]:
@@ -106,7 +106,7 @@ def mix(
     only where an arc goes around: first). Null and blank texts have size 0 and are never taken;
     a null source is a source of its own. The same rows give the same mix on every run.
     """
-    sized = materialize(sizes(docs.select("doc_id", "source", "text")).drop("text"), "sized")
+    sized = materialize(docs.select("doc_id", "source", size_of("text").alias("size")), "sized")
     sources = source_targets(sized, weights, share, most)
     shards = F.ceil(F.greatest(F.col("source_size") / shard_words, F.col("documents") / shard_documents, F.lit(1.0)))
     sources = materialize(sources.withColumn("shards", shards.cast("long")), "targets").withColumnRenamed("source", "_source")
@@ -134,7 +134,7 @@ def mix(
     placed = rows.withColumn("a", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("b", F.col("a") + F.col("size"))
     placed = placed.join(quota, ["number", "shard"], "left")
 
-    def common(low, high) -> F.Column:
+    def common(low, high) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("b"), high) - F.greatest(F.col("a"), low))
 
     first = common(F.col("from"), F.least(F.col("to"), F.col("around")))
