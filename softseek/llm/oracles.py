@@ -2,4 +2,65 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+        WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+    FROM words
+), members AS (
+    SELECT doc_id, unnest(s) AS shingle FROM shingles
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+    FROM members AS a JOIN members AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN shingles AS a ON a.doc_id = x JOIN shingles AS b ON b.doc_id = y
+    WHERE 100 * common >= 85 * (len(a.s) + len(b.s) - common)
+), sides AS (
+    SELECT x, y FROM links UNION SELECT y, x FROM links
+), reached AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION
+    SELECT reached.x, sides.y FROM reached JOIN sides ON reached.y = sides.x
+), least AS (
+    SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM shingles JOIN least ON least.x = doc_id
+"""
+
+DECONTAMINATION = rf"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_window AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest([w[i:i + least(len(w), 13) - 1] FOR i IN range(1, len(w) - least(len(w), 13) + 2)]) AS words
+    FROM item WHERE len(w) > 0
+), lengths AS (
+    SELECT DISTINCT n FROM item_window
+), doc_window AS (
+    SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS spot, w FROM doc, lengths WHERE len(w) >= n
+), found AS (
+    SELECT doc_id, spot, item_window.n, item_id FROM doc_window JOIN item_window
+    ON item_window.n = doc_window.n AND w[spot:spot + doc_window.n - 1] = words
+), hit AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + n)) AS place FROM found) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_jaccard_join": NEAR_DUPLICATES,
+    "op9_decontamination": DECONTAMINATION,
+}
