@@ -290,8 +290,8 @@ def nearest(
     if dimensions % 2:
         raise ValueError("dimensions is even")
     spark = vectors.sparkSession
-    valid = usable(vectors).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    valid = usable(vectors).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
     widths = valid.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
     width = widths.orderBy(F.desc("n"), "width").first()
     if width is None:
@@ -300,7 +300,8 @@ def nearest(
     same = Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).orderBy("vec_id")
     index = valid.where(fits).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "embedding")
     index = materialize(index, "vectors")
-    asked = usable(queries).where(fits & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    asked = usable(queries).where(fits & F.col("query_id").isNotNull())
+    asked = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = asked.withColumn("first", F.min("query_id").over(Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))))
     asked = materialize(asked, "queries")
 
@@ -311,9 +312,9 @@ def nearest(
     shared = spark.sparkContext.broadcast((projection, tree))
     factor = chi_square_quantile(confidence, dimensions)
 
-    placed = materialize(index.mapInArrow(_cells(shared, True), "vec_id long, embedding array<float>, cell int, image array<double>"), "cells")
+    placed = materialize(index.mapInArrow(_cells(shared, True), "vec_id long, embedding array<double>, cell int, image array<double>"), "cells")
     heads = asked.where("query_id = first").select("query_id", "embedding")
-    heads = materialize(heads.mapInArrow(_cells(shared, False), "query_id long, embedding array<float>, cell int, image array<double>"), "heads")
+    heads = materialize(heads.mapInArrow(_cells(shared, False), "query_id long, embedding array<double>, cell int, image array<double>"), "heads")
     stock = placed.select("cell", "vec_id", "embedding")
 
     def searched(wanted: DataFrame, label: str) -> DataFrame:
@@ -330,11 +331,11 @@ def nearest(
     ranked = home.withColumn("rank", F.row_number().over(order))
     bounds = ranked.where(F.col("rank") == k + 1).select("query_id", F.col("score").alias("bound"))
     length = F.lit(projection.longest)
-    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
     routed = heads.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     routed = routed.withColumn("radius", F.lit(factor) * 2 * length * (length - F.col("bound") * length / own))
     routed = routed.select("query_id", "embedding", "cell", "image", "radius", "bound")
-    reached = routed.mapInArrow(_reached(shared), "query_id long, embedding array<float>, cell int, bound double")
+    reached = routed.mapInArrow(_reached(shared), "query_id long, embedding array<double>, cell int, bound double")
     reached = materialize(reached, "reached")
     away = searched(reached, "away")
 

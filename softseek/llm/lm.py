@@ -312,12 +312,12 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)], ["gram", "n"])
 
 
-_ANSWERS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("vocabulary", pa.int64())])
-ANSWERS_SCHEMA = "part int, block long, hashes binary, counts binary, vocabulary long"
+_ANSWERS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.int64())])
+ANSWERS_SCHEMA = "part int, block long, counts binary, vocabulary long"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Each block's words of a range with their counts over all blocks; the range's vocabulary once."""
+    """Counts over all blocks of each block's words, in the order of their hashes; the range's vocabulary once."""
     hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
     distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -325,7 +325,7 @@ def _answer(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(h) for h in hashes])[:-1]
     replies = [x.tobytes() for x in np.split(total[at], ends)]
     vocabulary = pa.array([int((total > 0).sum())] + [0] * (table.num_rows - 1), pa.int64())
-    return pa.table([table.column("part"), table.column("block"), table.column("hashes"), pa.array(replies, pa.binary()), vocabulary], schema=_ANSWERS)
+    return pa.table([table.column("part"), table.column("block"), pa.array(replies, pa.binary()), vocabulary], schema=_ANSWERS)
 
 
 _SCORES = pa.schema(
@@ -340,24 +340,21 @@ def _score_block(shared, order: int, shards: int, tokens: int, texts_learnt: int
     floor = np.log10(tokens + 0.5 * (vocabulary + 1)) if tokens else np.log10(0.5)
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        replies = replies.sort_by("part")
-        distinct = np.frombuffer(b"".join(replies.column("hashes").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(replies.column("counts").to_pylist()), np.int64)
-        value = np.log10(counts + 0.5)
-        parts = []
+        counts = np.frombuffer(b"".join(replies.sort_by("part").column("counts").to_pylist()), np.int64)
+        data, offsets = W.string_bytes(docs.column("text"))
+        words, begins = W.word_hashes(data, offsets)
+        _, at = np.unique(words, return_inverse=True)
+        n = np.diff(begins) + 1
+        # Sums text by text, so that a score does not depend on its neighbours.
+        base = _sums(np.log10(counts + 0.5)[at], begins) + np.log10(texts_learnt + 0.5) - n * floor
+        known = np.diff(np.concatenate(([0], np.cumsum(counts[at] > 0)))[begins]) + (texts_learnt > 0)
+        del data, words, at
+        model = [np.zeros(0)]
         for chunk in W.chunks(docs.combine_chunks().to_batches(), "text", 2 << 20):
-            data, offsets = W.string_bytes(chunk.column("text"))
-            words, begins = W.word_hashes(data, offsets)
-            at = np.searchsorted(distinct, words)
-            n = np.diff(begins) + 1
-            # Sums text by text, so that a score does not depend on its neighbours.
-            sums = _sums(value[at], begins) + np.log10(texts_learnt + 0.5) - n * floor
-            known = np.diff(np.concatenate(([0], np.cumsum(counts[at] > 0)))[begins]) + (texts_learnt > 0)
-            model = _text_scores(chunk.column("text").to_pylist(), _trie(shared, order), 0, shards)
-            columns = [chunk.column(c) for c in ("block", "ordinal", "doc_id", "held_out")]
-            made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(model)]
-            parts.append(pa.RecordBatch.from_arrays([*columns, *made], schema=_SCORES))
-        return pa.Table.from_batches(parts, _SCORES)
+            model.append(_text_scores(chunk.column("text").to_pylist(), _trie(shared, order), 0, shards))
+        columns = [docs.column(c) for c in ("block", "ordinal", "doc_id", "held_out")]
+        made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.concatenate(model))]
+        return pa.table([*columns, *made], schema=_SCORES)
 
     return run
 
@@ -422,7 +419,7 @@ def score_texts(docs: DataFrame, order: int = 5, shard_grams: int = 1_200_000) -
     texts_learnt = learnt.count()
     tokens = _train_words(blocks) + texts_learnt
 
-    replies = answers.select("part", "block", "hashes", "counts")
+    replies = answers.select("part", "block", "counts")
     run = _score_block(shared(0), order, shards, tokens, texts_learnt, vocabulary + (texts_learnt > 0))
     scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, SCORES_SCHEMA)
     if shards > 1:

@@ -35,19 +35,25 @@ class Memo:
 
     def get_all(self, strings: list[str]) -> list:
         """The values in order."""
-        young, old = self.young, self.old
-        unknown = {s for s in strings if s not in young}
-        if unknown:
-            moved = {s: old[s] for s in unknown if s in old}
-            learnt = self._learn(sorted(unknown - moved.keys()))
-            extra = moved | learnt
-            if any(len(s) > LONGEST for s in learnt):
-                young.update((s, v) for s, v in extra.items() if len(s) <= LONGEST)
-                out = [young[s] if s in young else extra[s] for s in strings]
-            else:
-                young.update(extra)
-                out = [young[s] for s in strings]
-            if len(young) > self.size:
-                self.old, self.young = young, {}
-            return out
-        return [young[s] for s in strings]
+        unknown = set(strings).difference(self.young)
+        if not unknown:
+            return list(map(self.young.__getitem__, strings))
+        known = {s: self.old[s] for s in unknown if s in self.old}
+        learnt = self._learn(list(unknown.difference(known)))
+        self.young.update(known)
+        self.young.update(learnt)
+        out = list(map(self.young.__getitem__, strings))
+        for s in learnt:
+            if len(s) > LONGEST:
+                del self.young[s]
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        return out
+
+    def get_lists(self, lists: list[list[str]]) -> list[list]:
+        """The values of several lists, looked up together."""
+        values, at, out = self.get_all([s for strings in lists for s in strings]), 0, []
+        for strings in lists:
+            out.append(values[at : at + len(strings)])
+            at += len(strings)
+        return out

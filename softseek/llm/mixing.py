@@ -114,7 +114,7 @@ def mix(
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
 
     stock = rows.groupBy("number", "shard").agg(
-        F.sum("size").alias("words"), (F.first("target") * F.sum("size") / F.first("source_size")).alias("votes")
+        F.sum("size").alias("words"), F.coalesce(F.try_divide(F.first("target") * F.sum("size"), F.first("source_size")), F.lit(0.0)).alias("votes")
     )
     wanted = sources.agg(F.sum("target")).first()[0] or 0.0
     quota = apportion(stock, round(wanted / block), keys=("number", "shard")).select("number", "shard", "words", "seats")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from softseek.llm import words as W
 from softseek.llm.frames import append
+from softseek.session import materialize
 
 #: Letters, digits and white space separate punctuation marks.
 MARKS = W.byte_values(bytes(b for b in range(256) if b <= 32 or b >= 127 or chr(b).isalnum()))
@@ -26,14 +27,15 @@ MARKS = W.byte_values(bytes(b for b in range(256) if b <= 32 or b >= 127 or chr(
 
 @dataclass(frozen=True)
 class Settings:
-    """``bits``: log2 of the number of weights. ``max_rows``: bound of the labelled sample."""
+    """``bits``: log2 of the number of weights. ``max_rows``: bound of the labelled sample, of which
+    every ``slice_rows`` learn side by side."""
 
     bits: int = 18
     ngram: int = 2
     max_rows: int = 20_000
-    slices: int = 8
-    epochs: int = 4
-    alpha: float = 0.5
+    slice_rows: int = 2_500
+    epochs: int = 6
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.5
@@ -123,6 +125,12 @@ def _learn(settings: Settings):
     return run
 
 
+def sampled(labels: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the labels, chosen by the hash of doc_id; all, if there are no more."""
+    share = min(1.0, rows / max(labels.count(), 1))
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """Weights from ``docs(doc_id, text)`` and ``labels(doc_id, quality 0/1)``.
 
@@ -132,18 +140,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setting
     """
     known = labels.where("quality in (0, 1) and doc_id is not null")
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    total = known.count()
-    if total > settings.max_rows:
-        share = int(settings.max_rows / total * (1 << 20))
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    sliced = known.withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(settings.slices)).cast("int"))
+    taken = materialize(sampled(known, settings.max_rows), "labels")
+    slices = max(1, -(-taken.count() // settings.slice_rows))
+    sliced = taken.withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(slices)).cast("int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sliced), "doc_id")
     examples = rows.select("slice", "doc_id", "label", "text").mapInArrow(_example_rows(settings), EXAMPLES_SCHEMA)
     learnt = examples.groupBy("slice").applyInArrow(_learn(settings), WEIGHTS_SCHEMA)
     total_weights = learnt.groupBy("feature").agg(F.sum("weight").alias("weight")).toArrow()  # at most 2 ** bits + 1 rows
     weights = np.zeros((1 << settings.bits) + 1)
-    slices = sliced.select("slice").distinct().count()
-    weights[total_weights.column("feature").to_numpy()] = total_weights.column("weight").to_numpy() / max(slices, 1)
+    weights[total_weights.column("feature").to_numpy()] = total_weights.column("weight").to_numpy() / slices
     return weights
 
 

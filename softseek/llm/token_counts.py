@@ -9,6 +9,7 @@ the counts of recent ones; the others are encoded in batches of a bounded number
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -45,17 +46,30 @@ class Counter:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.count = lambda text: len(model.encode(text, num_threads=1))
+            self.count = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            memo = Memo(
+            self.memo = Memo(
                 lambda batch: [len(c) for c in tokenizer.encode_batch_fast(batch, add_special_tokens=False)], batch_chars=batch_chars
             )
-            self.count = lambda text: sum(memo.get_all(pieces(text)))
+            self.count = lambda texts: [sum(n) for n in self.memo.get_lists([pieces(t) for t in texts])]
+
+
+def _together(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Neighbouring texts of about so many characters, or one longer text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > chars:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
 
 _counters: dict[tuple[str, int], Counter] = {}
@@ -73,6 +87,7 @@ def token_count(text: str | Column, tokenizer: str, batch_chars: int = 1 << 16)
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
         counter = _counters.get((tokenizer, batch_chars)) or _counters.setdefault((tokenizer, batch_chars), Counter(tokenizer, batch_chars))
-        return pa.array([counter.count(t) if t else 0 for t in column.to_pylist()], pa.int64())
+        texts = [t or "" for t in column.to_pylist()]
+        return pa.array([n for group in _together(texts, 1 << 20) for n in counter.count(group)], pa.int64())
 
     return count(F.col(text) if isinstance(text, str) else text)

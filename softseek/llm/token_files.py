@@ -9,6 +9,7 @@ those of the rows it asks for; metadata can be read without any token.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +28,18 @@ _FILE = pa.schema(
 )
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Where a word's letters end and nothing but marks follows.
+_MARKS = re.compile(r"(?<=[a-z])(?=[.,!?;:$%&*#|]+(?:\s|\Z))")
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, with a bounded memory of words.
 
-    The tokenizer turns runs of white space into one blank and drops it, so no token depends on
-    what stands beyond white space, and a text's ids are those of its words.
+    The tokenizer lower-cases, turns runs of white space into one blank and drops it, and never
+    joins a letter with a mark. So no token depends on what stands beyond white space, a text's ids
+    are those of its words, and words are remembered in lower case and without the marks behind.
+    Texts in which special tokens may begin are only cut at white space.
     """
 
     def __init__(self, path: str):
@@ -49,10 +57,15 @@ class WordEncoder:
         ids = np.array(coded.ids, np.uint32).tobytes()
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(self.memo.get_all(words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        return [b"".join(ids) for ids in self.memo.get_lists([_words(t) for t in texts])]
+
+
+def _words(text: str) -> list[str]:
+    if "<|" not in text:
+        text = _MARKS.sub(" ", text.encode().translate(_LOWER).decode())
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -76,7 +89,7 @@ def _encode_rows(path: str, end: int):
         part, place = TaskContext.get().partitionId(), 0
         encoder = _encoder(path)
         for chunk in W.chunks(batches, "text", 1 << 20):
-            coded = [encoder.encode(t or "") + tail for t in chunk.column("text").to_pylist()]
+            coded = [ids + tail for ids in encoder.encode([t or "" for t in chunk.column("text").to_pylist()])]
             n = np.array([len(c) // 4 for c in coded], np.int64)
             places = place + np.cumsum(n) - n
             place += int(n.sum())
