@@ -191,8 +191,8 @@ def search_cell(
         done, step = 0, 1
         while done < len(leaves):
             kth = np.maximum(best.score[start : start + len(q), -1], bounds[start : start + len(q)])
-            # Squared true distance of the k-th: 2 L (L - stretched score).
-            radius = factor * np.maximum(2 * projection.longest * (projection.longest - kth * stretch), 0)
+            # Squared true distance of the k-th: 2 (L * L - stretched score).
+            radius = factor * np.maximum(2 * (projection.longest**2 - kth * stretch), 0)
             ranks = near[:, done : done + step]
             wanted = np.take_along_axis(far, ranks, axis=1) <= radius[:, None] * (1 + 1e-9)
             if not wanted.any():
@@ -333,7 +333,7 @@ def nearest(
     length = F.lit(projection.longest)
     own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
     routed = heads.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    routed = routed.withColumn("radius", F.lit(factor) * 2 * length * (length - F.col("bound") * length / own))
+    routed = routed.withColumn("radius", F.lit(factor) * 2 * (length * length - F.col("bound") * length / own))
     routed = routed.select("query_id", "embedding", "cell", "image", "radius", "bound")
     reached = routed.mapInArrow(_reached(shared), "query_id long, embedding array<double>, cell int, bound double")
     reached = materialize(reached, "reached")
