@@ -18,10 +18,13 @@ ADDRESS_CHAR = r"[[a-zA-Z0-9_.+\-][\w\p{N}]]"
 INTRO_CHAR = rf"[[a-zA-Z0-9_,.<>@\-(){SPACE_SET}][\w\p{{N}}]]"
 WORD_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
-PGP_BLOCK = r"(?s)-----BEGIN PGP.*?-----END PGP[^-]*-----"
+# An opening without an end ($1) takes all that follows with it: no later one has an end either.
+PGP_BLOCK = r"(?s)-----BEGIN PGP.*?-----END PGP[^-]*-----|(-----BEGIN PGP.*+)"
 SIGNATURE = rf"\n--{SPACE}*\n"
 REPLY_INTRO = rf"(?mUd)^(?i:In){SPACE}+(?i:article){SPACE}+.*?(?i:writes?|wrote){SPACE}*:.*$"
-QUOTED_LINE = rf"(?md)^{SPACE}*>+.*$"
+# A quote may begin with blank lines. A try begins at the first line start of a run of whitespace: after
+# a line with text ($1 is its end), after the last match, or at the start.
+QUOTED_LINE = rf"(?md)(\A|\G\n|{NON_SPACE}{LINE_SPACE}*+\n){SPACE}*+>+.*$"
 DIVIDER = rf"(?md)^[{SPACE_SET}\-=*#~+_|]{{5,}}$"
 BLANK_RUN = r"\n{3,}"
 SUBJECT_PREFIX = rf"(?iU)^{SPACE}*(?:Re|Fwd|AW){SPACE}*:{SPACE}*"
@@ -52,7 +55,7 @@ def strip_text(text: Column) -> Column:
 
 
 def strip_pgp(body: Column) -> Column:
-    return F.regexp_replace(body, PGP_BLOCK, "")
+    return F.regexp_replace(body, PGP_BLOCK, "$1")
 
 
 def cut_signature(body: Column) -> Column:
@@ -68,7 +71,7 @@ def strip_attribution(body: Column) -> Column:
 
 
 def strip_quotes(body: Column) -> Column:
-    return F.regexp_replace(body, QUOTED_LINE, "")
+    return F.regexp_replace(body, QUOTED_LINE, "$1")
 
 
 def strip_emails(body: Column) -> Column:

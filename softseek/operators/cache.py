@@ -117,8 +117,8 @@ def threshold_as_of(log: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Dat
 
 
 def _bucket(epoch, cluster):
-    """Epoch and cluster as one id: entries of another epoch are in no bucket of the query."""
-    return F.shiftleft(epoch.cast("long"), 20) + cluster.cast("long")
+    """Epoch and cluster as one id, for all 32-bit clusters: entries of another epoch are in no bucket of the query."""
+    return F.shiftleft(epoch.cast("long"), 32) + cluster.cast("int").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 REPLAY_RULE = Rule(bucketed=True, earlier=True, floor=True, by_position=True)

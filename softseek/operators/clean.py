@@ -108,13 +108,17 @@ def cleaning_report(classified: DataFrame) -> DataFrame:
         return F.count_if(F.col("drop_reason").eqNullSafe(reason)).alias(f"dropped_{reason}")
 
     counts = [
-        F.count("*").alias("total"),
+        F.count_if("_real").alias("total"),
         F.count_if(F.col("drop_reason").isNull()).alias("kept"),
         dropped("short"),
         dropped("quoted"),
         dropped("read_error"),
     ]
-    report = classified.select("category", "drop_reason").rollup("category").agg(F.grouping("category").alias("is_total"), *counts)
+    # One row that counts for nothing gives an empty corpus its total.
+    rows = classified.select("category", "drop_reason", F.lit(True).alias("_real"))
+    none = rows.sparkSession.createDataFrame([(None, "none", False)], rows.schema)
+    report = rows.unionByName(none).rollup("category").agg(F.grouping("category").alias("is_total"), *counts)
+    report = report.where("is_total = 1 or total > 0")
     percent = F.try_divide(F.lit(100) * F.col("kept"), F.col("total"))
     return report.select(
         F.col("is_total").cast("boolean").alias("is_total"),

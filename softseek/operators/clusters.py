@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.errors import PythonException
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -329,7 +328,8 @@ def sweep_k(
 ) -> DataFrame:
     """``k, silhouette, iterations, is_best``: largest silhouette, smallest k on ties.
 
-    A k whose fit fails has null scores; if all fail the smallest k is best.
+    A k that leaves too few clusters to score has null scores; if all do the smallest k is best. Other
+    failures end the sweep.
     """
     ks = list(ks)
     scored = []
@@ -342,7 +342,7 @@ def sweep_k(
                     "dominant_cluster", dominant_cluster(F.col("memberships"))
                 )
                 scored.append((k, silhouette(hard, "dominant_cluster", vector, row_id, sample, seed), model.iterations))
-            except (ValueError, PythonException):
+            except ValueError:
                 scored.append((k, None, None))
     finally:
         points.unpersist()

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,12 @@ def fit_text_model(df: DataFrame, text: str = "text", dimensions: int = DIMENSIO
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(df.select(truncate_text(F.col(text), max_chars).alias("_text")))
+    return Pipeline(stages=stages).fit(df.select(_cut(text, max_chars).alias("_text")))
+
+
+def _cut(text: str, max_chars: int) -> Column:
+    """The text as the models get it; null is empty."""
+    return truncate_text(F.coalesce(F.col(text), F.lit("")), max_chars)
 
 
 def embed_texts(
@@ -46,7 +51,7 @@ def embed_texts(
     ``model`` is a fitted text model, or a function that loads a network once per worker and returns
     ``texts -> matrix``, which is called for ``batch_size`` texts at a time.
     """
-    cut = truncate_text(F.col(text), max_chars)
+    cut = _cut(text, max_chars)
     if isinstance(model, PipelineModel):
         out = model.transform(df.withColumn("_text", cut))
         unit = vector_to_array(F.col("_unit"), "float32")

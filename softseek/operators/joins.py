@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
 
 
 def lookup_join(
@@ -14,25 +13,13 @@ def lookup_join(
 ) -> DataFrame:
     """``many`` joined to ``unique``, which has one row per key.
 
-    Keys with more than ``hot_rows`` rows in ``many`` are taken out of the shuffle: there are at most
-    ``MAX_HOT_KEYS`` of them, so their partner rows can be broadcast whatever the data size. All other
-    keys are light enough for a shuffled join. When the counts show no hot key, which one aggregation
-    with map-side combining tells, the plain join is used.
+    A key with more than ``hot_rows`` rows in ``many`` is split into as many salts as it has multiples
+    of them, and its partner row is repeated once per salt, for any number of such keys. Counting them
+    is one aggregation with map-side combining; there is at most one hot key per ``hot_rows`` rows.
     """
-    hot = (
-        many.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"))
-        .limit(MAX_HOT_KEYS)
-        .select(key)
-    )
-    # At most MAX_HOT_KEYS key values.
-    keys = [row[0] for row in hot.collect()]
-    if not keys:
-        return many.join(unique, key, how)
-    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    heavy = many.where(is_hot).join(F.broadcast(unique.where(is_hot)), key, how)
-    light = many.where(~is_hot).join(unique.where(~is_hot), key, how)
-    return heavy.unionByName(light)
+    hot = many.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
+    hot = hot.select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("long").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    salted = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("_salts")
+    spread = unique.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")

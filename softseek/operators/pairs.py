@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from softseek.operators.joins import lookup_join
+
 PAIR_SCHEMA = "q_id long, e_id long, pos int, score double"
 
 BROADCAST_BYTES = 64 << 20
@@ -62,17 +64,43 @@ class Rule:
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column as a matrix, one row per vector."""
+    """An Arrow list column as a matrix, one row per vector; every vector must be there."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
         return np.zeros((0, 0))
-    values = column.flatten().to_numpy(zero_copy_only=False)
     lengths = np.diff(column.offsets.to_numpy())
     if column.null_count or lengths.min() != lengths.max():
         raise ValueError("vectors must be present and of one length")
-    return values.reshape(n, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def masked_vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow list column as a matrix, one row per vector, and which rows can match at all.
+
+    A null vector, or one with a null or non-finite component, is a row of zeros that matches nothing.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    valid = np.ones(n, dtype=bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
+    if not valid.any():
+        return np.zeros((n, 0)), valid
+    present = column.drop_null()
+    values = present.flatten().to_numpy(zero_copy_only=False)
+    lengths = np.diff(present.offsets.to_numpy())
+    if lengths.min() != lengths.max():
+        raise ValueError("vectors must be of one length")
+    matrix = values.reshape(len(present), -1)
+    finite = np.isfinite(matrix).all(axis=1)
+    if finite.all() and valid.all():
+        return matrix, valid
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    out[np.flatnonzero(valid)[finite]] = matrix[finite]
+    valid = valid.copy()
+    valid[np.flatnonzero(valid)[~finite]] = False
+    return out, valid
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,7 +139,8 @@ class Lookups:
             groups = {int(table.column("q_bucket")[0].as_py()): (np.arange(n), pos)} if n else {}
         else:
             groups = _bucket_groups(table.column("q_buckets"))
-        return Lookups(ids, vector_matrix(table.column("q_vec")), k, floor, groups)
+        vectors, valid = masked_vectors(table.column("q_vec"))
+        return Lookups(ids, vectors, np.where(valid, k, 0), floor, groups)
 
 
 def _bucket_groups(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -134,8 +163,10 @@ class Entries:
     @staticmethod
     def of(table: pa.Table | pa.RecordBatch, rule: Rule, max_k: int) -> Entries:
         ids = table.column("e_id").to_numpy()
-        vectors = vector_matrix(table.column("e_vec"))
+        vectors, valid = masked_vectors(table.column("e_vec"))
         buckets = table.column("e_bucket").to_numpy() if rule.bucketed else np.zeros(len(ids), dtype=np.int64)
+        if not valid.all():
+            ids, vectors, buckets = ids[valid], vectors[valid], buckets[valid]
         order = np.lexsort((ids, buckets))
         cuts = np.flatnonzero(np.diff(buckets[order])) + 1
         keep = max_k + int(rule.skip_self)
@@ -232,6 +263,8 @@ def _match(q: Lookups, entries: Entries, rule: Rule, so_far: Found) -> Found:
 
 def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> Found:
     n_e = len(e_ids)
+    if not q.k.any():
+        return Found.none()
     eps = max(np.finfo(q.vectors.dtype).eps, np.finfo(e_vecs.dtype).eps)
     margin = 2.0 * e_vecs.shape[1] * eps * _row_norms(e_vecs).max()
     step = max(1, CELLS_AT_ONCE // n_e)
@@ -271,6 +304,8 @@ class Sizes:
     max_k: int
     results: int  # bound on the rows found
     buckets: int = 1  # about how many buckets share the entries
+    lookup_parts: int = 0  # partitions that hold lookups, 0 where not measured
+    entry_parts: int = 0
 
     def entries_fit(self, limit: int) -> bool:
         return self.entries * (self.width + 16) <= limit
@@ -278,25 +313,27 @@ class Sizes:
     def lookups_fit(self, limit: int) -> bool:
         return self.lookups * (self.width + 64) <= limit
 
-    @property
-    def tasks(self) -> int:
-        """Tasks that the arithmetic is worth."""
+    def tasks(self, streamed: int) -> int:
+        """Tasks that the arithmetic is worth, at most one per row of the side that is streamed."""
         work = 2.0 * self.lookups * self.entries * self.width / 8 * min(1.0, 2.0 / self.buckets)
-        return max(1, int(min(self.lookups, self.entries, -(-work // TASK_FLOPS))))
+        return max(1, int(min(streamed, -(-work // TASK_FLOPS))))
 
 
 def measure(lookups: DataFrame, entries: DataFrame, rule: Rule) -> Sizes:
     """Row counts and vector width; the counts prune all columns but ``q_k`` and ``e_bucket``."""
     k = F.col("q_k") if rule.row_k else F.lit(rule.k)
     buckets = F.approx_count_distinct("e_bucket") if rule.bucketed else F.lit(1)
-    asked = lookups.agg(F.count("*").alias("n"), F.max(k).alias("top"), F.sum(k).alias("total"), F.lit(0).alias("buckets"))
-    stored = entries.agg(F.count("*").alias("n"), F.lit(0).alias("top"), F.lit(0).alias("total"), buckets.alias("buckets"))
+    parts = F.max("_part").alias("parts")
+    placed = F.spark_partition_id()
+    asked = lookups.withColumn("_part", placed).agg(F.count("*").alias("n"), F.max(k).alias("top"), F.sum(k).alias("total"), F.lit(0).alias("buckets"), parts)
+    stored = entries.withColumn("_part", placed).agg(F.count("*").alias("n"), F.lit(0).alias("top"), F.lit(0).alias("total"), buckets.alias("buckets"), parts)
     # Two rows of one job.
     both = asked.withColumn("side", F.lit("q")).unionByName(stored.withColumn("side", F.lit("e"))).collect()
     q, e = sorted(both, key=lambda r: r["side"], reverse=True)
     first = entries.select(F.size("e_vec").alias("d")).head(1)
     width = 8 * first[0]["d"] if first else 0
-    return Sizes(q["n"], e["n"], width, int(q["top"] or 0), int(q["total"] or 0), max(1, e["buckets"]))
+    held = [1 + (-1 if r["parts"] is None else r["parts"]) for r in (q, e)]
+    return Sizes(q["n"], e["n"], width, int(q["top"] or 0), int(q["total"] or 0), max(1, e["buckets"]), *held)
 
 
 def nearest_pairs(
@@ -318,9 +355,9 @@ def nearest_pairs(
 
     sizes = sizes or measure(lookups, entries, rule)
     if sizes.entries_fit(broadcast_bytes):
-        found = _entries_everywhere(_spread(lookups, "q_id", sizes.tasks), entries, rule, sizes.max_k)
+        found = _entries_everywhere(_spread(lookups, "q_id", sizes.tasks(sizes.lookups), sizes.lookup_parts), entries, rule, sizes.max_k)
     elif sizes.lookups_fit(broadcast_bytes):
-        found = _lookups_everywhere(lookups, _spread(entries, "e_id", sizes.tasks), rule, sizes.max_k)
+        found = _lookups_everywhere(lookups, _spread(entries, "e_id", sizes.tasks(sizes.entries), sizes.entry_parts), rule, sizes.max_k)
     else:
         found = _grid(lookups, entries, rule, sizes, max(1, block_bytes // max(sizes.width, 1)))
 
@@ -371,7 +408,7 @@ def with_best_match(
             added = [pa.array(eid, pa.int64(), mask=missing), pa.array(score, pa.float64(), mask=missing)]
             yield pa.RecordBatch.from_arrays(batch.columns + added, names=[*batch.schema.names, "e_id", "score"])
 
-    return _spread(df, "q_id", sizes.tasks).mapInArrow(task, schema)
+    return _spread(df, "q_id", sizes.tasks(sizes.lookups), sizes.lookup_parts).mapInArrow(task, schema)
 
 
 _ready: dict[str, Entries] = {}
@@ -388,9 +425,9 @@ def _shared_entries(token: str, shared: Broadcast, rule: Rule, max_k: int) -> En
     return _ready[token]
 
 
-def _spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
-    """Cut the streamed side into enough tasks for the arithmetic; small jobs stay as they are."""
-    return df if tasks <= 1 else df.repartition(tasks, F.xxhash64(key))
+def _spread(df: DataFrame, key: str, tasks: int, parts: int) -> DataFrame:
+    """Stream the partitions as they are, unless there are too few of them for the arithmetic."""
+    return df if tasks <= max(1, parts) else df.repartition(tasks, F.xxhash64(key))
 
 
 def _entries_everywhere(lookups: DataFrame, entries: DataFrame, rule: Rule, max_k: int) -> DataFrame:
@@ -446,18 +483,18 @@ def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, sizes: Sizes, bloc
             F.ceil(F.col("n_e") / block_rows).cast("int").alias("e_blocks"),
         )
     )
-    if sizes.buckets <= MAX_BROADCAST_BUCKETS:  # three numbers per bucket; a hot bucket is not shuffled whole
+    if sizes.buckets <= MAX_BROADCAST_BUCKETS:  # three numbers per bucket
         counts = F.broadcast(counts)
     blocks = F.sequence(F.lit(0), F.col("e_blocks") - 1)
     q = (
-        q.join(counts, "bucket")
+        _with_counts(q, counts, sizes)
         .withColumn("q_block", F.pmod(F.xxhash64("q_id"), "q_blocks").cast("int"))
         .withColumn("e_block", F.explode(blocks))
         .drop("q_blocks", "e_blocks")
         .withColumn("q_bucket", F.col("bucket"))
     )
     e = (
-        e.join(counts, "bucket")
+        _with_counts(e, counts, sizes)
         .withColumn("e_block", F.pmod(F.xxhash64("e_id"), "e_blocks").cast("int"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
         .drop("q_blocks", "e_blocks")
@@ -475,4 +512,9 @@ def _grid(lookups: DataFrame, entries: DataFrame, rule: Rule, sizes: Sizes, bloc
     return q.groupBy(*cell).cogroup(e.groupBy(*cell)).applyInArrow(task, PAIR_SCHEMA)
 
 
+def _with_counts(rows: DataFrame, counts: DataFrame, sizes: Sizes) -> DataFrame:
+    """A hot bucket is not shuffled whole: few buckets are broadcast, of many the hot ones are salted."""
+    return rows.join(counts, "bucket") if sizes.buckets <= MAX_BROADCAST_BUCKETS else lookup_join(rows, counts, "bucket")
+
+
 _ARROW_SCHEMA = pa.schema([("q_id", pa.int64()), ("e_id", pa.int64()), ("pos", pa.int32()), ("score", pa.float64())])

@@ -54,6 +54,7 @@ def pruned_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: boo
     When few clusters are asked for, the scan is filtered to them first, which skips the partitions of an
     index written by cluster.
     """
+    index = index.where("dominant_cluster is not null")
     asked = queries.select(F.explode("top_clusters").alias("c")).distinct().limit(MAX_SCAN_CLUSTERS + 1).collect()
     if len(asked) <= MAX_SCAN_CLUSTERS:
         index = index.where(F.col("dominant_cluster").isin([r["c"] for r in asked]))

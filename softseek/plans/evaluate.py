@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dot
+from softseek.operators.joins import lookup_join
 from softseek.operators.ordering import dense_index
 from softseek.operators.search import topk_search
 
@@ -48,7 +49,8 @@ def pair_features(pairs: DataFrame, queries: DataFrame) -> DataFrame:
         F.col("query_id").alias("q1"), F.col("embedding").alias("_v1"), F.col("dominant_cluster").alias("stored_cluster")
     )
     second = queries.select(F.col("query_id").alias("q2"), F.col("embedding").alias("_v2"), F.col("top_clusters").alias("_t2"))
-    both = pairs.join(first, "q1").join(second, "q2")
+    # One query can be in very many pairs.
+    both = lookup_join(lookup_join(pairs, first, "q1"), second, "q2")
     return both.select(
         "pair_id", "kind", dot(F.col("_v1"), F.col("_v2")).alias("raw_sim"),
         F.array_contains("_t2", F.col("stored_cluster")).alias("routed"),
@@ -92,7 +94,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def latency_summary(log: DataFrame, warmup: int = 3, order: str = "seq", latency: str = "latency") -> DataFrame:
-    """Mean and 95th percentile (linear interpolation) after the first ``warmup`` rows.
+    """Mean and 95th percentile (linear interpolation) after the first ``warmup`` rows; nulls are not measured.
 
     The percentile is exact and distributed: latencies are put in global order and only the rows at the
     two positions around the percentile are read.
@@ -101,7 +103,7 @@ def latency_summary(log: DataFrame, warmup: int = 3, order: str = "seq", latency
     first = rows.orderBy("_order").limit(warmup).agg(F.max("_order").alias("_last")).withColumn("_one", F.lit(1))
     if warmup > 0:
         rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").where("_order > _last").select("_order", "_x")
-    placed = dense_index(rows, "_x", "_order", name="_pos")
+    placed = dense_index(rows.where("_x is not null"), "_x", "_order", name="_pos")
     totals = placed.agg(F.count("*").alias("n"), F.avg("_x").alias("avg_latency")).withColumn("_one", F.lit(1))
     spot = F.lit(0.95) * (F.col("n") - 1)
     totals = totals.withColumns({"_low": F.floor(spot), "_high": F.ceil(spot), "_share": spot - F.floor(spot)})

@@ -10,13 +10,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 _shipped: set[tuple[str, str]] = set()
 
 
 def local_session(cores: str = "8", name: str = "softseek") -> SparkSession:
-    """A session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    """A session for tests and the bench, with a scratch folder of its own where none is set; on a cluster
+    the caller brings its own."""
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
@@ -27,27 +27,35 @@ def local_session(cores: str = "8", name: str = "softseek") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    if not (session.conf.get(_SETTING, None) or session.sparkContext.getConf().get(_SETTING)):
+        session.conf.set(_SETTING, tempfile.mkdtemp(prefix="softseek-"))
+    return session
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder; on a cluster executors would not
-    see the driver's disk, so an unset folder is an error there.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; unset is an error, as executors would not see
+    the driver's disk."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-        _local_dirs[app] = tempfile.mkdtemp(prefix="softseek-")
-    return _local_dirs[app]
+    if not root:
+        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
+    return root.rstrip("/")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/softseek-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application keeps in the shared folder.
+
+    Results that were returned before may still read them: write or collect these first.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -57,7 +65,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,8 @@ def scan_index(spark: SparkSession, path: str, cols: list[str] | None = None) ->
 
 
 def upsert_index(base: DataFrame, delta: DataFrame, order: str | Column | None = None) -> DataFrame:
-    """Insert or replace by point id. Of several rows for one id, the last by ``order`` wins.
+    """Insert or replace by point id. Of several rows for one id, the last by ``order`` wins; without an
+    order such rows are an error.
 
     The choice is an aggregation with map-side combining, so an id that occurs very often is reduced
     before it is shuffled.
@@ -34,6 +35,10 @@ def upsert_index(base: DataFrame, delta: DataFrame, order: str | Column | None =
         row = F.struct(*[F.col(c) for c in base.columns])
         latest = delta.groupBy("point_id").agg(F.max_by(row, F.col(order) if isinstance(order, str) else order).alias("r"))
         delta = latest.select("r.*")
+    else:
+        twice = delta.groupBy("point_id").count().where("count > 1").head(1)
+        if twice:
+            raise ValueError(f"point {twice[0]['point_id']} comes more than once: give an order")
     return base.join(delta.select("point_id"), "point_id", "left_anti").unionByName(delta.select(*base.columns))
 
 

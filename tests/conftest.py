@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from softseek.session import local_session  # noqa: E402
+from softseek.session import local_session, release_scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session("8", "softseek-tests")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    release_scratch(session)
 
 
 @pytest.fixture(scope="session")

@@ -122,3 +122,37 @@ def test_lookup_join_splits_hot_keys(spark):
     for how in ("inner", "left"):
         plain = sorted(map(str, many.join(unique, "key", how).collect()))
         assert sorted(map(str, lookup_join(many, unique, "key", how, hot_rows=50).collect())) == plain
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 3000}, {"broadcast_bytes": 0, "block_bytes": 4000}])
+def test_null_and_non_finite_vectors_match_nothing(spark, limits):
+    rng = np.random.default_rng(4)
+    good = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    bad = [(200, [float("nan")] * 8), (201, [float("inf")] + [0.0] * 7), (202, None), (203, [None] + [1.0] * 7)]
+    entries = spark.createDataFrame(good + bad, "e_id long, e_vec array<double>").repartition(3)
+    lookups = spark.createDataFrame(good[:10] + bad, "q_id long, q_vec array<double>")
+    alone = nearest_pairs(lookups.where("q_id < 100"), entries.where("e_id < 200"), Rule(k=5)).collect()
+    both = nearest_pairs(lookups, entries, Rule(k=5), **limits).collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, alone)) and len(both) == 50
+
+
+def test_the_large_side_keeps_its_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_FLOPS", 100)
+    many = spark.range(600).selectExpr("id as e_id", "array(sin(id), cos(id)) as e_vec").repartition(12)
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "q_id long, q_vec array<double>").coalesce(1)
+    sizes = pairs.measure(few, many, Rule(k=3))
+    assert (sizes.lookup_parts, sizes.entry_parts) == (1, 12)
+    assert sizes.tasks(sizes.entries) == 48 and sizes.tasks(sizes.lookups) == 2
+    # Enough partitions for the work: no exchange above the entries.
+    monkeypatch.setattr(pairs, "TASK_FLOPS", 1000)
+    found = pairs._lookups_everywhere(few, pairs._spread(many, "e_id", 10, sizes.entry_parts), Rule(k=3), 3)
+    assert found.rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("keys", [1500])
+def test_any_number_of_hot_keys(spark, keys):
+    many = spark.range(keys * 8).selectExpr(f"id % {keys} as k", "id as row")
+    unique = spark.range(keys - 1).selectExpr("id as k", "id * 2 as v")
+    got = lookup_join(many, unique, "k", "left", hot_rows=3)
+    assert got.count() == keys * 8
+    assert got.where("v = 2 * k").count() == (keys - 1) * 8 and got.where("v is null").count() == 8
