@@ -302,7 +302,9 @@ def nearest(
     index = materialize(index, "vectors")
     asked = usable(queries).where(fits & F.col("query_id").isNotNull())
     asked = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = asked.withColumn("first", F.min("query_id").over(Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))))
+    copies = [F.xxhash64("embedding").alias("_h"), F.xxhash64(F.lit(1), "embedding").alias("_g")]
+    asked = asked.select("*", *copies)
+    asked = asked.join(asked.groupBy("_h", "_g").agg(F.min("query_id").alias("first")), ["_h", "_g"]).drop("_h", "_g")
     asked = materialize(asked, "queries")
 
     sample = index.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).toArrow()

@@ -15,7 +15,7 @@ class Memo:
     one longer string) and returns their values.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], size: int = 200_000, batch_chars: int = 1 << 16):
+    def __init__(self, encode: Callable[[list[str]], list], size: int = 250_000, batch_chars: int = 1 << 16):
         self.encode, self.size, self.batch_chars = encode, size, batch_chars
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}

@@ -53,9 +53,17 @@ class Counter:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self.memo = Memo(
-                lambda batch: [len(c) for c in tokenizer.encode_batch_fast(batch, add_special_tokens=False)], batch_chars=batch_chars
-            )
+            merges = tokenizer.model
+
+            def lengths(batch: list[str]) -> list[int]:
+                """Blank and letters a to z, the rule, are one split: they need the merges alone."""
+                plain = {s: len(merges.tokenize("Ġ" + s[1:])) for s in batch if s[0] == " " and s.isascii() and s[1:].isalpha()}
+                others = [s for s in batch if s not in plain]
+                coded = tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else []
+                plain.update(zip(others, map(len, coded), strict=True))
+                return [plain[s] for s in batch]
+
+            self.memo = Memo(lengths, batch_chars=batch_chars)
             self.count = lambda texts: [sum(n) for n in self.memo.get_lists([pieces(t) for t in texts])]
 
 

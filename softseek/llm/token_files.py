@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.memo = Memo(self._encode)
 
     def _encode(self, words: list[str]) -> list[bytes]:
+        """Words of the letters a to z need the merges alone: no normalisation or splitting changes them."""
+        found = {w: array("I", [t.id for t in self.merges.tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha() and w.islower()}
+        others = [w for w in words if w not in found]
+        if others:
+            found.update(zip(others, self._encode_together(others), strict=True))
+        return [found[w] for w in words]
+
+    def _encode_together(self, words: list[str]) -> list[bytes]:
         """Encodes words in one go, as a text, and deals the ids out by their offsets."""
         coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         begins = np.cumsum([0, *[len(w) + 1 for w in words]])
