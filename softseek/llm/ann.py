@@ -284,7 +284,7 @@ def nearest(
 
     Scores are double sums over the original vectors; ties go to the smaller vec_id. Vectors that
     ``usable`` refuses, rows without id and vectors of another length than most have take no part.
-    Ids are unique; a repeated row would be found twice. An empty table gives no rows.
+    Rows repeated with one id and vector count once; an empty table gives no rows.
     ``confidence`` is the chance that a true neighbour lies within the radius searched.
     """
     if dimensions % 2:
@@ -297,14 +297,15 @@ def nearest(
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fits = F.size("embedding") == width["width"]
-    same = Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).orderBy("vec_id")
-    index = valid.where(fits).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "embedding")
-    index = materialize(index, "vectors")
+    hashes = [F.xxhash64("embedding").alias("_h"), F.xxhash64(F.lit(1), "embedding").alias("_g")]
+    copy = F.dense_rank().over(Window.partitionBy("_h", "_g").orderBy("vec_id"))
+    index = valid.where(fits).select("*", *hashes).withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
+    index = materialize(index.dropDuplicates(["_h", "_g", "vec_id"]).select("vec_id", "embedding"), "vectors")
     asked = usable(queries).where(fits & F.col("query_id").isNotNull())
     asked = asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    copies = [F.xxhash64("embedding").alias("_h"), F.xxhash64(F.lit(1), "embedding").alias("_g")]
-    asked = asked.select("*", *copies)
-    asked = asked.join(asked.groupBy("_h", "_g").agg(F.min("query_id").alias("first")), ["_h", "_g"]).drop("_h", "_g")
+    asked = asked.select("*", *hashes).dropDuplicates(["_h", "_g", "query_id"])
+    first = asked.groupBy("_h", "_g").agg(F.min("query_id").alias("first"))
+    asked = asked.join(first, ["_h", "_g"]).drop("_h", "_g")
     asked = materialize(asked, "queries")
 
     sample = index.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).toArrow()

@@ -35,14 +35,17 @@ class Memo:
 
     def get_all(self, strings: list[str]) -> list:
         """The values in order."""
-        unknown = set(strings).difference(self.young)
-        if not unknown:
-            return list(map(self.young.__getitem__, strings))
+        out = list(map(self.young.get, strings))
+        missing = [i for i, value in enumerate(out) if value is None]
+        if not missing:
+            return out
+        unknown = {strings[i] for i in missing}
         known = {s: self.old[s] for s in unknown if s in self.old}
         learnt = self._learn(list(unknown.difference(known)))
         self.young.update(known)
         self.young.update(learnt)
-        out = list(map(self.young.__getitem__, strings))
+        for i in missing:
+            out[i] = self.young[strings[i]]
         for s in learnt:
             if len(s) > LONGEST:
                 del self.young[s]

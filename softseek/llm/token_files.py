@@ -30,8 +30,20 @@ _FILE = pa.schema(
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Where a word's letters end and nothing but marks follows.
-_MARKS = re.compile(r"(?<=[a-z])(?=[.,!?;:$%&*#|]+(?:\s|\Z))")
+_MARKS = ".,!?;:$%&*#|"
+#: Letters that no normalisation changes.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable,
+    the others in order from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordEncoder:
@@ -39,8 +51,8 @@ class WordEncoder:
 
     The tokenizer lower-cases, turns runs of white space into one blank and drops it, and never
     joins a letter with a mark. So no token depends on what stands beyond white space, a text's ids
-    are those of its words, and words are remembered in lower case and without the marks behind.
-    Texts in which special tokens may begin are only cut at white space.
+    are those of its words, and words are remembered in lower case. Texts in which special tokens
+    may begin are only cut at white space.
     """
 
     def __init__(self, path: str):
@@ -48,12 +60,25 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
+        self.marks: dict[str, bytes] = {"": b""}
         self.memo = Memo(self._encode)
 
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._encode_together([marks])[0]
+        return self.marks[marks]
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words of the letters a to z need the merges alone: no normalisation or splitting changes them."""
-        found = {w: array("I", [t.id for t in self.merges.tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha() and w.islower()}
-        others = [w for w in words if w not in found]
+        """Plain letters, with a few marks behind or none, are one or two splits that normalisation does
+        not change: the merges alone give their ids. All other words go through the whole tokenizer."""
+        found, others = {}, []
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if len(word) - len(core) <= 3 and _PLAIN(core):
+                letters = core if core.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, core.encode()))
+                found[word] = array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes() + self._marks(word[len(core) :])
+            else:
+                others.append(word)
         if others:
             found.update(zip(others, self._encode_together(others), strict=True))
         return [found[w] for w in words]
@@ -74,7 +99,7 @@ class WordEncoder:
 
 def _words(text: str) -> list[str]:
     if "<|" not in text:
-        text = _MARKS.sub(" ", text.encode().translate(_LOWER).decode())
+        text = text.encode().translate(_LOWER).decode()
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 

@@ -44,7 +44,7 @@ def test_copies_ties_and_refused_vectors(spark, cell_rows):
     rows += [(i, (np.array(rows[1][1]) * 3).tolist()) for i in range(300, 310)]  # of other lengths
     bad = [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] + [1.0] * 5), (404, [float("inf")] + [1.0] * 5),
            (405, [1.0, 2.0]), (None, [1.0] * 6), (406, [])]
-    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("cell", F.lit(2))
+    frame = spark.createDataFrame(rows + bad + rows[:25] * 2, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("cell", F.lit(2))
     queries = frame.where("vec_id % 10 = 0 or vec_id > 390").withColumnRenamed("vec_id", "query_id")
     got = {}
     for r in ann.nearest(frame, queries, k=5, cell_rows=cell_rows, confidence=0.9999, dimensions=4).collect():
