@@ -159,8 +159,9 @@ def score_quality(docs: DataFrame, weights: np.ndarray, settings: Settings = Set
     def compute(column: pa.Array) -> list:
         w = shared.value
         found, begins = _features(column, settings)
-        sums = np.concatenate(([0.0], np.cumsum(w[found])))
-        raw = (sums[begins[1:]] - sums[begins[:-1]]) / np.sqrt(np.maximum(np.diff(begins), 1)) + w[-1]
+        # Summed text by text, so that equal texts have equal scores.
+        sums = np.add.reduceat(np.append(w[found], 0.0), begins[:-1]) if len(begins) > 1 else np.zeros(0)
+        raw = np.where(np.diff(begins) > 0, sums, 0.0) / np.sqrt(np.maximum(np.diff(begins), 1)) + w[-1]
         return [1 / (1 + np.exp(-np.clip(raw, -35, 35)))]
 
     return append(docs, text, "score double", compute, 2 << 20)
