@@ -9,12 +9,12 @@ the counts of recent ones; the others are encoded in batches of a bounded number
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from softseek.llm import words as W
 from softseek.llm.memo import Memo
 
 #: White space but blank and newline: texts with it are cut by the general pattern.
@@ -67,19 +67,6 @@ class Counter:
             self.count = lambda texts: [sum(n) for n in self.memo.get_lists([pieces(t) for t in texts])]
 
 
-def _together(texts: list[str], chars: int) -> Iterator[list[str]]:
-    """Neighbouring texts of about so many characters, or one longer text."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t) > chars:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    if group:
-        yield group
-
-
 _counters: dict[tuple[str, int], Counter] = {}
 
 
@@ -95,7 +82,9 @@ def token_count(text: str | Column, tokenizer: str, batch_chars: int = 1 << 16)
     @F.arrow_udf("long")
     def count(column: pa.Array) -> pa.Array:
         counter = _counters.get((tokenizer, batch_chars)) or _counters.setdefault((tokenizer, batch_chars), Counter(tokenizer, batch_chars))
-        texts = [t or "" for t in column.to_pylist()]
-        return pa.array([n for group in _together(texts, 1 << 20) for n in counter.count(group)], pa.int64())
+        counts: list[int] = []
+        for chunk in W.chunks(iter([pa.record_batch([column], names=["text"])]), "text", 1 << 20):
+            counts += counter.count([t or "" for t in chunk.column("text").to_pylist()])
+        return pa.array(counts, pa.int64())
 
     return count(F.col(text) if isinstance(text, str) else text)
