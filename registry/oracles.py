@@ -209,8 +209,7 @@ def _replay(log: str, select: str) -> str:
     return with_(f"{log},\n{REPLAY}", select, recursive=True)
 
 
-def fcm_steps(n: int) -> str:
-    """Centres after ``n`` iterations from the label means: step 0 gives the first centres."""
+def _fcm_ctes(n: int) -> list[str]:
     ctes, current = [EMB, CENTERS], "centers"
     for i in range(n):
         ctes.append(weights(f"w{i}", "emb", current))
@@ -220,7 +219,27 @@ def fcm_steps(n: int) -> str:
             f"c{i} AS (SELECT cluster_id, list(value ORDER BY dim) AS c FROM c{i}_rows GROUP BY 1)"
         )
         current = f"c{i}"
-    return with_(",\n".join(ctes), f"SELECT cluster_id, dim::INTEGER AS dim, round(value, 6) AS value FROM {current}_rows")
+    return ctes
+
+
+def fcm_steps(n: int) -> str:
+    """Centres after ``n`` iterations from the label means: step 0 gives the first centres."""
+    return with_(",\n".join(_fcm_ctes(n)), f"SELECT cluster_id, dim::INTEGER AS dim, round(value, 6) AS value FROM c{n - 1}_rows")
+
+
+def fcm_converged(n: int, error: float) -> str:
+    """Centres of the first iteration whose memberships move by less than ``error``; no rows after ``n`` iterations."""
+    ctes = _fcm_ctes(n + 1)
+    moves = [
+        f"SELECT {i} AS step, sqrt(sum(pow(a.u - b.u, 2))) AS change FROM w{i} a JOIN w{i - 1} b USING (point_id, cluster_id)"
+        for i in range(1, n + 1)
+    ]
+    ctes.append(f"stop AS (SELECT min(step) AS step FROM ({' UNION ALL '.join(moves)}) WHERE change < {error})")
+    rows = " UNION ALL ".join(f"SELECT {i} AS step, * FROM c{i - 1}_rows" for i in range(1, n + 1))
+    return with_(
+        ",\n".join(ctes),
+        f"SELECT cluster_id, dim::INTEGER AS dim, round(value, 6) AS value FROM ({rows}) WHERE step = (SELECT step FROM stop)",
+    )
 
 
 ASSIGNED = with_(
@@ -304,6 +323,7 @@ FROM emb a JOIN emb b ON b.point_id = a.point_id + 1""",
     ),
     "fcm_memberships": with_(CLUSTERED, "SELECT point_id, cluster_id, round(u, 6) AS membership FROM w"),
     "fcm_fit": fcm_steps(3),
+    "fcm_fit_converged": fcm_converged(20, 0.005),
     "fuzzy_partition_coefficient": with_(CLUSTERED, "SELECT round(avg(s), 6) AS fpc FROM (SELECT sum(u * u) AS s FROM w GROUP BY point_id)"),
     "top_clusters": with_(CLUSTERED, "SELECT point_id, array_to_string(top2, ',') AS top_clusters FROM f"),
     "dominant_cluster": with_(CLUSTERED, "SELECT point_id, dom AS dominant_cluster, round(top_u, 6) AS max_membership FROM f"),

@@ -327,18 +327,30 @@ def fcm_memberships(spark, sf):
     return df.select("point_id", "cluster_id", r6("u").alias("membership"))
 
 
+def _center_values(spark, model):
+    centers = clusters.centers_frame(spark, model.centers)
+    return centers.select("cluster_id", F.posexplode("center").alias("dim", "v")).select("cluster_id", "dim", r6("v").alias("value"))
+
+
 @query
 def fcm_fit(spark, sf):
+    """Three steps, for its SQL; ``fcm_fit_converged`` is the whole fit."""
     model = clusters.fcm_fit(
         src.embeddings(spark, sf), m=src.FUZZINESS, error=0.0, max_iter=3, initial_centers=src.centers(spark, sf)
     )
-    centers = clusters.centers_frame(spark, model.centers)
-    return centers.select("cluster_id", F.posexplode("center").alias("dim", "v")).select("cluster_id", "dim", r6("v").alias("value"))
+    return _center_values(spark, model)
+
+
+@query
+def fcm_fit_converged(spark, sf):
+    """The fit to its own stopping rule."""
+    model = clusters.fcm_fit(src.embeddings(spark, sf), m=src.FUZZINESS, initial_centers=src.centers(spark, sf))
+    return _center_values(spark, model)
 
 
 @query
 def fcm_fit_seeded(spark, sf):
-    model = clusters.fcm_fit(src.embeddings(spark, sf), 10, m=src.FUZZINESS, max_iter=50)
+    model = clusters.fcm_fit(src.embeddings(spark, sf), 10, m=src.FUZZINESS)
     rows = [(model.k, model.iterations, bool(np.all(np.diff(model.objective) <= 1e-9)))]
     return spark.createDataFrame(rows, "k int, iterations int, objective_falls boolean")
 
@@ -368,7 +380,7 @@ def silhouette(spark, sf):
 
 @query
 def sweep_k(spark, sf):
-    return clusters.sweep_k(src.embeddings(spark, sf), range(10, 13), m=src.FUZZINESS, error=0.05, max_iter=20)
+    return clusters.sweep_k(src.embeddings(spark, sf), m=src.FUZZINESS)
 
 
 @query
