@@ -259,15 +259,15 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace_entities(docs: DataFrame, key: bytes, text: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes, text: str = "text", broadcast_rows: int = 200_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``docs(doc_id, text, ...)`` with surrogates in ``text`` and ``entities
     array<struct<kind,start,end>>`` (places in the new text).
 
     One key gives one mapping; equal entities get equal surrogates in all documents, different
     entities of a kind different ones, and no surrogate is an entity of the corpus. Null text stays
-    null. Rows may share a doc_id. A column ``entities`` of ``docs`` is replaced. ``broadcast_rows``:
-    mappings of up to so many documents are broadcast, more are joined by doc_id; the result is
-    the same.
+    null. Rows may share a doc_id. A column ``entities`` of ``docs`` is replaced. ``broadcast_rows``,
+    ``broadcast_bytes``: mappings of up to so many documents and measured bytes are broadcast, more
+    are joined by doc_id; the result is the same.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = materialize(narrow.mapInArrow(_entity_rows, "doc_id long, kind string, value string").distinct(), "held")
@@ -275,7 +275,10 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", broadcast_
     pair = F.struct("kind", "value", "made")
     maps = held.join(made, ["kind", "value"]).groupBy("doc_id").agg(F.collect_list(pair).alias("_made"))
     maps = materialize(maps.withColumnRenamed("doc_id", "_doc"), "maps")
-    if maps.count() <= broadcast_rows:
+    # A row holds all entities of a document, so rows alone bound nothing.
+    size = "aggregate(_made, 64L, (n, e) -> n + 64 + octet_length(e.kind) + octet_length(e.value) + octet_length(e.made))"
+    measured = maps.selectExpr("count(*) as n", f"coalesce(sum({size}), 0) as bytes").first()
+    if measured["n"] <= broadcast_rows and measured["bytes"] <= broadcast_bytes:
         maps = F.broadcast(maps)
     kept = docs.drop("entities")
     joined = kept.join(maps, kept["doc_id"].cast("long").eqNullSafe(maps["_doc"]), "left").drop("_doc")
