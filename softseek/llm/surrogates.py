@@ -177,6 +177,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
     if kind == "ip":
         parts = value.split(".")
         kept = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
+        if kept and attempt >= 8:  # the range is used up: another private one, at last any
+            parts, kept = ["10"], int(attempt < 24)
         first = [str(1 + draw.below(223))] if not kept else []
         return ".".join(parts[:kept] + first + [str(draw.below(254) + 1) for _ in range(4 - kept - len(first))])
     if kind == "card":

@@ -16,3 +16,14 @@ def test_mappings_are_broadcast_by_bytes(spark, monkeypatch):
     assert len(asked) == 1
     assert S.replace_entities(docs, KEY, broadcast_bytes=10_000).orderBy("doc_id").collect() == few
     assert len(asked) == 1
+
+
+def test_small_address_range_is_left_when_it_is_full(spark):
+    """All of 192.168.1-254.1-254 are entities, so none of them can be a surrogate."""
+    rows = spark.range(254 * 254).select(
+        F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), (F.col("id") / 254).cast("int") + 1, F.col("id") % 254 + 1).alias("value")
+    )
+    made = [r.made for r in S.assign(rows, KEY, rounds=20).collect()]
+    assert len(made) == len(set(made)) == 254 * 254
+    assert all(m.startswith("10.") for m in made)
+    assert S.surrogate("ip", "192.168.3.4", KEY, 0).startswith("192.168.")
