@@ -53,7 +53,10 @@ for _word in (*_TITLE_GENDER, *_GIVEN_GENDER):
 _NAME_KEYS.make_automaton()
 _DIGITS = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]?\d))|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)\+\d[\d ().-]{6,18}\d(?!\d))|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![ -]?\d))",
+    r"|(?P<phone>(?<!\w)\+\d[\d ().-]{6,18}\d(?!\d))|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?![ -]?\d))"
+    # National numbers: area code in brackets, trunk zero, pairs of digits, three groups with the same mark.
+    r"|(?P<national>(?:(?<!\w)\(\d{2,5}\)[ ./-]?\d{2,8}(?:[ .-]\d{2,5}){0,3}|(?<![\w.-])0[1-9]\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,2}"
+    r"|(?<![\w.-])0[1-9](?:[ .-]\d\d){4}|(?<![\w.-])(?:1[.-])?[2-9]\d\d(?P<mark>[.-])[2-9]\d\d(?P=mark)\d{4})(?!\w|[.-]\d))",
     re.ASCII,
 )
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
@@ -108,10 +111,16 @@ def _iban_right(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _number_right(match: re.Match) -> bool:
+    if match["ip"]:
+        return all(int(x) < 256 for x in match["ip"].split("."))
+    return not match["national"] or sum(c.isdigit() for c in match["national"]) >= 9
+
+
 def find_entities(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, in order, not overlapping; of two that meet the first."""
     found = list(_emails(text))
-    found += [(m.lastgroup, *m.span()) for m in _DIGITS.finditer(text) if m.lastgroup != "ip" or all(int(x) < 256 for x in m.group().split("."))]
+    found += [("phone" if m["national"] else m.lastgroup, *m.span()) for m in _DIGITS.finditer(text) if _number_right(m)]
     found += [("iban", *m.span()) for m in _IBAN.finditer(text) if _iban_right(m.group())]
     found += list(_names(text))
     out, end = [], 0
@@ -185,7 +194,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int) -> str:
         body = value[0] + draw.like(value[1:-1])
         return body + (_luhn_digit(body) if _luhn_digit(value[:-1]) == value[-1] else draw.like("0"))
     if kind == "phone":
-        return value[:3] + draw.like(value[3:])
+        kept = 3 if attempt < 8 else 1
+        return value[:kept] + draw.like(value[kept:])
     if kind == "ssn":
         return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "iban":
