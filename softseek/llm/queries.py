@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softseek.llm import ann, decontaminate, jaccard, lm, mixing, quality, secret_scan, surrogates, token_counts, token_files
-from softseek.session import scratch_path
+from softseek.llm import ann, decontaminate, jaccard, lm, merkle, mixing, quality, secret_scan, surrogates, token_counts, token_files
+from softseek.session import materialize, scratch_path
 
 SURROGATE_KEY = b"documents-2026"
 ACCEPT = 0.7
@@ -104,6 +104,24 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    rest = ("source", "lang", "n_chars")
+    forged = merkle.row_digest("doc_id", *rest, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = table(spark, sf, "documents").select(
+        F.col("source").cast("string").alias("tree"), "doc_id",
+        merkle.row_digest("doc_id", *rest, "text").alias("node"),
+        F.when(remainder(2) == 0, forged).alias("forged"),
+    )
+    # Leaves are hashed once: the sort by range reads its rows twice.
+    manifest = merkle.write_manifest(materialize(rows, "leaves"), scratch_path(spark, "manifest"), ["doc_id"])
+    root, subroot = F.col("tops")[0], F.col("tops")[1]
+    proven = manifest.proofs().withColumn("folded_root", merkle.fold(F.coalesce("forged", "node")))
+    return proven.select(
+        "doc_id", F.col("node").alias("leaf"), subroot.alias("subroot"), root.alias("root"),
+        F.sha2(merkle.siblings(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -115,4 +133,5 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
