@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from softseek.llm import words as W
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, nbytes: int) -> Iterator[None]:
+    """Inside, Arrow batches that go to Python hold at most ``nbytes`` (or one longer row), not only a number of rows."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, str(nbytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
 Compute = Callable[[pa.Array], list]
 
 

@@ -9,9 +9,7 @@ those of the rows it asks for; metadata can be read without any token.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from softseek.llm import frames, word_ids
 from softseek.llm import words as W
-from softseek.llm.memo import Memo
 
 FILE_SCHEMA = "part int, doc_id long, place long, n_tokens long, tokens array<int>"
 _FILE = pa.schema(
@@ -29,106 +27,16 @@ _FILE = pa.schema(
 )
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MARKS = ".,!?;:$%&*#|"
-#: Letters that no normalisation changes.
-_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable,
-    the others in order from 256."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-_BYTE_LETTERS = _byte_letters()
-
-
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, with a bounded memory of words.
-
-    The tokenizer lower-cases, turns runs of white space into one blank and drops it, and never
-    joins a letter with a mark. So no token depends on what stands beyond white space, a text's ids
-    are those of its words, and words are remembered in lower case. Texts in which special tokens
-    may begin are only cut at white space.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model
-        self.marks: dict[str, bytes] = {"": b""}
-        self.memo = Memo(self._encode)
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks] = self._encode_together([marks])[0]
-        return self.marks[marks]
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Plain letters, with a few marks behind or none, are one or two splits that normalisation does
-        not change: the merges alone give their ids. All other words go through the whole tokenizer."""
-        found, others = {}, []
-        for word in words:
-            core = word.rstrip(_MARKS)
-            if len(word) - len(core) <= 3 and _PLAIN(core):
-                letters = core if core.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, core.encode()))
-                found[word] = array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes() + self._marks(word[len(core) :])
-            else:
-                others.append(word)
-        if others:
-            found.update(zip(others, self._encode_together(others), strict=True))
-        return [found[w] for w in words]
-
-    def _encode_together(self, words: list[str]) -> list[bytes]:
-        """Encodes words in one go, as a text, and deals the ids out by their offsets."""
-        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *[len(w) + 1 for w in words]])
-        at = np.array([a for a, _ in coded.offsets], np.int64)
-        cuts = np.searchsorted(at, begins) * 4
-        ids = np.array(coded.ids, np.uint32).tobytes()
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        return [b"".join(ids) for ids in self.memo.get_lists([_words(t) for t in texts])]
-
-
-def _words(text: str) -> list[str]:
-    if "<|" not in text:
-        text = text.encode().translate(_LOWER).decode()
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
-def _lists(values: list[bytes]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(v) // 4 for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32)))
-
-
 def _encode_rows(path: str, end: int):
-    tail = np.array([end], np.uint32).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        encoder = _encoder(path)
+        encoder = word_ids.encoder(path)
         for chunk in W.chunks(batches, "text", 1 << 20):
-            coded = [ids + tail for ids in encoder.encode([t or "" for t in chunk.column("text").to_pylist()])]
-            n = np.array([len(c) // 4 for c in coded], np.int64)
-            places = place + np.cumsum(n) - n
-            place += int(n.sum())
-            columns = [pa.array(np.full(len(n), part, np.int32)), chunk.column("doc_id"), pa.array(places), pa.array(n), _lists(coded)]
+            ids, n = word_ids.with_end(*encoder.encode_column(chunk.column("text")), end)
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+            columns = [pa.array(np.full(len(n), part, np.int32)), chunk.column("doc_id"), pa.array(place + offsets[:-1]), pa.array(n), lists]
+            place += int(offsets[-1])
             yield pa.RecordBatch.from_arrays(columns, schema=_FILE)
 
     return run
@@ -150,17 +58,19 @@ def write_tokens(
     ``dictionary=False`` delta-encodes the tokens too.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id are dealt by how their texts begin, and ordered by their whole texts.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     coded = ordered.mapInArrow(_encode_rows(tokenizer, end), FILE_SCHEMA)
-    (
-        coded.write.option("parquet.writer.version", "v2")
-        .option("parquet.enable.dictionary", str(dictionary).lower())
-        .option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", page_bytes)
-        .option("parquet.page.row.count.limit", 2000)
-        .option("compression", "zstd")
-        .parquet(folder)
-    )
+    with frames.batches_of(docs.sparkSession, 4 << 20):
+        (
+            coded.write.option("parquet.writer.version", "v2")
+            .option("parquet.enable.dictionary", str(dictionary).lower())
+            .option("parquet.block.size", row_group_bytes)
+            .option("parquet.page.size", page_bytes)
+            .option("parquet.page.row.count.limit", 2000)
+            .option("compression", "zstd")
+            .parquet(folder)
+        )
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

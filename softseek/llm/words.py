@@ -101,10 +101,8 @@ def _window_end(data: np.ndarray, offsets: np.ndarray, start: int, values: np.nd
     return text_end
 
 
-def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BLANK_SEPARATED
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each text's words begin (one more than texts)."""
+def word_places(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BLANK_SEPARATED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the byte at which each begins."""
     hashes, firsts = [], []
     start = 0
     while start < len(data):
@@ -126,7 +124,14 @@ def word_hashes(
             firsts.append(first + start)
         start = stop
     starts = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), starts
+
+
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BLANK_SEPARATED
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each text's words begin (one more than texts)."""
+    words, starts = word_places(data, offsets, values)
     return words, np.searchsorted(starts, offsets)
 
 

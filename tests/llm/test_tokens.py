@@ -2,13 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from softseek.llm import token_files
+from softseek.llm import token_files, word_ids
 from softseek.llm.token_counts import Counter, pieces, token_count
 from softseek.llm.queries import op1_token_counts, op6_token_files
 from softseek.session import scratch_path
@@ -34,11 +35,25 @@ def test_counts_equal_the_library():
 
 
 def test_ids_equal_the_library():
-    whole, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    whole, encoder = Tokenizer.from_file(WORDS), word_ids.WordEncoder(WORDS)
     for t in [*texts(), "word " * 50_000, "x" * 20_000]:
         assert np.frombuffer(encoder.encode([t])[0], np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_columns_with_little_memory():
+    whole, encoder = Tokenizer.from_file(WORDS), word_ids.WordEncoder(WORDS, max_bytes=20_000)
+    some = [*texts(2000), None, "", "x" * 300_000, "The THE the the"]
+    for _ in range(2):
+        for at in range(0, len(some), 37):
+            part = some[at : at + 37]
+            ids, counts = encoder.encode_column(pa.array(part, pa.string()))
+            want = [whole.encode(t or "", add_special_tokens=False).ids for t in part]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+            assert encoder.memory.nbytes() < 20_000 + 10_000
+    ids, counts = encoder.encode_column(pa.array([], pa.string()))
+    assert len(ids) == len(counts) == 0
+
+
 def test_memory_is_bounded():
     counter = Counter(BYTES, 64)
     memo = counter.memo
