@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softseek.llm import ann, decontaminate, jaccard, lm, merkle, mixing, quality, secret_scan, surrogates, token_counts, token_files
+from softseek.llm import ann, decontaminate, jaccard, lm, merkle, mixing, packing, quality, secret_scan, surrogates, token_counts, token_files
 from softseek.session import materialize, scratch_path
 
 SURROGATE_KEY = b"documents-2026"
@@ -122,6 +122,11 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -134,4 +139,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_packing": op13_packing,
 }

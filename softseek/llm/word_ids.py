@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,9 @@ _MARKS = ".,!?;:$%&*#|"
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: Longer words are encoded every time.
 LONGEST = 64
+#: Longer texts are encoded part by part.
+_LONG_TEXT = 1 << 20
+_SPACE = re.compile("[ \t\n\r]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,6 +52,16 @@ def gather(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at white space into parts of some ``_LONG_TEXT`` characters, or one longer word."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + _LONG_TEXT)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 class _Segment:
     """Words by ascending hash: their lengths in bytes and their ids in one pool."""
 
@@ -174,6 +187,9 @@ class WordEncoder:
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column and the number of ids of each row; null is empty."""
         texts = pc.fill_null(texts, "")
+        if len(texts) == 1 and texts.nbytes > 2 * _LONG_TEXT:
+            parts = [self.encode_column(pa.array([p], pa.string())) for p in _parts(texts[0].as_py())]
+            return np.concatenate([ids for ids, _ in parts]), np.array([sum(int(n[0]) for _, n in parts)])
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         if special.any():
             return self._with_special(texts, special)
