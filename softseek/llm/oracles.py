@@ -119,8 +119,60 @@ FROM walk JOIN subroots ON subroots.source IS NOT DISTINCT FROM walk.source CROS
 WHERE part = 'sources' AND level = top.height
 """
 
+COLLOCATIONS = rf"""
+WITH RECURSIVE piece AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), sequence AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), place AS (
+    SELECT lang, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS run FROM sequence, range(1, 5) AS sizes(k) WHERE len(w) >= k
+), run AS MATERIALIZED (
+    SELECT lang, run, count(*) AS f FROM place GROUP BY ALL HAVING count(*) >= 30
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM sequence GROUP BY lang
+), split AS MATERIALIZED (
+    SELECT lang, run, f AS a, k, run[:k] AS one, run[k + 1:] AS two FROM run, range(1, 4) AS ks(k) WHERE k < len(run)
+), cut AS MATERIALIZED (
+    SELECT split.lang, split.run, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+    FROM split JOIN run AS x ON x.lang = split.lang AND x.run = one JOIN run AS y ON y.lang = split.lang AND y.run = two
+), weakest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, run ORDER BY score, k) AS low FROM cut) WHERE low = 1
+), inner_run AS (
+    SELECT lang, run[i:i + k - 1] AS run, max(f) AS longer FROM run, range(1, 4) AS i_(i), range(2, 4) AS k_(k)
+    WHERE k < len(run) AND i + k - 1 <= len(run) GROUP BY ALL
+), kept AS (
+    SELECT weakest.* FROM weakest LEFT JOIN inner_run USING (lang, run) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), edge AS (
+    SELECT lang, run, f, run[:3] AS tail, run[2:] AS head FROM run WHERE len(run) = 4
+), way_out AS (
+    SELECT lang, tail AS node, count(*) AS ways, any_value(f) AS f, any_value(run) AS run FROM edge GROUP BY ALL
+), way_in AS (
+    SELECT lang, head AS node, count(*) AS ways, any_value(f) AS f, any_value(run) AS run FROM edge GROUP BY ALL
+), link AS (
+    SELECT lang, i.run AS prior, o.run AS next FROM way_out AS o JOIN way_in AS i USING (lang, node) WHERE o.ways = 1 AND i.ways = 1 AND o.f = i.f
+), walk AS (
+    SELECT lang, run AS first, run AS here FROM edge WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.lang = edge.lang AND link.next = edge.run)
+    UNION ALL
+    SELECT lang, first, next FROM walk JOIN link USING (lang) WHERE link.prior = walk.here
+), circle AS (
+    SELECT lang, run AS first, run AS here FROM edge WHERE NOT EXISTS (SELECT 1 FROM walk WHERE walk.lang = edge.lang AND walk.here = edge.run)
+    UNION ALL
+    SELECT lang, first, next FROM circle JOIN link USING (lang) WHERE link.prior = circle.here AND next <> first
+), passage AS (
+    SELECT lang, here AS run, count(*) OVER (PARTITION BY lang, first) + 3 AS passage_words FROM walk
+    UNION ALL
+    SELECT lang, first, count(*) + 3 FROM circle GROUP BY lang, first
+)
+SELECT lang, rank, phrase, a, l, r, n, score, passage_words FROM (
+    SELECT lang, run, array_to_string(run, ' ') AS phrase, a, l, r, n, score,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(run, ' ')) AS rank
+    FROM kept JOIN total USING (lang)
+) LEFT JOIN passage USING (lang, run) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op7_jaccard_join": NEAR_DUPLICATES,
     "op9_decontamination": DECONTAMINATION,
+    "op11_collocations": COLLOCATIONS,
     "op12_merkle_manifest": MERKLE,
 }

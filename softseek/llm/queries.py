@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softseek.llm import ann, decontaminate, jaccard, lm, merkle, mixing, packing, quality, secret_scan, surrogates, token_counts, token_files
+from softseek.llm import ann, collocations, decontaminate, jaccard, lm, merkle, mixing, packing, quality, secret_scan, surrogates, token_counts, token_files
 from softseek.session import materialize, scratch_path
 
 SURROGATE_KEY = b"documents-2026"
@@ -104,6 +104,10 @@ def op10_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), least=30, top=2000, absorbed=80)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     rest = ("source", "lang", "n_chars")
     forged = merkle.row_digest("doc_id", *rest, F.replace("text", F.lit("\n"), F.lit("")))
@@ -138,6 +142,7 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_packing": op13_packing,
 }
