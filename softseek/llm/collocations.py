@@ -42,7 +42,8 @@ _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[np.frombuffer(BREAKS, np.uint8)] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PACKED = "bucket int, kind string, n long, lang string, packed binary"
-_COUNTED = "kind string, run array<long>, f long, lang string, word string"
+_COUNTED = "kind string, run array<long>, node long, f long, lang string, word string"
+_COUNTED_NAMES = ["kind", "run", "node", "f", "lang", "word"]
 
 
 def _compress(raw: bytes) -> bytes:
@@ -126,25 +127,62 @@ class _Words:
         for _, _, which, distinct, _, _ in self.sources:
             yield from zip(distinct, np.bincount(which, minlength=len(distinct)).tolist())
 
-    def runs(self):
-        """Distinct nodes with the place where each stands first, and the distinct records as four node
-        columns (0 behind a piece's end) in ascending order with their counts."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """The distinct nodes behind a 0, the place where each stands first, and the distinct records:
+        four columns of numbers into the nodes (0 behind a piece's end) in ascending order, and their counts."""
         nodes, piece = np.concatenate(self.nodes), np.concatenate(self.pieces)
         distinct, first, which = np.unique(nodes, return_index=True, return_inverse=True)
-        codes = [which + 1]
+        codes = [(which + 1).astype(np.int32)]
+        del nodes, which
         for k in range(1, WIDTH):
-            code = np.zeros(len(nodes), np.int64)
-            code[:-k] = np.where(piece[k:] == piece[:-k], which[k:] + 1, 0)
+            code = np.zeros(len(piece), np.int32)
+            code[:-k] = np.where(piece[k:] == piece[:-k], codes[0][k:], 0)
             codes.append(code)
-        base = len(distinct) + 1
-        high = codes[0] * base + codes[1]
+        del piece
+        base = np.int64(len(distinct) + 1)
         _, low = np.unique(codes[2] * base + codes[3], return_inverse=True)
-        order = np.lexsort((low, high)) if base * base * (int(low.max()) + 1) >= 1 << 63 else np.argsort(high * (int(low.max()) + 1) + low)
-        high, low = high[order], low[order]
-        begins = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
-        counts = np.diff(np.append(begins, len(order)))
-        names = np.append(np.uint64(0), distinct)
-        return distinct, first, [names[c[order[begins]]] for c in codes], counts
+        high, lows = codes[0] * base + codes[1], int(low.max()) + 1
+        if int(base) * int(base) * lows < 1 << 63:
+            high *= lows
+            high += low
+            del low
+            order = np.argsort(high)
+            high = high[order]
+            fresh = high[1:] != high[:-1]
+        else:
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            fresh = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        del high
+        begins = np.flatnonzero(np.append(True, fresh))
+        rows = order[begins]
+        return np.append(np.uint64(0), distinct), first, [c[rows] for c in codes], np.diff(np.append(begins, len(order)))
+
+
+def _pack(names: np.ndarray, codes: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Records as numbers into the nodes that they have, these nodes, and counts, each as narrow as it can be."""
+    used = np.zeros(len(names), bool)
+    for c in codes:
+        used[c] = True
+    own = np.flatnonzero(used)
+    place = np.zeros(len(names), np.int32)
+    place[own] = np.arange(len(own), dtype=np.int32)
+    wide, long = len(own) > 1 << 16, int(counts.max()) > 255
+    columns = [place[c].astype(np.uint32 if wide else np.uint16).tobytes() for c in codes]
+    raw = b"".join([names[own].tobytes(), *columns, counts.astype(np.uint32 if long else np.uint8).tobytes()])
+    head = np.array([len(own), len(counts), wide, long, len(raw)], np.int64).tobytes()
+    return head + _compress(raw)
+
+
+def _unpack(packed: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    own, n, wide, long, size = np.frombuffer(packed, np.int64, 5).tolist()
+    raw = _decompress(packed[40:], size)
+    names = np.frombuffer(raw, np.uint64, own)
+    kind, at, nodes = np.dtype(np.uint32 if wide else np.uint16), 8 * own, []
+    for _ in range(WIDTH):
+        nodes.append(names[np.frombuffer(raw, kind, n, at)])
+        at += n * kind.itemsize
+    return nodes, np.frombuffer(raw, np.uint32 if long else np.uint8, n, at).astype(np.int64)
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -211,12 +249,11 @@ def _pack_runs(layout: Layout, seed: int):
         words = _Words(seed)
 
         def rows() -> Iterator[tuple]:
-            distinct, first, nodes, counts = words.runs()
-            for bucket, own in _slices(layout.bucket(_pair_hash(nodes[0], nodes[1]), nodes[2])):
-                raw = b"".join([n[own].tobytes() for n in nodes] + [counts[own].astype(np.uint32).tobytes()])
-                yield bucket, "run", len(own), None, _compress(raw)
+            nodes, first, codes, counts = words.runs()
+            for bucket, own in _slices(layout.bucket(_pair_hash(nodes[codes[0]], nodes[codes[1]]), nodes[codes[2]])):
+                yield bucket, "run", len(own), None, _pack(nodes, [c[own] for c in codes], counts[own])
             order = np.argsort(first)
-            ordered = distinct[order]
+            ordered = nodes[1:][order]
             for lang, places, called in words.names(first[order]):
                 own = ordered[places]
                 for bucket, mine in _slices(layout.name_bucket(own)):
@@ -250,8 +287,8 @@ def _counted(kind: str, nodes: list[np.ndarray], f: np.ndarray) -> pa.RecordBatc
     flat = np.stack(nodes, axis=1).reshape(-1).view(np.int64) if n else np.zeros(0, np.int64)
     runs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(flat))
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.string()), runs, pa.array(f.astype(np.int64)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())],
-        names=["kind", "run", "f", "lang", "word"],
+        [pa.array([kind] * n, pa.string()), runs, pa.nulls(n, pa.int64()), pa.array(f.astype(np.int64)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())],
+        names=_COUNTED_NAMES,
     )
 
 
@@ -259,11 +296,11 @@ def _add_up(layout: Layout, least: int):
     """Packed rows, bucket by bucket, to counted runs: ``run`` (frequent, whole), ``pair`` and ``word``
     (flows to be added up), ``name``, ``total`` and ``collision``."""
 
-    def flows(packed: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        raw = [(n, _decompress(p, n * (8 * WIDTH + 4))) for n, p in packed]
-        nodes = [np.concatenate([np.frombuffer(b, np.uint64, n, 8 * n * k) for n, b in raw]) for k in range(WIDTH)]
-        counts = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n * WIDTH) for n, b in raw]).astype(np.int64)
-        raw.clear()
+    def flows(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack(p) for p in packed]
+        nodes = [np.concatenate([n[k] for n, _ in parts]) for k in range(WIDTH)]
+        counts = np.concatenate([c for _, c in parts])
+        parts.clear()
         order = np.lexsort(nodes[::-1])
         nodes = [n[order] for n in nodes]
         counts = counts[order]
@@ -274,7 +311,11 @@ def _add_up(layout: Layout, least: int):
             nodes = [n[begins] for n in nodes[:width]]
             whole = nodes[-1] != 0
             if width == 1:
-                yield _counted("word", nodes, counts)
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["word"] * n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.array(nodes[0].view(np.int64)), pa.array(counts),
+                     pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=_COUNTED_NAMES
+                )
                 return
             spread = layout.is_hot(_pair_hash(*nodes)) if width == 2 else np.zeros(len(counts), bool)
             final = np.flatnonzero(whole & ~spread & (counts >= least))
@@ -291,11 +332,10 @@ def _add_up(layout: Layout, least: int):
             for node, word in zip(nodes, raw[8 * n :].split(b"\n"), strict=True):
                 if known.setdefault(node, (lang, word)) != (lang, word):
                     yield _counted("collision", [np.zeros(1, np.uint64)], np.ones(1))
-        n = len(known)
-        runs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(list(known), pa.int64()))
+        n, nodes = len(known), pa.array(list(known), pa.int64())
         langs, words = pa.array([v[0] for v in known.values()], pa.string()), pa.array([v[1] for v in known.values()], pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(["name"] * n, pa.string()), runs, pa.nulls(n, pa.int64()), langs, words], names=["kind", "run", "f", "lang", "word"]
+            [pa.array(["name"] * n, pa.string()), pa.nulls(n, pa.list_(pa.int64())), nodes, pa.nulls(n, pa.int64()), langs, words], names=_COUNTED_NAMES
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +345,7 @@ def _add_up(layout: Layout, least: int):
 
         for (_, kind), group in itertools.groupby(rows(), key=lambda r: r[:2]):
             if kind == "run":
-                yield from flows([(n, p) for _, _, n, _, p in group])
+                yield from flows([p for *_, p in group])
             elif kind == "name":
                 yield from called([(n, lang, p) for _, _, n, lang, p in group])
             else:
@@ -313,9 +353,9 @@ def _add_up(layout: Layout, least: int):
                 for _, _, n, lang, _ in group:
                     totals[lang] = totals.get(lang, 0) + n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["total"] * len(totals), pa.string()), pa.nulls(len(totals), pa.list_(pa.int64())),
+                    [pa.array(["total"] * len(totals), pa.string()), pa.nulls(len(totals), pa.list_(pa.int64())), pa.nulls(len(totals), pa.int64()),
                      pa.array(list(totals.values()), pa.int64()), pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string())],
-                    names=["kind", "run", "f", "lang", "word"],
+                    names=_COUNTED_NAMES,
                 )
 
     return run
@@ -330,9 +370,9 @@ def _layout(texts: DataFrame, bucket_bytes: int, seed: int) -> Layout:
         words = _Words(seed)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            _, _, nodes, counts = words.runs()
-            begins = _starts(nodes[:2])
-            sums, found = np.add.reduceat(counts, begins), _pair_hash(nodes[0][begins], nodes[1][begins])
+            nodes, _, codes, counts = words.runs()
+            begins = _starts(codes[:2])
+            sums, found = np.add.reduceat(counts, begins), _pair_hash(nodes[codes[0][begins]], nodes[codes[1][begins]])
             many = np.flatnonzero(sums >= 0.5 * HOT_SHARE * words.n)
             hashes = np.append(found[many], np.uint64(0)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.append(sums[many], words.n))], names=["pair", "n"])
@@ -365,9 +405,11 @@ def count_runs(docs: DataFrame, least: int, bucket_bytes: int = BUCKET_BYTES) ->
             counted = materialize(met.mapInArrow(_add_up(layout, least), _COUNTED), "runs")
         if counted.where("kind = 'collision'").isEmpty():
             break
-    sums = counted.where("kind in ('pair', 'word')").groupBy("run").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    runs = materialize(counted.where("kind = 'run'").select("run", "f").unionByName(sums), "frequent")
-    names = counted.where("kind = 'name'").select(F.col("run")[0].alias("node"), "lang", "word")
+    pairs = counted.where("kind = 'pair'").groupBy("run").agg(F.sum("f").alias("f"))
+    words = counted.where("kind = 'word'").groupBy("node").agg(F.sum("f").alias("f")).select(F.array("node").alias("run"), "f")
+    runs = counted.where("kind = 'run'").select("run", "f").unionByName(pairs.unionByName(words).where(F.col("f") >= least))
+    runs = materialize(runs, "frequent")
+    names = counted.where("kind = 'name'").select("node", "lang", "word")
     return runs, names, counted.where("kind = 'total'").groupBy("lang").agg(F.sum("f").alias("n"))
 
 
