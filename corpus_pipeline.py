@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from softseek.llm import decontaminate, jaccard, mixing, quality, token_files
 from softseek.llm.queries import ACCEPT, learnable, table
+from softseek.operators.ordering import dense_index
 from softseek.session import materialize, scratch_path, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,6 +41,20 @@ def _shipped(stage: Stage) -> Stage:
     return call
 
 
+#: Columns that stages read; all others travel under names that no operator uses.
+_READ = ("doc_id", "text", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns renamed by position."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in _READ else f"kept{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, under their names."""
+    return made.select(*[F.col(c if c in _READ else f"kept{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 @_shipped
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more; the classifier learns from labelled documents of the stage's input.
@@ -48,60 +63,82 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = learnable(table(spark, sf_dir, "labels"))
     weights = quality.fit_quality(learnable(docs.select("doc_id", "text")), labels)
-    return quality.score_quality(docs, weights).where(F.col("score") >= ACCEPT).select(*docs.columns)
+    return _back(quality.score_quality(_apart(docs), weights).where(F.col("score") >= ACCEPT), docs)
 
 
 @_shipped
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of smallest doc_id.
 
-    Documents without words or without doc_id have no duplicates and stay; of rows that share a
-    doc_id one stays.
+    Documents without words or without doc_id have no duplicates and stay. Rows that share a doc_id
+    are documents of their own if their texts differ; of those that repeat doc_id and text one stays.
     """
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, PERCENT)
-    kept = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows"))
-    kept = materialize(kept.where("first <> doc_id or rows > 1"), "groups")
-    gone = materialize(kept.where("first <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    again = materialize(kept.where("rows > 1 and first = doc_id").select(F.col("doc_id").alias("_again")), "again")
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if not again.head(1):
-        return left
-    once = Window.partitionBy("doc_id").orderBy("text")
-    repeated = left.join(again, left["doc_id"] == again["_again"], "left_semi").withColumn("_row", F.row_number().over(once))
-    single = left.join(again, left["doc_id"] == again["_again"], "left_anti")
-    return single.unionByName(repeated.where("_row = 1").drop("_row"))
+    rows = _apart(docs)
+    shared = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if shared.isEmpty():
+        return _back(rows.join(_later_copies(rows.select("doc_id", "text")), "doc_id", "left_anti"), docs)
+    # Documents are then known by the place of doc_id and text among all of them.
+    print_of = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = rows.where("doc_id is not null").withColumn("print", print_of).withColumn("empty", F.col("text").isNull())
+    places = dense_index(known.select("doc_id", "print", "empty").distinct(), "doc_id", "print", "empty", name="place")
+    once = Window.partitionBy("doc_id", "print", "empty").orderBy("doc_id")
+    placed = materialize(known.join(places, ["doc_id", "print", "empty"]).withColumn("copy", F.row_number().over(once)).where("copy = 1"), "placed")
+    gone = _later_copies(placed.select(F.col("place").alias("doc_id"), "text")).withColumnRenamed("doc_id", "place")
+    left = placed.join(gone, "place", "left_anti").select(rows.columns)
+    return _back(left.unionByName(rows.where("doc_id is null")), docs)
+
+
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of the documents that are near duplicates of one with a smaller doc_id."""
+    groups = jaccard.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
+    return materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
 
 
 @_shipped
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than one word in twenty lies in a window of 13 benchmark words."""
-    hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), window=13)
-    return hits.where(~F.expr(decontaminate.contaminated())).select(*docs.columns)
+    hits = decontaminate.benchmark_hits(_apart(docs), table(spark, sf_dir, "benchmark"), window=13)
+    return _back(hits.where(~F.expr(decontaminate.contaminated())), docs)
 
 
 @_shipped
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; where it takes only some of its words, a row with these.
 
-    Documents without words take no part in a mix of words and stay as they are.
+    Documents without words take no part in a mix of words and stay as they are. Rows that share
+    doc_id, source and size (or have no doc_id) get what the mix took of them one by one, in the
+    order of their texts' hashes.
     """
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"))
-    plan = mixed.where("size > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"), F.first("head").alias("_head"))
-    plan = materialize(plan.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("size").alias("_words"), "_taken", "_head"), "plan")
-    sized = docs.withColumn("_size", mixing.size_of("text"))
-    same = sized["doc_id"].eqNullSafe(plan["_doc"]) & sized["source"].eqNullSafe(plan["_from"]) & (sized["_size"] == plan["_words"])
-    joined = sized.join(plan, same, "left")
-    whole = F.array_repeat(F.lit(True), F.coalesce(F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.lit(1)))
-    part = F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
-    rows = joined.withColumn("_whole", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<boolean>")))))
-    odd = F.coalesce(F.col("_taken") % F.col("_size"), F.lit(0)).cast("int")
+    key = ["doc_id", "source", "size"]
+    mixed = materialize(mixing.mix(docs.select("doc_id", "source", "text")).where("size > 0").select(*key, "taken", "head"), "mixed")
+    plan = mixed.groupBy(*key).agg(F.min(F.struct("taken", "head")).alias("least"), F.max(F.struct("taken", "head")).alias("most"))
+    even = plan.select(*[F.col(c).alias(f"mix_{c}") for c in key], (F.col("least") == F.col("most")).alias("even"), F.col("most.taken").alias("taken"), F.col("most.head").alias("head"))
+    even = materialize(even, "plan")
+    sized = _apart(docs).withColumn("size", mixing.size_of("text"))
+
+    def same(rows: DataFrame):
+        return rows["doc_id"].eqNullSafe(even["mix_doc_id"]) & rows["source"].eqNullSafe(even["mix_source"]) & (rows["size"] == even["mix_size"])
+
+    joined = sized.join(even, same(sized), "left").drop(*[f"mix_{c}" for c in key])
+    dealt = joined.where("even is null or even").drop("even")
+    if not even.where("not even").isEmpty():
+        # Both tables have the same keys equally often: sorted by key, their places correspond.
+        ones = mixed.join(even.where("not even").drop("taken", "head"), same(mixed), "left_semi")
+        ones = dense_index(ones, *[F.col(c).asc_nulls_first() for c in key], "taken", "head", name="place")
+        rows = joined.where("not even").drop("even", "taken", "head").withColumn("print", F.xxhash64("text"))
+        rows = dense_index(rows, *[F.col(c).asc_nulls_first() for c in key], "print", name="place").drop("print")
+        dealt = dealt.unionByName(rows.join(ones.select("place", "taken", "head"), "place").drop("place"))
+    taken, size = F.col("taken"), F.col("size")
+    whole = F.array_repeat(F.lit(True), F.coalesce(F.floor(taken / size).cast("int"), F.lit(1)))
+    part = F.when(taken % size > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
+    rows = dealt.withColumn("whole", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<boolean>")))))
+    odd = F.coalesce(taken % size, F.lit(0)).cast("int")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.array_join(F.when(F.col("_head"), F.slice(words, 1, odd)).otherwise(F.slice(words, F.size(words) - odd + 1, odd)), " ")
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(some)
-    made = {"text": text}
+    some = F.array_join(F.when(F.col("head"), F.slice(words, 1, odd)).otherwise(F.slice(words, F.size(words) - odd + 1, odd)), " ")
+    made = {"text": F.when(F.col("whole"), F.col("text")).otherwise(some)}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(some).cast(docs.schema["n_chars"].dataType))
-    return rows.withColumns(made).select(*docs.columns)
+        made["n_chars"] = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length(some).cast(docs.schema["n_chars"].dataType))
+    return _back(rows.withColumns(made), docs)
 
 
 @_shipped

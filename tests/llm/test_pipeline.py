@@ -109,6 +109,35 @@ def test_stages_take_odd_rows(spark, odd, none):
             assert made.columns == extra.columns
 
 
+CLASHES = ("score", "items", "n_words", "n_hit", "spans", "taken", "size", "whole", "place", "head", "print", "kept0")
+
+
+def test_other_columns_are_handed_on(spark, odd):
+    """Extra columns keep their values, whatever they are called."""
+    extra = odd.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars", *[f"{-i} as {c}" for i, c in enumerate(CLASHES, 2)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, extra, SMALL)
+        assert made.columns == extra.columns
+        assert made.select(*CLASHES).distinct().collect() == [tuple(-i for i, _ in enumerate(CLASHES, 2))]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = [(1, words), (2, words + " more"), (2, "other words " * 9), (2, "other words " * 9), (3, "something else here"), (3, None), (3, ""), (None, words), (None, words)]
+    table = spark.createDataFrame([(i, t, "s") for i, t in docs], "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, table, SMALL).collect()
+    want = [(1, words), (2, docs[2][1]), (3, docs[4][1]), (3, None), (3, ""), (None, words), (None, words)]
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
+
+
+def test_rows_without_doc_id_take_what_the_mix_takes(spark):
+    docs = [(None, f"a{i} b c d e f g", "s") for i in range(40)] + [(i, "x y z", "t") for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    taken = mixing.mix(table).where("doc_id is null").agg({"taken": "sum"}).first()[0]
+    made = corpus_pipeline.mixing_stage(spark, table, SMALL).where("doc_id is null").collect()
+    assert sum(len(r.text.split()) for r in made) == taken
+
+
 def test_learning_leaves_a_quarter_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     ids = {r.doc_id for r in corpus_pipeline.learnable(docs).collect()}
