@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dominant_cluster, round_half_even4, top_clusters
+from softseek.operators.chains import PART_ROWS, settle_round
 from softseek.operators.joins import lookup_join
 from softseek.operators.ordering import carry_window, range_parts
 from softseek.operators.pairs import Rule, Sizes, with_best_match
@@ -157,13 +158,16 @@ def _block_bounds(rows: DataFrame, count: int, first_block: int) -> list[tuple[i
     return list(zip(edges[:-1], edges[1:]))
 
 
-def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int, sizes: Sizes) -> DataFrame:
+def _leaders(
+    candidates: DataFrame, before: DataFrame | None, first_block: int, sizes: Sizes, part_rows: int = PART_ROWS
+) -> DataFrame:
     """The candidates that the ordered log stores.
 
     A candidate is stored iff no stored one before it matches it: the lexicographically first maximal
-    independent set. Inside a block of the log this is peeled in rounds. A candidate without an earlier
-    undecided match is stored; one with a stored match is a hit; the rest goes on. Blelloch, Fineman and
-    Shun (2012) show that few rounds are needed. Candidates that an earlier block's entries match leave
+    independent set. Inside a block of the log this is settled in rounds (``operators.chains``): parts of
+    the log in parallel, each in its order, as far as no undecided candidate of an earlier part matches.
+    Blelloch, Fineman and Shun (2012) show that few rounds are needed; a chain of dependent candidates
+    costs at most one per part that it crosses. Candidates that an earlier block's entries match leave
     before the rounds start, which is exact because hits are never stored.
     """
     total, n_buckets = candidates.agg(F.count("*"), F.approx_count_distinct("home")).head()
@@ -179,11 +183,11 @@ def _leaders(candidates: DataFrame, before: DataFrame | None, first_block: int,
             bound = replace(within, entries=total + n_before)
             rows = _unmatched(rows, _union(known), bound)
         while not rows.isEmpty():
-            probed = with_best_match(rows, _stored(rows), REPLAY_RULE, sizes=within)
-            probed = materialize(probed.drop("score").withColumnRenamed("e_id", "blocker"), "round")
-            new = probed.where("blocker is null").drop("blocker")
+            settled = settle_round(rows, _stored(rows), REPLAY_RULE, within, part_rows)
+            new = settled.where("state = 'stored'").drop("state")
             decided.append(new)
-            rows = _unmatched(probed.where("blocker is not null").drop("blocker"), _stored(new), within)
+            rows = settled.where("state = 'open'").drop("state")
+            rows = rows if rows.isEmpty() else _unmatched(rows, _stored(new), within)
     return _union([_stored(d) for d in decided]) if decided else _stored(candidates)
 
 
@@ -202,6 +206,7 @@ def cache_replay(
     threshold: float = DEFAULT_THRESHOLD,
     entries: DataFrame | None = None,
     first_block: int = FIRST_BLOCK,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Decide a whole query log as if its rows had come one after the other.
 
@@ -233,7 +238,7 @@ def cache_replay(
     first = log.select(F.size("q_vec").alias("d")).head(1)
     sizes = Sizes(log.count(), 0, 8 * first[0]["d"] if first else 0, 1, 0)
     candidates = materialize(_candidates(log), "candidates")
-    stored = materialize(_leaders(candidates, before, first_block, sizes), "entries")
+    stored = materialize(_leaders(candidates, before, first_block, sizes, part_rows), "entries")
     cache = stored if before is None else before.unionByName(stored)
     n_e, n_buckets = cache.agg(F.count("*"), F.approx_count_distinct("e_bucket")).head()
     sizes = replace(sizes, entries=n_e, buckets=max(1, n_buckets))

@@ -47,13 +47,14 @@ CELLS_AT_ONCE = 4_000_000
 class Rule:
     """What counts as a match.
 
-    Lookups carry ``q_id``, ``q_vec`` and, as the flags ask, ``q_buckets`` (ordered ids), ``q_floor``
-    and ``q_k``; entries carry ``e_id``, ``e_vec`` and ``e_bucket``.
+    Lookups carry ``q_id``, ``q_vec`` and, as the flags ask, ``q_buckets`` (ordered ids), ``q_floor``,
+    ``q_before`` and ``q_k``; entries carry ``e_id``, ``e_vec`` and ``e_bucket``.
     """
 
     k: int = 1
     bucketed: bool = False  # only entries in one of the lookup's buckets
     earlier: bool = False  # only entries with e_id < q_id
+    before: bool = False  # only entries with e_id < q_before
     floor: bool = False  # only scores >= q_floor
     row_k: bool = False  # q_k results instead of k
     skip_self: bool = False  # not the entry with the lookup's own id
@@ -125,6 +126,8 @@ class Lookups:
     floor: np.ndarray
     # one row per (lookup, bucket), grouped by bucket; a single pseudo bucket when not bucketed
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
+    # entries count only below this id
+    before: np.ndarray
 
     @staticmethod
     def of(table: pa.Table | pa.RecordBatch, rule: Rule) -> Lookups:
@@ -139,8 +142,9 @@ class Lookups:
             groups = {int(table.column("q_bucket")[0].as_py()): (np.arange(n), pos)} if n else {}
         else:
             groups = _bucket_groups(table.column("q_buckets"))
+        before = table.column("q_before").to_numpy() if rule.before else ids
         vectors, valid = masked_vectors(table.column("q_vec"))
-        return Lookups(ids, vectors, np.where(valid, k, 0), floor, groups)
+        return Lookups(ids, vectors, np.where(valid, k, 0), floor, groups, before)
 
 
 def _bucket_groups(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -273,8 +277,8 @@ def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> F
         r, p = rows[at : at + step], pos[at : at + step]
         vecs = q.vectors[r]
         scores = vecs @ e_vecs.T
-        if rule.earlier:
-            scores[e_ids[None, :] >= q.ids[r][:, None]] = -np.inf
+        if rule.earlier or rule.before:
+            scores[e_ids[None, :] >= q.before[r][:, None]] = -np.inf
         if rule.skip_self:
             scores[e_ids[None, :] == q.ids[r][:, None]] = -np.inf
         kk = min(int(q.k[r].max()), n_e)
@@ -349,6 +353,7 @@ def nearest_pairs(
     q_cols = ["q_id", "q_vec"]
     q_cols += ["q_buckets"] if rule.bucketed else []
     q_cols += ["q_floor"] if rule.floor else []
+    q_cols += ["q_before"] if rule.before else []
     q_cols += ["q_k"] if rule.row_k else []
     lookups = lookups.select(*q_cols)
     entries = entries.select(*(["e_id", "e_vec", "e_bucket"] if rule.bucketed else ["e_id", "e_vec"]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from softseek.operators import cache
+from softseek.operators import cache, chains
 from softseek.operators.joins import lookup_join
 from softseek.streaming import cache_stream
 
@@ -39,29 +39,27 @@ def random_log(seed, n=60, start=0, controls=True):
 
 
 def one_by_one(rows, theta):
-    """seq -> (hit, matched seq, score); the state is a dict of lists, as a service would keep it."""
-    entries, out = {}, {}
+    """seq -> (hit, matched seq, score), from the rule: of all rows stored so far whose home is one of the
+    two clusters that a query searches, the first by score, then by place of the cluster, then by seq."""
+    stored, out = [], {}
     for seq, _, vec, u, is_flush, set_theta in rows:
-        if is_flush:
-            entries = {}
+        if is_flush or set_theta is not None:
+            stored, theta = ([], theta) if is_flush else (stored, set_theta)
             continue
-        if set_theta is not None:
-            theta = set_theta
-            continue
-        best, match = -1.0, None
-        for c in list(np.argsort(u, kind="stable")[::-1][:2]):
-            for other, stored in entries.get(int(c), []):
-                score = float(np.add.accumulate(np.array(vec) * np.array(stored))[-1])
-                if score > best:
-                    best, match = score, other
-        if best >= theta:
-            out[seq] = (True, match, round(best, 4))
-        else:
-            out[seq] = (False, None, None)
-            entries.setdefault(int(np.argmax(u)), []).append((seq, vec))
+        clusters = sorted(range(len(u)), key=lambda c: (u[c], c), reverse=True)
+        places = {c: p for p, c in enumerate(clusters[:2])}
+        found = [(-sum_left_to_right(vec, w), places[home], s) for s, home, w in stored if home in places]
+        score, _, match = min(found, default=(2.0, None, None))
+        out[seq] = (True, match, round(-score, 4)) if -score >= theta else (False, None, None)
+        if match is None or -score < theta:
+            stored.append((seq, u.index(max(u)), vec))
     return out
 
 
+def sum_left_to_right(a, b):
+    return float(np.cumsum(np.array(a) * np.array(b))[-1])
+
+
 def decided(df):
     return {r.seq: (r.cache_hit, r.matched_seq, r.similarity) for r in df.select("seq", "cache_hit", "matched_seq", "similarity").collect()}
 
@@ -94,6 +92,38 @@ def test_replay_with_flush_and_threshold_events(spark, monkeypatch, first_block,
     assert decided(cache.cache_replay(queries, 0.8, first_block=first_block)) == one_by_one(rows, 0.8)
 
 
+@pytest.mark.parametrize("part_rows, first_block", [(3, cache.FIRST_BLOCK), (7, 50), (1, 40)])
+def test_replay_in_small_parts(spark, part_rows, first_block):
+    rows = random_log(4321, n=300)
+    state = cache.control_state(log_frame(spark, rows).repartition(5), 0.8)
+    queries = state.where("not is_flush and set_theta is null").drop("is_flush", "set_theta")
+    got = cache.cache_replay(queries, 0.8, first_block=first_block, part_rows=part_rows)
+    assert decided(got) == one_by_one(rows, 0.8)
+
+
+def test_a_chain_costs_a_round_per_part(spark, monkeypatch):
+    """10,000 queries of which each matches only its neighbours: every second one is stored."""
+    rounds, plain = [], chains.materialize
+    monkeypatch.setattr(chains, "materialize", lambda df, label: rounds.append(label) or plain(df, label))
+    n, step = 10_000, 2 * np.pi / 10_001
+    theta = (np.cos(step) + np.cos(2 * step)) / 2
+    rows = [(i, f"q{i}", [float(np.cos(i * step)), float(np.sin(i * step))], [0.9, 0.1], False, None) for i in range(n)]
+    queries = log_frame(spark, rows).drop("is_flush", "set_theta").repartition(8)
+    got = {r.seq: (r.cache_hit, r.matched_seq) for r in cache.cache_replay(queries, theta).collect()}
+    # The last one lies beside the first as well, which is stored earlier and scores the same or less.
+    assert all(got[i] == ((True, i - 1) if i % 2 else (False, None)) for i in range(n - 1))
+    assert got[n - 1][0]
+    parts = -(-n // chains.PART_ROWS) + 8  # range partitions end where they end
+    assert 1 <= rounds.count("round") <= parts
+
+
+def test_rows_without_vector_are_stored_and_match_nothing(spark):
+    rows = [(0, "a", [1.0, 0.0], [0.9, 0.1], False, None), (1, "b", None, [0.9, 0.1], False, None), (2, "c", [1.0, float("nan")], [0.9, 0.1], False, None),
+            (3, "d", [1.0, 0.0], [0.9, 0.1], False, None), (4, "e", None, [0.9, 0.1], False, None)]
+    got = decided(cache.cache_replay(log_frame(spark, rows).drop("is_flush", "set_theta"), 0.8))
+    assert {s: r[:2] for s, r in got.items()} == {0: (False, None), 1: (False, None), 2: (False, None), 3: (True, 0), 4: (False, None)}
+
+
 def test_replay_continues_a_stored_cache(spark):
     rows = random_log(77, n=160, controls=False)
     first, second = rows[:90], rows[90:]
