@@ -425,3 +425,5 @@ JOIN (SELECT query_id, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY rank) AS
 FROM h, c, t, lat""",
     ),
 }
+#: The stream answers the same log.
+ORACLES["answer_stream"] = ORACLES["answer_queries"]

@@ -459,18 +459,34 @@ def cache_replay_events(spark, sf):
 def cache_replay_stream(spark, sf):
     """The event log as a stream of files, in order, one file per micro-batch."""
     folder = scratch_path(spark, "stream")
-    log = materialize(src.event_log(spark, sf).drop("latency"), "log")
-    cuts = [-1.0, *log.approxQuantile("seq", [0.2, 0.5, 0.7], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):
-        part = log.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1)
-        part.write.mode("append").parquet(f"{folder}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    stream = _in_order(spark, src.event_log(spark, sf).drop("latency"), folder)
     cache_stream.cache_replay_stream(stream, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
     return cache_stream.read_decisions(spark, f"{folder}/store").select(
         "seq", "epoch", "cache_hit", "matched_seq", r6("similarity").alias("similarity")
     )
 
 
+def _in_order(spark, log, folder):
+    """A log as a stream of files, in order, one file per micro-batch."""
+    log = materialize(log, "log")
+    cuts = [-1.0, *log.approxQuantile("seq", [0.2, 0.5, 0.7], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        part = log.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1)
+        part.write.mode("append").parquet(f"{folder}/log")
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+
+
+@query
+def answer_stream(spark, sf):
+    """The turns as a stream: the answers of ``answer_queries``."""
+    folder = scratch_path(spark, "stream")
+    log = src.turn_log(spark, sf).selectExpr("*", "false as is_flush", "cast(null as double) as set_theta")
+    model = models.ClusterModel(None, src.centers(spark, sf), src.FUZZINESS)
+    stream = _in_order(spark, log, folder)
+    cache_stream.answer_stream(stream, f"{folder}/store", f"{folder}/checkpoint", src.doc_index(spark, sf), model, src.LOG_THETA).awaitTermination()
+    return cache_stream.read_answers(spark, f"{folder}/store").withColumn("similarity_score", r6("similarity_score"))
+
+
 @query
 def cache_stats(spark, sf):
     return cache.cache_stats(_replayed(spark, sf), src.LOG_THETA)

@@ -40,22 +40,29 @@ def answer_queries(
     log = with_clusters(model.memberships(valid))
     decided = cache_replay(log, threshold, entries)
 
+    return answer_decided(decided, index, entries)[0]
+
+
+def answer_decided(decided: DataFrame, index: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The answers of a decided log, and ``seq, query, top_k, result`` of its misses, which are the new entries.
+
+    ``decided``: what ``cache_replay`` makes of a validated log; ``entries``: as for ``answer_queries``.
+    """
     misses = decided.where(~F.col("cache_hit")).select(F.col("seq").alias("query_id"), "embedding", "top_k")
     texts = format_results(misses, topk_search(misses, index))
     missed = decided.where(~F.col("cache_hit")).select("seq", "query", "top_k")
-    stored = missed.join(texts.withColumnRenamed("query_id", "seq"), "seq")
-    if entries is not None:
-        stored = stored.unionByName(entries.select("seq", "query", "top_k", "result"))
+    made = materialize(missed.join(texts.withColumnRenamed("query_id", "seq"), "seq"), "answers")
+    stored = made if entries is None else made.unionByName(entries.select("seq", "query", "top_k", "result"))
     # The text that answers each query: its own if it missed, that of the entry if it hit. One entry may
     # serve a large share of the log, which lookup_join keeps out of a single task.
-    stored = materialize(stored, "answers").select(
+    stored = stored.select(
         F.col("seq").alias("source_seq"), F.col("query").alias("source_query"), F.col("top_k").alias("source_top_k"), "result"
     )
     answered = lookup_join(
         decided.drop("embedding", "memberships").withColumn("source_seq", F.coalesce("matched_seq", "seq")),
         stored, "source_seq",
     )
-    return answered.select(
+    answers = answered.select(
         "seq",
         "query",
         "cache_hit",
@@ -65,6 +72,7 @@ def answer_queries(
         "dominant_cluster",
         F.col("source_top_k").alias("top_k"),
     )
+    return answers, made
 
 
 def service_summary(entries: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
