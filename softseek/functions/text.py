@@ -22,9 +22,15 @@ WORD_EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 PGP_BLOCK = r"(?s)-----BEGIN PGP.*?-----END PGP[^-]*-----|(-----BEGIN PGP.*+)"
 SIGNATURE = rf"\n--{SPACE}*\n"
 REPLY_INTRO = rf"(?mUd)^(?i:In){SPACE}+(?i:article){SPACE}+.*?(?i:writes?|wrote){SPACE}*:.*$"
-# A quote may begin with blank lines. A try begins at the first line start of a run of whitespace: after
-# a line with text ($1 is its end), after the last match, or at the start.
-QUOTED_LINE = rf"(?md)(\A|\G\n|{NON_SPACE}{LINE_SPACE}*+\n){SPACE}*+>+.*$"
+# A quote may begin with blank lines. A try begins at the first line start of a run of whitespace, not at
+# every one: where the line before ends with text, or with text and blanks behind it. Looking back is
+# bounded; bodies with longer blanks at a line end take the other form, in which a try begins at the end
+# of the text before ($1), after the last match, or at the start.
+TRAILING = 100
+QUOTED_LINE = rf"(?md)^(?:(?<!{SPACE}\n)|(?<={SPACE}\n)(?<={NON_SPACE}{LINE_SPACE}{{1,{TRAILING}}}\n)){SPACE}*+>+.*$"
+LONG_TRAILING = rf"\n(?<={LINE_SPACE}{{{TRAILING + 1}}}\n)"
+QUOTED_LINE_AFTER_BLANKS = rf"(?md)(\A|\G\n|{NON_SPACE}{LINE_SPACE}*+\n){SPACE}*+>+.*$"
+QUOTED_START = rf"(?md)^{LINE_SPACE}*+>"
 DIVIDER = rf"(?md)^[{SPACE_SET}\-=*#~+_|]{{5,}}$"
 BLANK_RUN = r"\n{3,}"
 SUBJECT_PREFIX = rf"(?iU)^{SPACE}*(?:Re|Fwd|AW){SPACE}*:{SPACE}*"
@@ -71,7 +77,8 @@ def strip_attribution(body: Column) -> Column:
 
 
 def strip_quotes(body: Column) -> Column:
-    return F.regexp_replace(body, QUOTED_LINE, "$1")
+    plain = F.regexp_replace(body, QUOTED_LINE, "")
+    return F.when(body.rlike(LONG_TRAILING), F.regexp_replace(body, QUOTED_LINE_AFTER_BLANKS, "$1")).otherwise(plain)
 
 
 def strip_emails(body: Column) -> Column:

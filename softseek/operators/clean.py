@@ -21,8 +21,9 @@ _STEPS = (
     (tx.strip_pgp, lambda c: c.contains("-----BEGIN PGP")),
     (tx.cut_signature, lambda c: c.contains("\n--")),
     (tx.strip_reply_intro, None),
-    (tx.strip_attribution, lambda c: c.rlike(tx.ATTRIBUTION_END)),
-    (tx.strip_quotes, lambda c: c.contains(">")),
+    # No character but these four is a "w" or an "r" without regard to case.
+    (tx.strip_attribution, lambda c: F.lower(c).contains("wr") & c.rlike(tx.ATTRIBUTION_END)),
+    (tx.strip_quotes, lambda c: c.contains(">") & c.rlike(tx.QUOTED_START)),
     (tx.strip_emails, lambda c: c.contains("@")),
     (tx.strip_dividers, None),
     (tx.collapse_blank, None),
