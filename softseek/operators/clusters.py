@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dominant_cluster, is_boundary, max_membership
-from softseek.operators.pairs import vector_matrix
+from softseek.operators.pairs import masked_vectors, vector_matrix
 from softseek.session import materialize
 
 MAX_CENTER_VALUES = 4_000_000
@@ -90,21 +90,26 @@ def _fit_memberships(x: np.ndarray, centers: np.ndarray, m: float) -> tuple[np.n
     return closeness / closeness.sum(axis=1, keepdims=True), d
 
 
-def _list_array(matrix: np.ndarray) -> pa.Array:
+def _list_array(matrix: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """One list per row; null where not ``valid``."""
     n, d = matrix.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * d)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel(), pa.float64()))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel(), pa.float64()))
+    return lists if valid.all() else lists.take(pa.array(np.arange(n), mask=~valid))
 
 
 def membership_column(vector: Column | str, centers: np.ndarray, m: float = 2.0) -> Column:
     """Memberships of a vector column as ``array<double>``, computed block-wise in Arrow batches.
 
+    Null for a null vector and for one with a null or non-finite component.
+
     The function is declared nondeterministic, although it is not, so that the optimizer computes the
     column once instead of once per filter and column that is derived from it.
     """
 
     def weights(v: pa.Array) -> pa.Array:
-        return _list_array(membership_matrix(vector_matrix(v), centers, m))
+        x, valid = masked_vectors(v)
+        return _list_array(membership_matrix(x if x.shape[1] else np.zeros((len(x), centers.shape[1])), centers, m), valid)
 
     return F.arrow_udf(weights, "array<double>").asNondeterministic()(vector)
 
@@ -131,58 +136,98 @@ class FcmModel:
         return len(self.centers)
 
 
-_PARTIAL = "cluster int, dim int, value double"
+_PARTIAL = "fit int, cluster int, dim int, value double"
 _WEIGHT, _CHANGE, _OBJECTIVE = -1, -2, -3
 
 
-def _partial_rows(total: np.ndarray, weight: np.ndarray, change: float, objective: float) -> pa.RecordBatch:
+@dataclass
+class _Fit:
+    """A fit on its way. ``centers`` None: the next pass uses the start memberships; ``previous`` None: the
+    memberships before ``centers`` were the start memberships."""
+
+    model: FcmModel
+    n_clusters: int
+    centers: np.ndarray | None
+    previous: np.ndarray | None
+    running: bool = True
+
+    def uses_start(self) -> bool:
+        return self.centers is None or self.previous is None
+
+
+def _partial_rows(fit: int, total: np.ndarray, weight: np.ndarray, change: float, objective: float) -> pa.RecordBatch:
     k, d = total.shape
     cluster = np.concatenate([np.repeat(np.arange(k), d), np.arange(k), [-1, -1]])
     dim = np.concatenate([np.tile(np.arange(d), k), np.full(k, _WEIGHT), [_CHANGE, _OBJECTIVE]])
     value = np.concatenate([total.ravel(), weight, [change, objective]])
     return pa.RecordBatch.from_arrays(
-        [pa.array(cluster, pa.int32()), pa.array(dim, pa.int32()), pa.array(value, pa.float64())],
-        names=["cluster", "dim", "value"],
+        [pa.array(np.full(len(value), fit), pa.int32()), pa.array(cluster, pa.int32()), pa.array(dim, pa.int32()), pa.array(value, pa.float64())],
+        names=["fit", "cluster", "dim", "value"],
     )
 
 
-def _pass(points: DataFrame, k: int, m: float, centers: np.ndarray | None, previous: np.ndarray | None):
-    """One distributed pass: the next centres, the change of U and the objective.
+def _pass(points: DataFrame, fits: dict[int, _Fit], m: float, seed: int) -> dict[int, tuple[np.ndarray, float, float]]:
+    """One distributed pass for all given fits: the next centres, the change of U and the objective of each.
 
-    ``centers`` None means: use the start memberships. ``previous`` None means: the memberships before
-    ``centers`` were the start memberships. Each task sends k * (d + 1) + 2 sums, which Spark adds up.
+    Each task sends k * (d + 1) + 2 sums per fit, which Spark adds up. Vectors that are null or have a
+    null or non-finite component take no part. Start memberships are computed from the row id where a fit
+    still needs them, and kept nowhere.
     """
-    use_start = centers is None or previous is None
+    ways = {i: (f.n_clusters, f.centers, f.previous, f.uses_start()) for i, f in fits.items()}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = weight = None
-        change = objective = 0.0
+        sums: dict[int, list] = {}
         for batch in batches:
-            if not batch.num_rows:
+            x, valid = masked_vectors(batch.column("x"))
+            if not valid.any():
                 continue
-            x = vector_matrix(batch.column("x")).astype(np.float64)
-            start = vector_matrix(batch.column("start")) if use_start else None
-            u, d = (start, None) if centers is None else _fit_memberships(x, centers, m)
-            um = np.fmax(u, np.finfo(np.float64).eps) ** m
-            if centers is not None:
-                before = start if previous is None else _fit_memberships(x, previous, m)[0]
-                change += float(((u - before) ** 2).sum())
-                objective += float((um * d**2).sum())
-            total = um.T @ x + (0 if total is None else total)
-            weight = um.sum(axis=0) + (0 if weight is None else weight)
-        if total is not None:
-            yield _partial_rows(total, weight, change, objective)
-
-    columns = ["x", "start"] if use_start else ["x"]
-    sums = points.select(*columns).mapInArrow(task, _PARTIAL).groupBy("cluster", "dim").agg(F.sum("value").alias("value"))
-    # k * (d + 1) + 2 rows: the model itself.
-    rows = {(r["cluster"], r["dim"]): r["value"] for r in sums.collect()}
+            x = x[valid].astype(np.float64)
+            for i, (_, centers, previous, use_start) in ways.items():
+                start = vector_matrix(batch.column(f"start{i}"))[valid] if use_start else None
+                u, d = (start, None) if centers is None else _fit_memberships(x, centers, m)
+                um = np.fmax(u, np.finfo(np.float64).eps) ** m
+                own = sums.setdefault(i, [0.0, 0.0, 0.0, 0.0])
+                if centers is not None:
+                    before = start if previous is None else _fit_memberships(x, previous, m)[0]
+                    own[2] += float(((u - before) ** 2).sum())
+                    own[3] += float((um * d**2).sum())
+                own[0] = um.T @ x + own[0]
+                own[1] = um.sum(axis=0) + own[1]
+        for i, own in sums.items():
+            yield _partial_rows(i, *own)
+
+    starts = {f"start{i}": start_memberships(F.col("_id"), k, seed) for i, (k, _, _, use_start) in ways.items() if use_start}
+    columns = points.withColumns(starts).select("x", *starts) if starts else points.select("x")
+    sums = columns.mapInArrow(task, _PARTIAL).groupBy("fit", "cluster", "dim").agg(F.sum("value").alias("value"))
+    # k * (d + 1) + 2 rows per fit: the models themselves.
+    rows = {(r["fit"], r["cluster"], r["dim"]): r["value"] for r in sums.collect()}
     if not rows:
         raise ValueError("no vectors to cluster")
-    d = max(dim for _, dim in rows) + 1
-    weights = np.array([rows[j, _WEIGHT] for j in range(k)])
-    totals = np.array([[rows[j, i] for i in range(d)] for j in range(k)])
-    return totals / weights[:, None], float(np.sqrt(rows[-1, _CHANGE])), rows[-1, _OBJECTIVE]
+    d = max(dim for _, _, dim in rows) + 1
+    found = {}
+    for i, (k, _, _, _) in ways.items():
+        weights = np.array([rows[i, j, _WEIGHT] for j in range(k)])
+        totals = np.array([[rows[i, j, dim] for dim in range(d)] for j in range(k)])
+        found[i] = totals / weights[:, None], float(np.sqrt(rows[i, -1, _CHANGE])), rows[i, -1, _OBJECTIVE]
+    return found
+
+
+def _advance(points: DataFrame, fits: list[_Fit], m: float, error: float, max_iter: int, seed: int) -> list[FcmModel]:
+    """Takes all fits to their end together, one pass over the vectors per iteration; finished ones leave."""
+    started = _pass(points, dict(enumerate(fits)), m, seed)
+    following = {i: centers for i, (centers, _, _) in started.items()}
+    for i, f in enumerate(fits):
+        f.previous, f.centers, f.model.centers, f.running = f.centers, following[i], following[i], max_iter > 0
+    for step in range(1, max_iter + 1):
+        running = {i: f for i, f in enumerate(fits) if f.running}
+        if not running:
+            break
+        for i, (centers, change, objective) in _pass(points, running, m, seed).items():
+            f = running[i]
+            f.model.centers, f.model.iterations, f.model.change = f.centers, step, change
+            f.model.objective.append(objective)
+            f.previous, f.centers, f.running = f.centers, centers, change >= error
+    return [f.model for f in fits]
 
 
 def start_memberships(row_id: Column, k: int, seed: int) -> Column:
@@ -209,31 +254,35 @@ def fcm_fit(
     """Iterate until the memberships move by less than ``error`` (Frobenius norm) or ``max_iter``.
 
     Iteration t computes centres from the memberships of t-1, then memberships from those centres.
-    With ``initial_centers`` the first memberships come from these instead of the seed.
+    Vectors that are null or have a null or non-finite component teach nothing. With ``initial_centers`` the first memberships come from these instead of the seed.
     """
     if k is None:
         if initial_centers is None:
             raise ValueError("give k or initial_centers")
         k = len(initial_centers)
-    points = df.select(F.col(vector).alias("x"), F.col(row_id).alias("_id"))
-    if initial_centers is None:
-        # two steps, so that the raw weights are computed once per row
-        points = points.withColumn("start", start_memberships(F.col("_id"), k, seed))
-    points = points.drop("_id").persist(StorageLevel.MEMORY_AND_DISK)
+    current = np.asarray(initial_centers, dtype=np.float64) if initial_centers is not None else None
+    return _fit_together(df, [_Fit(FcmModel(None, m, 0), k, current, current)], m, error, max_iter, seed, vector, row_id)[0]
+
+
+def fcm_fits(
+    df: DataFrame,
+    ks: Iterable[int],
+    m: float = 2.0,
+    error: float = 0.005,
+    max_iter: int = 1000,
+    seed: int = 42,
+    vector: str = "embedding",
+    row_id: str = "point_id",
+) -> list[FcmModel]:
+    """``fcm_fit`` for several k at once: as many passes over the vectors as the slowest needs."""
+    fits = [_Fit(FcmModel(None, m, 0), k, None, None) for k in ks]
+    return _fit_together(df, fits, m, error, max_iter, seed, vector, row_id) if fits else []
+
+
+def _fit_together(df: DataFrame, fits: list[_Fit], m: float, error: float, max_iter: int, seed: int, vector: str, row_id: str) -> list[FcmModel]:
+    points = df.select(F.col(vector).alias("x"), F.col(row_id).alias("_id")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        current = np.asarray(initial_centers, dtype=np.float64) if initial_centers is not None else None
-        following, _, _ = _pass(points, k, m, current, current)
-        model = FcmModel(following, m, 0)
-        previous = current
-        for step in range(1, max_iter + 1):
-            centers = following
-            following, change, objective = _pass(points, k, m, centers, previous)
-            model.centers, model.iterations, model.change = centers, step, change
-            model.objective.append(objective)
-            previous = centers
-            if change < error:
-                break
-        return model
+        return _advance(points, fits, m, error, max_iter, seed)
     finally:
         points.unpersist()
 
@@ -328,24 +377,25 @@ def sweep_k(
 ) -> DataFrame:
     """``k, silhouette, iterations, is_best``: largest silhouette, smallest k on ties.
 
-    A k that leaves too few clusters to score has null scores; if all do the smallest k is best. Other
+    All k are fitted together (``fcm_fits``). A k that leaves too few clusters to score has null scores; if all do the smallest k is best. Other
     failures end the sweep.
     """
     ks = list(ks)
     scored = []
-    points = df.select(row_id, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    points = df.select(row_id, vector).where(F.col(vector).isNotNull())
     try:
-        for k in ks:
-            try:
-                model = fcm_fit(points, k, m, error, max_iter, seed, vector, row_id)
-                hard = fcm_memberships(points, model.centers, m, vector).withColumn(
-                    "dominant_cluster", dominant_cluster(F.col("memberships"))
-                )
-                scored.append((k, silhouette(hard, "dominant_cluster", vector, row_id, sample, seed), model.iterations))
-            except ValueError:
-                scored.append((k, None, None))
-    finally:
-        points.unpersist()
+        models = fcm_fits(points, ks, m, error, max_iter, seed, vector, row_id)
+    except ValueError:
+        models = [None] * len(ks)
+    for k, model in zip(ks, models, strict=True):
+        try:
+            if model is None:
+                raise ValueError("no vectors to cluster")
+            weighted = fcm_memberships(points, model.centers, m, vector).where("memberships is not null")
+            hard = weighted.withColumn("dominant_cluster", dominant_cluster(F.col("memberships")))
+            scored.append((k, silhouette(hard, "dominant_cluster", vector, row_id, sample, seed), model.iterations))
+        except ValueError:
+            scored.append((k, None, None))
     good = [s for s in scored if s[1] is not None and s[1] > -1.0]
     best = max(good, key=lambda s: (s[1], -s[0]))[0] if good else min(ks)
     rows = [(k, score, iterations, k == best) for k, score, iterations in scored]

@@ -144,3 +144,28 @@ def test_assignments_round_trip(spark, sf, tmp_path):
         write_assignments(df, str(tmp_path / fmt), fmt)
         back = read_assignments(spark, str(tmp_path / fmt), fmt)
         assert back.exceptAll(clusters.assignments(df)).count() == 0 and back.count() == df.count()
+
+
+def test_vectors_that_cannot_be_compared_teach_nothing(spark):
+    df, _ = blobs(spark)
+    odd = [(1000, None), (1001, [float("nan"), 1.0, 1.0, 1.0]), (1002, [float("inf"), 0.0, 0.0, 0.0]), (1003, [None, 1.0, 1.0, 1.0])]
+    with_odd = df.unionByName(spark.createDataFrame(odd, df.schema)).repartition(3)
+    clean, mixed = clusters.fcm_fit(df, 3), clusters.fcm_fit(with_odd, 3)
+    assert mixed.iterations == clean.iterations and np.allclose(mixed.centers, clean.centers) and np.isfinite(mixed.centers).all()
+    shown = {r.point_id: r.memberships for r in clusters.fcm_memberships(with_odd, mixed.centers).collect()}
+    assert all(shown[i] is None for i, _ in odd) and all(len(shown[i]) == 3 for i in range(240))
+    sweep = clusters.sweep_k(with_odd, [2, 3, 4]).collect()
+    assert sorted(map(str, sweep)) == sorted(map(str, clusters.sweep_k(df, [2, 3, 4]).collect()))
+    with pytest.raises(ValueError, match="no vectors"):
+        clusters.fcm_fit(with_odd.where("point_id >= 1000"), 2)
+
+
+def test_fits_together_scan_as_often_as_the_slowest(spark, monkeypatch):
+    df, _ = blobs(spark)
+    alone = [clusters.fcm_fit(df, k, max_iter=60) for k in (2, 3, 5)]
+    passes, plain = [], clusters._pass
+    monkeypatch.setattr(clusters, "_pass", lambda points, fits, *a: passes.append(len(fits)) or plain(points, fits, *a))
+    together = clusters.fcm_fits(df, (2, 3, 5), max_iter=60)
+    assert [t.iterations for t in together] == [a.iterations for a in alone]
+    assert all(np.allclose(t.centers, a.centers) and np.allclose(t.objective, a.objective) for t, a in zip(together, alone))
+    assert len(passes) == 1 + max(a.iterations for a in alone) and passes == sorted(passes, reverse=True)
