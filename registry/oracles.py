@@ -251,7 +251,7 @@ JOIN (SELECT point_id, string_agg(printf('%.4f', u), ',' ORDER BY cluster_id) AS
 DOCS = with_(CLEAN, DOC_ROWS)
 
 ORACLES: dict[str, str] = {
-    "read_posts": with_(RAW, "SELECT 'category=' || category AS category, md5(raw || chr(10)) AS digest, (length(raw) + 1)::INTEGER AS chars FROM raw"),
+    "read_posts": with_(RAW, "SELECT 'category=' || category AS category, true AS is_file_name, md5(raw || chr(10)) AS digest, (length(raw) + 1)::INTEGER AS chars FROM raw"),
     "docs_round_trip": DOCS,
     "index_round_trip": with_(CLUSTERED, "SELECT point_id, category, dom AS dominant_cluster, round(list_max(v), 6) AS largest FROM emb JOIN f USING (point_id)"),
     "upsert_index": with_(

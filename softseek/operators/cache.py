@@ -260,7 +260,7 @@ def with_matched_query(decisions: DataFrame, entries: DataFrame | None = None) -
     if entries is not None:
         texts = texts.unionByName(entries.select("seq", "query"))
     texts = texts.select(F.col("seq").alias("matched_seq"), F.col("query").alias("matched_query"))
-    return lookup_join(decisions, texts, "matched_seq", "left")
+    return lookup_join(decisions, texts, "matched_seq", "left", spread_by=("seq",))
 
 
 def replay_log(log: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

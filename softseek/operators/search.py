@@ -35,7 +35,7 @@ def _search(lookups: DataFrame, entries: DataFrame, rule: Rule, index: DataFrame
         # Four numbers per result, at most 40 MB: the payload is filtered where it lies.
         return index.drop("embedding").join(F.broadcast(hits), "point_id").select("point_id", *hits.columns[:2], "score", *[c for c in index.columns if c not in ("point_id", "embedding")])
     # A point can be a hit of very many queries; the search result is kept before it is examined.
-    return lookup_join(materialize(hits, "hits"), index.drop("embedding"), "point_id")
+    return lookup_join(materialize(hits, "hits"), index.drop("embedding"), "point_id", spread_by=("query_id",))
 
 
 def topk_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:

@@ -60,7 +60,7 @@ def answer_decided(decided: DataFrame, index: DataFrame, entries: DataFrame | No
     )
     answered = lookup_join(
         decided.drop("embedding", "memberships").withColumn("source_seq", F.coalesce("matched_seq", "seq")),
-        stored, "source_seq",
+        stored, "source_seq", spread_by=("seq",),
     )
     answers = answered.select(
         "seq",

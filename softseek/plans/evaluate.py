@@ -50,7 +50,7 @@ def pair_features(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     )
     second = queries.select(F.col("query_id").alias("q2"), F.col("embedding").alias("_v2"), F.col("top_clusters").alias("_t2"))
     # One query can be in very many pairs.
-    both = lookup_join(lookup_join(pairs, first, "q1"), second, "q2")
+    both = lookup_join(lookup_join(pairs, first, "q1", spread_by=("pair_id",)), second, "q2", spread_by=("pair_id",))
     return both.select(
         "pair_id", "kind", dot(F.col("_v1"), F.col("_v2")).alias("raw_sim"),
         F.array_contains("_t2", F.col("stored_cluster")).alias("routed"),

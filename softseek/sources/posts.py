@@ -9,17 +9,27 @@ from pyspark.sql import functions as F
 def read_posts(spark: SparkSession, root: str) -> DataFrame:
     """``category, doc_id, raw`` of every file exactly one level below a category folder.
 
-    Malformed UTF-8 is replaced and line ends become ``\\n``. Files that cannot be read come back with a
-    null ``raw`` where the source reports them. Spark's file sources skip names that begin with ``.`` or
-    ``_`` and files without any byte; the latter would be dropped by the quality filter in any case.
+    Malformed UTF-8 is replaced and line ends become ``\\n``. A file that is listed but cannot be read has
+    a null ``raw``: the listing is compared with the paths that could be read, for which the contents are
+    read a second time, as that is cheaper than shuffling them. Spark's file sources skip names that begin
+    with ``.`` or ``_`` and files without any byte; the latter would be dropped by the quality filter in
+    any case.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-    files = spark.read.format("binaryFile").load(base.rstrip("/") + "/*").select("path", "content")
-    parts = F.split(F.substring(F.col("path"), len(base.rstrip("/")) + 2, 1 << 30), "/")
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+    tolerant = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+
+    def files() -> DataFrame:
+        return spark.read.options(**tolerant).format("binaryFile").load(f"{base}/*")
+
+    contents = files().select("path", "content")
+    readable = contents.where(F.length("content") > 0).select("path")
+    unreadable = files().where("length > 0").select("path").join(readable, "path", "left_anti")
+    every = contents.unionByName(unreadable.withColumn("content", F.lit(None).cast("binary")))
+    parts = F.split(F.substring(F.col("path"), len(base) + 2, 1 << 30), "/")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return (
-        files.withColumn("_parts", parts)
+        every.withColumn("_parts", parts)
         .where(F.size("_parts") == 2)
         .select(
             F.col("_parts")[0].alias("category"),

@@ -149,6 +149,27 @@ def test_the_large_side_keeps_its_partitions(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 12
 
 
+def test_rows_without_key_go_around_the_join(spark):
+    many = spark.range(2000).selectExpr("if(id % 2 = 0, null, 7) as k", "id as row")
+    unique = spark.createDataFrame([(7, "seven"), (8, "eight")], "k long, t string")
+    got = lookup_join(many, unique, "k", "left", hot_rows=100, spread_by=("row",))
+    assert got.columns == ["k", "row", "t"]
+    assert got.count() == 2000 and got.where("t is null").count() == 1000 and got.where("t = 'seven'").count() == 1000
+    assert lookup_join(many, unique, "k", "inner", hot_rows=100).count() == 1000
+
+
+def test_salts_follow_from_the_rows(spark):
+    """The same rows get the same salts in any order; nothing that depends on the partition is asked."""
+    many = spark.range(3000).selectExpr("1L as k", "id as row")
+    unique = spark.createDataFrame([(1, "t")], "k long, t string")
+    joined = lookup_join(many.repartition(7), unique, "k", hot_rows=500, spread_by=("row",))
+    plan = joined._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan and "xxhash64(row" in plan
+    assert joined.count() == 3000
+    small = lookup_join(many.limit(400), unique, "k", hot_rows=500)
+    assert "_salt" not in small._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("keys", [1500])
 def test_any_number_of_hot_keys(spark, keys):
     many = spark.range(keys * 8).selectExpr(f"id % {keys} as k", "id as row")

@@ -29,6 +29,23 @@ def test_read_posts(spark, tmp_path):
     assert got == want
 
 
+def test_unreadable_files_are_rows_without_text(spark, tmp_path):
+    words = " ".join(["word"] * 30)
+    spark.createDataFrame([(f"Subject: s\n\n{words} {i}", "c") for i in range(4)], "value string, category string").repartition(4).write.partitionBy(
+        "category"
+    ).text(str(tmp_path / "posts"))
+    files = sorted((tmp_path / "posts" / "category=c").glob("part-*.txt"))
+    assert len(files) == 4
+    # The checksum beside the file does not fit any more: reading it is an error.
+    files[0].write_bytes(files[0].read_bytes().replace(b"word", b"WORD"))
+    read = posts.read_posts(spark, str(tmp_path / "posts"))
+    rows = {r.doc_id: r.raw for r in read.collect()}
+    assert rows.keys() == {f.name for f in files}
+    assert [name for name, raw in rows.items() if raw is None] == [files[0].name]
+    report = clean.cleaning_report(clean.classify_docs(read)).where("is_total").head()
+    assert (report.total, report.kept, report.dropped_read_error) == (4, 3, 1)
+
+
 def test_docs_round_trip(spark, tmp_path):
     rows = [("1", "c", ["a", "a"], True, None, "café \"q\"\n", 3), ("1", "d", [], False, "s", "t", 1)]
     df = spark.createDataFrame(rows, docs.DOC_SCHEMA)
