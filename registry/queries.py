@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import inputs as src
 from softseek.functions import text as tx
 from softseek.functions import vectors as vx
-from softseek.operators import cache, clean, clusters, embed, search
+from softseek.operators import cache, clean, clusters, embed, graph, search
 from softseek.plans import answer, evaluate
 from softseek.session import materialize, scratch_path
 from softseek.sources import docs, index, models, posts
@@ -297,6 +297,22 @@ def knn_graph(spark, sf):
     return graph.select("point_id", "neighbor_id", "rank", r6("distance").alias("distance"))
 
 
+@query
+def knn_graph_cells(spark, sf):
+    """Recall of the graph from cells of half the table, against all pairs. The test vectors have no near
+    neighbours to speak of, so most pairs have to meet: two divisions, and cells that overlap widely."""
+    vectors = src.embeddings(spark, sf)
+    made = graph.knn_graph_cells(vectors, 15, cell_rows=vectors.count() // 2, split=8, overlap=4, tables=2)
+    exact = search.knn_graph(vectors, 15).select("point_id", "neighbor_id", F.col("distance").alias("exact"))
+    both = made.join(exact, ["point_id", "neighbor_id"], "left")
+    recall = F.count("exact") / F.count("*")
+    return both.agg(
+        F.count_distinct("point_id").alias("points"), F.count("*").alias("edges"), F.max("rank").cast("int").alias("degree"),
+        F.count_if(F.col("distance") != F.col("exact")).alias("other_distances"),
+        F.when(recall >= 0.9, "at least 0.9").otherwise("below 0.9").alias("recall"),
+    )
+
+
 # ------------------------------------------------------------------------------- E. soft clustering
 
 
