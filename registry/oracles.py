@@ -414,6 +414,8 @@ JOIN (SELECT query_id, string_agg({BLOCK}, chr(10) || chr(10) ORDER BY rank) AS
     ),
     "threshold_sweep": with_(f"{PAIRS},\n{SWEEP}", f"SELECT {SWEEP_COLS} FROM sweep"),
     "best_threshold": with_(f"{PAIRS},\n{SWEEP}", f"SELECT {SWEEP_COLS} FROM sweep ORDER BY sweep.f1 DESC, threshold LIMIT 1"),
+    "latency_by_stage": """SELECT event_type AS stage, count(value) AS measured, round(avg(value), 6) AS avg_latency, round(quantile_cont(value, 0.95), 6) AS p95_latency
+  FROM (SELECT * FROM events QUALIFY row_number() OVER (ORDER BY event_id) > 3) GROUP BY event_type""",
     "latency_summary": with_(LATENCY, "SELECT measured, round(avg_latency, 6) AS avg_latency, round(p95_latency, 6) AS p95_latency FROM lat"),
     "evaluation_report": with_(
         f"{PAIRS},\n{DOC_INDEX_ONLY},\n{RANKS},\n{SWEEP},\n{OUTCOME},\n{LATENCY},\n"

@@ -625,6 +625,14 @@ def _latencies(spark, sf):
     return src.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("value").alias("latency"))
 
 
+@query
+def latency_by_stage(spark, sf):
+    """Events as measurements of the stage that their type names."""
+    log = src.table(spark, sf, "events").selectExpr("event_id as seq", "value as latency", "event_type as step")
+    df = evaluate.latency_summary(log, stage="step")
+    return df.select("stage", "measured", r6("avg_latency").alias("avg_latency"), r6("p95_latency").alias("p95_latency"))
+
+
 @query
 def latency_summary(spark, sf):
     df = evaluate.latency_summary(_latencies(spark, sf))

@@ -10,8 +10,11 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from softseek.functions.vectors import dominant_cluster, round_half_even4, top_clusters
 from softseek.operators.chains import PART_ROWS, settle_round
@@ -81,15 +84,48 @@ def flush(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --------------------------------------------------------------------------------- control events
 
 
+#: Control events that are shared with every task: three numbers each, some 20 MB.
+SHARED_EVENTS = 1_000_000
+
+
 def control_state(
-    log: DataFrame, threshold: float = DEFAULT_THRESHOLD, epoch: int = 0
+    log: DataFrame, threshold: float = DEFAULT_THRESHOLD, epoch: int = 0, shared_events: int = SHARED_EVENTS
 ) -> DataFrame:
     """Adds to every row of a log the threshold in force (``theta``) and its ``epoch``.
 
     ``log(seq, is_flush boolean, set_theta double)``. A flush starts the next epoch; a threshold stays
-    until the next one is set and survives a flush. The running state is computed inside range
-    partitions of ``seq`` and carried over by one small row per partition, so no task sees the whole log.
+    until the next one is set and survives a flush. The events alone, three narrow columns, are read
+    first: while their counted number is below ``shared_events`` each row looks up the last one at or
+    before its ``seq``, and the log is neither sorted nor written. With more events the log is sorted once.
     """
+    event = F.coalesce(F.col("is_flush"), F.lit(False)) | F.col("set_theta").isNotNull()
+    whole = isinstance(log.schema["seq"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if not whole:
+        return _control_by_order(log, threshold, epoch)
+    events = log.where(event).select(F.col("seq").cast("long").alias("seq"), F.coalesce("is_flush", F.lit(False)).alias("is_flush"), "set_theta")
+    events = materialize(events, "events")
+    if events.count() > shared_events:
+        return _control_by_order(log, threshold, epoch)
+    held = events.toPandas().sort_values("seq")
+    at = held["seq"].to_numpy(np.int64)
+    epochs = np.append(epoch, epoch + np.cumsum(held["is_flush"].to_numpy(bool)))
+    thetas = held["set_theta"].astype(float).ffill().fillna(threshold).to_numpy()
+    shared = log.sparkSession.sparkContext.broadcast((at, epochs, np.append(threshold, thetas)))
+
+    @F.arrow_udf("struct<epoch: bigint, theta: double>")
+    def in_force(seq: pa.Array) -> pa.Array:
+        at, epochs, thetas = shared.value
+        last = np.searchsorted(at, seq.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+        return pa.StructArray.from_arrays([pa.array(epochs[last], pa.int64()), pa.array(thetas[last], pa.float64())], names=["epoch", "theta"])
+
+    # Declared nondeterministic so that one call gives both fields.
+    state = in_force.asNondeterministic()(F.col("seq").cast("long"))
+    return log.withColumn("_state", state).withColumns({"epoch": F.col("_state.epoch"), "theta": F.col("_state.theta")}).drop("_state")
+
+
+def _control_by_order(log: DataFrame, threshold: float, epoch: int) -> DataFrame:
+    """The running state inside range partitions of ``seq``, carried over by one small row per partition,
+    so that no task sees the whole log."""
     parts = range_parts(log, "seq", label="log")
     inside = Window.partitionBy("_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     flushes = F.coalesce(F.col("is_flush").cast("long"), F.lit(0))
@@ -307,7 +343,8 @@ def epoch_stats(decisions: DataFrame) -> DataFrame:
 
 def flush_report(log: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row per flush event of the log: how many entries it cleared."""
-    flushes = control_state(log).where("is_flush").select("seq", (F.col("epoch") - 1).alias("epoch"))
+    state = control_state(log.select("seq", "is_flush", "set_theta"))
+    flushes = state.where("is_flush").select("seq", (F.col("epoch") - 1).alias("epoch"))
     cleared = decisions.where(~F.col("cache_hit")).groupBy("epoch").agg(F.count("*").alias("n"))
     return flushes.join(cleared, "epoch", "left").select(
         "seq", "epoch", F.coalesce("n", F.lit(0)).alias("entries_cleared")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from softseek.functions.vectors import dot
 from softseek.operators.joins import lookup_join
-from softseek.operators.ordering import dense_index
 from softseek.operators.search import topk_search
+from softseek.session import materialize
 
 # The thresholds the sweep compares.
 THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -93,27 +93,53 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), F.asc("threshold")).limit(1)
 
 
-def latency_summary(log: DataFrame, warmup: int = 3, order: str = "seq", latency: str = "latency") -> DataFrame:
-    """Mean and 95th percentile (linear interpolation) after the first ``warmup`` rows; nulls are not measured.
+#: Rank error of the sketch that brackets the percentile, as a share of the rows.
+SKETCH_ACCURACY = 100_000
 
-    The percentile is exact and distributed: latencies are put in global order and only the rows at the
-    two positions around the percentile are read.
+
+def latency_summary(log: DataFrame, warmup: int = 3, order: str = "seq", latency: str = "latency", stage: str | None = None) -> DataFrame:
+    """Mean and 95th percentile (linear interpolation) after the first ``warmup`` positions; nulls are not measured.
+
+    ``stage``: a column by which to summarise, one row each (embedding, lookup, search). The percentile is
+    exact without sorting the log: a quantile sketch, whose rank error is known, brackets it; values below
+    the bracket are counted, and only the distinct values inside are put in order. A bracket that does not
+    hold the percentile after all is replaced by all values.
     """
-    rows = log.select(F.col(order).alias("_order"), F.col(latency).cast("double").alias("_x"))
-    first = rows.orderBy("_order").limit(warmup).agg(F.max("_order").alias("_last")).withColumn("_one", F.lit(1))
+    name = F.lit("") if stage is None else F.col(stage)
+    rows = log.select(F.col(order).alias("_order"), F.col(latency).cast("double").alias("_x"), name.alias("_stage"))
     if warmup > 0:
-        rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").where("_order > _last").select("_order", "_x")
-    placed = dense_index(rows.where("_x is not null"), "_x", "_order", name="_pos")
-    totals = placed.agg(F.count("*").alias("n"), F.avg("_x").alias("avg_latency")).withColumn("_one", F.lit(1))
+        last = rows.select("_order").distinct().orderBy("_order").limit(warmup).agg(F.max("_order")).first()[0]
+        rows = rows.where(F.col("_order") > F.lit(last))
+    rows = rows.where("_x is not null").select("_stage", "_x")
+    margin = 3 / SKETCH_ACCURACY
+    edges = F.percentile_approx("_x", F.array(F.lit(max(0.0, 0.95 - margin)), F.lit(min(1.0, 0.95 + margin))), F.lit(SKETCH_ACCURACY))
+    measures = [F.count("*").alias("n"), F.avg("_x").alias("avg_latency"), edges.alias("_edges")]
+    totals = rows.agg(*measures).withColumn("_stage", F.lit("")) if stage is None else rows.groupBy("_stage").agg(*measures)
     spot = F.lit(0.95) * (F.col("n") - 1)
-    totals = totals.withColumns({"_low": F.floor(spot), "_high": F.ceil(spot), "_share": spot - F.floor(spot)})
-    near = (
-        placed.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one").where("_pos = _low or _pos = _high")
-        .groupBy("_one").agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
-    )
-    return totals.join(near, "_one", "left").select(
-        F.col("n").alias("measured"), "avg_latency", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias("p95_latency")
+    totals = materialize(totals.withColumns({"_low": F.floor(spot), "_high": F.ceil(spot), "_share": spot - F.floor(spot)}), "totals")
+
+    def beside(table: DataFrame) -> DataFrame:
+        return rows.join(table.withColumnRenamed("_stage", "_s"), F.col("_stage").eqNullSafe(F.col("_s"))).drop("_s")
+
+    below, inside = F.col("_x") < F.col("_edges")[0], (F.col("_x") >= F.col("_edges")[0]) & (F.col("_x") <= F.col("_edges")[1])
+    counted = beside(totals.select("_stage", "_edges")).groupBy("_stage").agg(F.count_if(below).alias("_below"), F.count_if(inside).alias("_inside"))
+    counted = counted.withColumnRenamed("_stage", "_s")
+    held = (F.col("_below") <= F.col("_low")) & (F.col("_below") + F.col("_inside") > F.col("_high"))
+    bracket = totals.join(counted, F.col("_stage").eqNullSafe(F.col("_s")), "left").drop("_s")
+    bracket = bracket.withColumns({"_held": held, "_below": F.when(held, F.col("_below")).otherwise(0)})
+    bracket = materialize(bracket, "bracket")
+    near = beside(bracket.select("_stage", "_edges", "_held", "_below", "_low", "_high")).where(~F.col("_held") | inside)
+    values = near.groupBy("_stage", "_x", "_below", "_low", "_high").agg(F.count("*").alias("_n"))
+    running = Window.partitionBy("_stage").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = values.withColumn("_upto", F.col("_below") + F.sum("_n").over(running))
+    ends = upto.groupBy("_stage").agg(
+        F.min(F.when(F.col("_upto") > F.col("_low"), F.col("_x"))).alias("_a"), F.min(F.when(F.col("_upto") > F.col("_high"), F.col("_x"))).alias("_b")
     )
+    found = bracket.join(ends.withColumnRenamed("_stage", "_s"), F.col("_stage").eqNullSafe(F.col("_s")), "left")
+    return found.select(
+        *([F.col("_stage").alias("stage")] if stage is not None else []),
+        F.col("n").alias("measured"), "avg_latency", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias("p95_latency"),
+    )
 
 
 def evaluation_report(

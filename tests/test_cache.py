@@ -258,3 +258,17 @@ def test_hot_entry_is_joined_without_one_task(spark):
     joined = lookup_join(many, unique, "matched_seq", hot_rows=10)
     assert joined.count() == 1000
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_control_state_by_events_and_by_order(spark):
+    rows = random_log(55, n=300)
+    log = log_frame(spark, rows).repartition(5)
+    shared, ordered = cache.control_state(log, 0.8, 3), cache.control_state(log, 0.8, 3, shared_events=0)
+    assert shared.columns == ordered.columns
+    assert sorted(map(str, shared.collect())) == sorted(map(str, ordered.collect()))
+    # The log itself is neither sorted nor shuffled.
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "rangepartitioning" not in plan
+    assert cache.control_state(log.limit(0)).collect() == []
+    none = cache.control_state(log.where("not is_flush and set_theta is null"), 0.7, 2).select("epoch", "theta").distinct().collect()
+    assert none == [(2, 0.7)]

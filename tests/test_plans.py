@@ -109,3 +109,24 @@ def test_report_is_one_row(spark):
     log = spark.createDataFrame([(i, float(i)) for i in range(9)], "seq long, latency double")
     rows = evaluate.evaluation_report(evaluate.first_relevant_rank(labelled, index(spark)), features(spark), log).collect()
     assert len(rows) == 1 and rows[0].hit_at_1 == 1.0 and rows[0].best_threshold == 0.70
+
+
+def test_latency_by_stage(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, stage, None if rng.random() < 0.05 else float(x)) for i in range(4000) for stage, x in
+            (("embed", rng.lognormal()), ("lookup", rng.integers(3)), ("search", 7.0), (None, i))]
+    log = spark.createDataFrame(rows, "seq long, step string, latency double").repartition(7)
+    for accuracy in (evaluate.SKETCH_ACCURACY, 50, 2):  # a coarse sketch, and one whose bracket may miss
+        monkeypatch.setattr(evaluate, "SKETCH_ACCURACY", accuracy)
+        made = evaluate.latency_summary(log, stage="step")
+        got = {r.stage: r for r in made.collect()}
+        assert got.keys() == {"embed", "lookup", "search", None}
+        for stage, r in got.items():
+            rest = [x for i, s, x in rows if s == stage and i >= 3 and x is not None]
+            assert r.measured == len(rest) and r.avg_latency == pytest.approx(np.mean(rest)) and r.p95_latency == pytest.approx(np.percentile(rest, 95))
+
+
+def test_latency_is_not_sorted_as_a_whole(spark):
+    log = spark.range(100_000).selectExpr("id as seq", "cast(hash(id) as double) as latency")
+    plan = evaluate.latency_summary(log)._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
