@@ -47,20 +47,31 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 class Projection:
-    """``longest``: length of the longest vector; ``project`` gives the images of stretched queries
+    """``longest``: length of the longest vector times ``scale``, a power of two that keeps squares of
+    very large or small components in range; ``project`` gives the images of stretched queries
     (``lifted`` false) or lifted vectors."""
 
-    def __init__(self, width: int, m: int, longest: float, seed: int):
-        self.longest = longest
+    def __init__(self, width: int, m: int, longest: float, seed: int, scale: float = 1.0):
+        self.longest, self.scale = longest, scale
         self.axes = np.random.default_rng(seed).standard_normal((width + 1, m))
 
     def project(self, x: np.ndarray, lifted: bool) -> np.ndarray:
-        squares = (x * x).sum(axis=1)
         if not lifted:
-            return x * (self.longest / np.sqrt(squares))[:, None] @ self.axes[:-1]
-        extra = np.sqrt(np.maximum(self.longest**2 - squares, 0))
+            return x * (self.longest / lengths(x))[:, None] @ self.axes[:-1]
+        x = x * self.scale
+        extra = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(axis=1), 0))
         return x @ self.axes[:-1] + extra[:, None] * self.axes[-1]
 
+    def stretched(self, scores: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Inner products of lifted vectors with stretched queries, from those of the originals."""
+        return scores / norms * (self.scale * self.longest)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Of vectors that are not zero, without squaring their components as they are."""
+    largest = np.abs(x).max(axis=1)
+    return largest * np.sqrt(((x / largest[:, None]) ** 2).sum(axis=1))
+
 
 def split(points: np.ndarray, leaves: int, least: int) -> list:
     """kd-tree as nested ``[axis, value, left, right]``; a leaf is the array of its point numbers."""
@@ -185,14 +196,14 @@ def search_cell(
     best = Best(len(queries), k)
     for start in range(0, len(queries), BATCH):
         q = queries[start : start + BATCH]
-        stretch = projection.longest / np.sqrt((q * q).sum(axis=1))
+        norms = lengths(q)
         far = _box_distances(projection.project(q, lifted=False), low, high)
         near = np.argsort(far, axis=1, kind="stable")
         done, step = 0, 1
         while done < len(leaves):
             kth = np.maximum(best.score[start : start + len(q), -1], bounds[start : start + len(q)])
             # Squared true distance of the k-th: 2 (L * L - stretched score).
-            radius = factor * np.maximum(2 * (projection.longest**2 - kth * stretch), 0)
+            radius = factor * np.maximum(2 * (projection.longest**2 - projection.stretched(kth, norms)), 0)
             ranks = near[:, done : done + step]
             wanted = np.take_along_axis(far, ranks, axis=1) <= radius[:, None] * (1 + 1e-9)
             if not wanted.any():
@@ -292,11 +303,17 @@ def nearest(
     spark = vectors.sparkSession
     valid = usable(vectors).where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
-    widths = valid.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
+    largest = F.array_max(F.transform("embedding", F.abs))
+    widths = valid.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("square"), F.max(largest).alias("largest"))
     width = widths.orderBy(F.desc("n"), "width").first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fits = F.size("embedding") == width["width"]
+    longest, scale = math.sqrt(width["square"]), 1.0
+    if not 1e-100 < longest < 1e100:  # squares leave the range of doubles
+        scale = 2.0 ** -math.frexp(width["largest"])[1]
+        scaled = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * F.lit(scale) * (v * F.lit(scale)))
+        longest = math.sqrt(valid.where(fits).agg(F.max(scaled)).first()[0])
     hashes = [F.xxhash64("embedding").alias("_h"), F.xxhash64(F.lit(1), "embedding").alias("_g")]
     copy = F.dense_rank().over(Window.partitionBy("_h", "_g").orderBy("vec_id"))
     index = valid.where(fits).select("*", *hashes).withColumn("_copy", copy).where(F.col("_copy") <= k + 1)
@@ -309,7 +326,7 @@ def nearest(
     asked = materialize(asked, "queries")
 
     sample = index.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).toArrow()
-    projection = Projection(width["width"], dimensions, math.sqrt(width["square"]), seed)
+    projection = Projection(width["width"], dimensions, longest, seed, scale)
     cells = max(1, -(-index.count() // cell_rows))
     tree = numbered(split(projection.project(_matrix(sample.column("embedding")), lifted=True), cells, 1)) if cells > 1 else 0
     shared = spark.sparkContext.broadcast((projection, tree))
@@ -333,10 +350,11 @@ def nearest(
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = home.withColumn("rank", F.row_number().over(order))
     bounds = ranked.where(F.col("rank") == k + 1).select("query_id", F.col("score").alias("bound"))
-    length = F.lit(projection.longest)
-    own = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
+    length = F.lit(longest)
+    ratio = F.aggregate(F.transform("embedding", lambda v: v / largest), F.lit(0.0), lambda a, v: a + v * v)
+    own = largest * F.sqrt(ratio)
     routed = heads.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    routed = routed.withColumn("radius", F.lit(factor) * 2 * (length * length - F.col("bound") * length / own))
+    routed = routed.withColumn("radius", F.greatest(F.lit(factor) * 2 * (length * length - F.col("bound") / own * (F.lit(scale) * length)), F.lit(0.0)))
     routed = routed.select("query_id", "embedding", "cell", "image", "radius", "bound")
     reached = routed.mapInArrow(_reached(shared), "query_id long, embedding array<double>, cell int, bound double")
     reached = materialize(reached, "reached")

@@ -59,3 +59,25 @@ def test_few_and_none(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(1, 1, 2), (2, 1, 1)]
     empty = two.limit(0)
     assert ann.nearest(empty, empty.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-170])
+def test_very_long_and_short_vectors_take_part(spark, size):
+    """One vector, or all, whose squares leave the range of doubles."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8))
+    x[7] = [size, *([0.0] * 7)] if size > 1 else x[7]
+    x = x if size > 1 else x * size
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    queries = table.where("vec_id % 10 in (0, 7)").selectExpr("vec_id as query_id", "embedding")
+    got = {}
+    for r in ann.nearest(table, queries, k=3, cell_rows=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 40
+    found = 0
+    for q, rows in got.items():
+        scores = (x[q] * x).sum(axis=1)
+        assert [r for r, _, _ in sorted(rows)] == [1, 2, 3] and all(s == pytest.approx(scores[i], rel=1e-12) for _, i, s in rows)
+        best = sorted((-s, i) for i, s in enumerate(scores) if i != q)[:3]
+        found += len({i for _, i in best} & {i for _, i, _ in rows})
+    assert found >= 0.95 * 120
