@@ -127,3 +127,39 @@ def test_materialized_table_has_no_lineage(spark):
     table = materialize(spark.range(10).withColumn("x", F.rand()), "t")
     assert table.inputFiles()[0].split("//")[-1].lstrip("/").startswith(scratch_dir(spark).split("//")[-1].lstrip("/").lstrip("file:"))
     assert table.orderBy("id").collect() == table.orderBy("id").collect()
+
+
+def test_merge_touches_only_its_clusters(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(i, [float(i)], f"c{i}", i % 5) for i in range(200)]
+    schema = "point_id long, embedding array<double>, category string, dominant_cluster int"
+    index.write_index(spark.createDataFrame(rows, schema), path, by_cluster=True)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "index").glob("dominant_cluster=*/*.parquet")}
+
+    before = files()
+    # 1 stays in its cluster, 2 moves to cluster 1, 500 is new; of the two rows for 1 the later one counts
+    delta = spark.createDataFrame([(1, [0.5], "old", 1, 1), (1, [0.7], "new", 1, 2), (2, [0.1], "moved", 1, 1), (500, [9.0], "added", 1, 1)], f"{schema}, v int")
+    assert index.merge_index(spark, path, delta, "v") == [1, 2]
+    got = {r.point_id: (r.category, r.dominant_cluster) for r in spark.read.parquet(path).collect()}
+    want = {i: (c, k) for i, _, c, k in rows} | {1: ("new", 1), 2: ("moved", 1), 500: ("added", 1)}
+    assert got == want
+    after = files()
+    kept = [f for f in before if "dominant_cluster=1/" not in str(f) and "dominant_cluster=2/" not in str(f)]
+    assert kept and all(after.get(f) == before[f] for f in kept)
+    # a cluster whose points have all moved leaves no folder
+    move = spark.read.parquet(path).where("dominant_cluster = 4").withColumn("dominant_cluster", F.lit(0))
+    assert index.merge_index(spark, path, materialize(move, "move")) == [0, 4]
+    assert not (tmp_path / "index" / "dominant_cluster=4").exists() and spark.read.parquet(path).count() == 201
+    assert index.merge_index(spark, path, move.limit(0)) == []
+
+
+def test_the_last_row_of_an_id_is_chosen_narrowly(spark):
+    rows = [(7, "x" * 1000, i) for i in range(300)] + [(7, "tie", 299), (8, "same", 1), (8, "same", 1), (9, None, None)]
+    delta = spark.createDataFrame(rows, "point_id long, text string, v int")
+    got = {r.point_id: (r.text, r.v) for r in index.latest_rows(delta, "v").collect()}
+    assert got.keys() == {7, 8, 9} and got[7][1] == 299 and got[8] == ("same", 1) and got[9] == (None, None)
+    assert index.latest_rows(delta, "v").count() == 3
+    plan = index.latest_rows(delta, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan
