@@ -258,6 +258,12 @@ ORACLES: dict[str, str] = {
         f"{EMB}, delta AS (SELECT event_id % (2 * (SELECT count(*) FROM emb)) AS point_id, arg_max(event_type, event_id) AS category FROM events GROUP BY 1)",
         "SELECT point_id, coalesce(delta.category, emb.category) AS category FROM emb FULL JOIN delta USING (point_id)",
     ),
+    "merge_index": with_(
+        f"{CLUSTERED}, delta AS (SELECT event_id % (2 * (SELECT count(*) FROM emb)) AS point_id, arg_max(event_type, event_id) AS category,"
+        " (max(event_id) % 3)::INTEGER AS cluster FROM events GROUP BY 1)",
+        "SELECT point_id, coalesce(delta.category, base.category) AS category, coalesce(delta.cluster, base.dom)::INTEGER AS dominant_cluster"
+        " FROM (SELECT point_id, category, dom FROM emb JOIN f USING (point_id)) AS base FULL JOIN delta USING (point_id)",
+    ),
     "index_info": "SELECT p AS points_count, e AS expected, p = e AS matches FROM (SELECT count(*) AS p FROM embeddings), (SELECT count(*) AS e FROM documents)",
     "cluster_model_round_trip": with_(f"{EMB}, {CENTERS}", "SELECT cluster_id, dim::INTEGER AS dim, round(value, 6) AS value FROM center_rows"),
     "assignments_round_trip": ASSIGNED,

@@ -77,6 +77,20 @@ def upsert_index(spark, sf):
     return index.upsert_index(base, delta, "version")
 
 
+@query
+def merge_index(spark, sf):
+    """The stored index after a merge: new rows lie in three clusters, replaced ones anywhere."""
+    path = scratch_path(spark, "index")
+    base = src.clustered(spark, sf).select("point_id", "category", "embedding", "dominant_cluster")
+    index.write_index(base, path, by_cluster=True)
+    delta = src.table(spark, sf, "events").selectExpr(
+        f"event_id % {2 * base.count()} as point_id", "event_type as category", "array(0f, 1f) as embedding",
+        "cast(event_id % 3 as int) as dominant_cluster", "event_id as version",
+    )
+    index.merge_index(spark, path, delta, "version")
+    return index.scan_index(spark, path, ["point_id", "category", "dominant_cluster"])
+
+
 @query
 def index_info(spark, sf):
     return index.index_info(src.embeddings(spark, sf), src.table(spark, sf, "documents"))
