@@ -358,7 +358,8 @@ ab AS (SELECT point_id, max(total / (n - 1)) FILTER (own = other AND n > 1) AS a
     "assignments": ASSIGNED,
     "cache_lookup": with_(
         PAIRS,
-        """SELECT f.point_id AS seq, hit.e IS NOT NULL AS cache_hit, hit.e AS matched_seq, round(hit.s, 6) AS score FROM f LEFT JOIN
+        """SELECT f.point_id AS seq, hit.e IS NOT NULL AS cache_hit, hit.e AS matched_seq,
+ 'q' || hit.e AS matched_query, 'answer to q' || hit.e AS result, round(hit.s, 6) AS score FROM f LEFT JOIN
 (SELECT q.point_id, e.point_id AS e, list_dot_product(q.v, e.v) AS s
  FROM points q JOIN f fq ON fq.point_id = q.point_id, emb e JOIN f fe ON fe.point_id = e.point_id
  WHERE list_contains(fq.top2, fe.dom) AND list_dot_product(q.v, e.v) >= 0.8

@@ -456,8 +456,9 @@ def _entries(spark, sf):
 @query
 def cache_lookup(spark, sf):
     queries = src.pair_inputs(spark, sf)[1].withColumnRenamed("query_id", "seq")
-    found = cache.cache_lookup(queries, materialize(_entries(spark, sf), "entries").withColumn("embedding", F.col("embedding").cast("array<double>")), 0.8)
-    return found.select("seq", "cache_hit", "matched_seq", r6("score").alias("score"))
+    entries = materialize(_entries(spark, sf).withColumn("result", F.concat(F.lit("answer to "), "query")), "entries")
+    found = cache.cache_lookup(queries, entries.withColumn("embedding", F.col("embedding").cast("array<double>")), 0.8)
+    return found.select("seq", "cache_hit", "matched_seq", "matched_query", "result", r6("score").alias("score"))
 
 
 @query

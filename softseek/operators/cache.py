@@ -40,8 +40,8 @@ def with_clusters(df: DataFrame, n: int = 2) -> DataFrame:
 def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Best entry of a fixed cache for every query; misses stay with nulls.
 
-    ``queries(seq, embedding, top_clusters[, theta])``, ``entries(seq, query, embedding, cluster_id)``.
-    A hit needs a score of at least the threshold. Equal scores: the query's stronger cluster first,
+    ``queries(seq, embedding, top_clusters[, theta])``, ``entries(seq, query, embedding, cluster_id[, result])``.
+    A hit has the entry's number, text (``matched_query``) and, where the entries have one, its ``result``. It needs a score of at least the threshold. Equal scores: the query's stronger cluster first,
     then the earlier entry.
     """
     theta = F.coalesce("theta", F.lit(threshold)) if "theta" in queries.columns else F.lit(threshold)
@@ -52,11 +52,13 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, threshold: float = DEFA
         F.col("seq").alias("e_id"), F.col("embedding").alias("e_vec"), F.col("cluster_id").alias("e_bucket")
     )
     matched = with_best_match(lookups, stored, Rule(bucketed=True, floor=True, by_position=True))
-    return (
-        matched.drop("q_id", "q_vec", "q_buckets", "q_floor")
-        .withColumnRenamed("e_id", "matched_seq")
-        .withColumn("cache_hit", F.col("matched_seq").isNotNull())
-    )
+    found = matched.drop("q_id", "q_vec", "q_buckets", "q_floor").withColumnRenamed("e_id", "matched_seq")
+    held = [c for c in ("query", "result") if c in entries.columns]
+    texts = entries.select(F.col("seq").alias("matched_seq"), *[F.col(c).alias({"query": "matched_query"}.get(c, c)) for c in held])
+    # One entry may serve a large share of the queries; the search is kept before that is examined.
+    served = lookup_join(materialize(found, "found"), texts, "matched_seq", "left", spread_by=("seq",))
+    names = ["matched_query" if c == "query" else c for c in held]
+    return served.select(*[c for c in found.columns], *names).withColumn("cache_hit", F.col("matched_seq").isNotNull())
 
 
 def cache_store(entries: DataFrame, new: DataFrame) -> DataFrame:

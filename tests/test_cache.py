@@ -272,3 +272,14 @@ def test_control_state_by_events_and_by_order(spark):
     assert cache.control_state(log.limit(0)).collect() == []
     none = cache.control_state(log.where("not is_flush and set_theta is null"), 0.7, 2).select("epoch", "theta").distinct().collect()
     assert none == [(2, 0.7)]
+
+
+def test_a_lookup_returns_the_entry(spark):
+    entries = spark.createDataFrame(
+        [(1, "first", [1.0, 0.0], 0, "text 1"), (2, "second", [0.0, 1.0], 0, None)], "seq long, query string, embedding array<double>, cluster_id int, result string"
+    )
+    queries = spark.createDataFrame([(10, [1.0, 0.0], [0]), (11, [0.0, 1.0], [0]), (12, [0.7, 0.7], [0])], "seq long, embedding array<double>, top_clusters array<int>")
+    got = {r.seq: (r.cache_hit, r.matched_seq, r.matched_query, r.result) for r in cache.cache_lookup(queries, entries, 0.8).collect()}
+    assert got == {10: (True, 1, "first", "text 1"), 11: (True, 2, "second", None), 12: (False, None, None, None)}
+    bare = cache.cache_lookup(queries, entries.drop("result", "query"), 0.8)
+    assert bare.count() == 3 and "matched_query" not in bare.columns
