@@ -25,35 +25,37 @@ def expected(docs, least, top, absorbed):
     out = []
     for lang, counts in f.items():
         frequent = {p: a for p, a in counts.items() if a >= least and len(p) > 1}
-        rows = []
+        rows, lengths, longest = [], chains(frequent), Counter()
+        for q, b in frequent.items():
+            for inner in {q[i:j] for i in range(len(q)) for j in range(i + 2, len(q) + 1) if j - i < len(q)}:
+                longest[inner] = max(longest[inner], b)
         for p, a in frequent.items():
-            longer = [b for q, b in frequent.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
-            if any(100 * b >= absorbed * a for b in longer):
+            if p in longest and 100 * longest[p] >= absorbed * a:
                 continue
             cuts = [(2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p))]
             score, _, l, r = min(cuts)
-            rows.append((-score, -a, " ".join(p).encode(), a, l, r, n[lang], score, chain(p, frequent) if len(p) == 4 else None))
+            rows.append((-score, -a, " ".join(p).encode(), a, l, r, n[lang], score, lengths.get(p)))
         out += [(lang, i + 1, r[2].decode(), *r[3:]) for i, r in enumerate(sorted(rows)[:top])]
     return sorted(out, key=str)
 
 
-def chain(p, frequent):
-    """Words of the unary path through an edge, walked one edge at a time."""
+def chains(frequent):
+    """Words of the unary path through every edge, walked one edge at a time."""
     edges = {q: a for q, a in frequent.items() if len(q) == 4}
-
-    def after(q):
-        nexts, priors = [e for e in edges if e[:3] == q[1:]], [e for e in edges if e[1:] == q[1:]]
-        return nexts[0] if len(nexts) == len(priors) == 1 and edges[nexts[0]] == edges[q] else None
-
-    back = {after(q): q for q in edges}
-    size, q = 4, p
-    while (q := after(q)) and q != p:
-        size += 1
-    if q is None:
-        q = p
-        while q := back.get(q):
-            size += 1
-    return size
+    begin, end = defaultdict(list), defaultdict(list)
+    for q in edges:
+        begin[q[:3]].append(q)
+        end[q[1:]].append(q)
+    after = {q: begin[q[1:]][0] for q in edges if len(begin[q[1:]]) == len(end[q[1:]]) == 1 and edges[begin[q[1:]][0]] == edges[q]}
+    firsts = edges.keys() - set(after.values())
+    out = {}
+    for first in [*firsts, *edges]:  # then those on circles, which no first edge reaches
+        walk, q = [], first
+        while q is not None and q not in out and q not in walk:
+            walk.append(q)
+            q = after.get(q)
+        out |= dict.fromkeys(walk, len(walk) + 3)
+    return out
 
 
 def result(frame):
