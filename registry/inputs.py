@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from uuid import uuid4
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +56,48 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
     return docs.selectExpr("source as category", "cast(doc_id as string) as doc_id", f"{RAW_POST} as raw")
 
 
+def write_posts(posts: DataFrame, root: str) -> None:
+    """One file per row of ``category, raw`` below a folder per category, named and escaped as Spark's text writer
+    does it.
+
+    Each task writes its files itself: a Hadoop committer moves every one again, and its local file system starts a
+    process per file. Other stores than a mounted folder get Spark's writer, whose tasks commit their own files.
+    """
+    spark = posts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() != "file":
+        writer = posts.select("category", F.col("raw").alias("value")).write.option("maxRecordsPerFile", 1)
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("category").text(root)
+        return
+    folder = uri.getPath()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for category, raw in zip(batch.column("category").to_pylist(), batch.column("raw").to_pylist()):
+                home = f"{folder}/category={_folder_name(category)}"
+                if home not in made:
+                    os.makedirs(home, exist_ok=True)
+                    made.add(home)
+                # Hidden until it is whole; a task that is run again replaces what it wrote before.
+                name = f"part-{part:05d}-{count}.txt"
+                hidden = f"{home}/.{name}-{uuid4().hex}"
+                with open(hidden, "wb") as file:
+                    file.write((raw or "").encode() + b"\n")
+                os.replace(hidden, f"{home}/{name}")
+                count += 1
+        yield pa.RecordBatch.from_pydict({"files": [count]})
+
+    rows = posts.select("category", "raw").mapInArrow(task, "files long")
+    rows.agg(F.sum("files")).collect()
+
+
+def _folder_name(value: str | None) -> str:
+    """A partition's value as Spark writes it in a path."""
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+
 def centers(spark: SparkSession, sf: str) -> np.ndarray:
     """Centre j is the mean of all vectors with label j."""
     mean = Summarizer.mean(array_to_vector("embedding"))

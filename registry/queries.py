@@ -40,8 +40,7 @@ def joined(c: str | Column) -> Column:
 @query
 def read_posts(spark, sf):
     root = scratch_path(spark, "posts")
-    raw = src.raw_posts(spark, sf).select("category", F.col("raw").alias("value"))
-    raw.write.option("maxRecordsPerFile", 1).partitionBy("category").text(root)
+    src.write_posts(src.raw_posts(spark, sf), root)
     return posts.read_posts(spark, root).select(
         "category", F.col("doc_id").rlike("^part-.*[.]txt$").alias("is_file_name"), F.md5("raw").alias("digest"), F.length("raw").alias("chars")
     )

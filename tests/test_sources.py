@@ -163,3 +163,24 @@ def test_the_last_row_of_an_id_is_chosen_narrowly(spark):
     assert index.latest_rows(delta, "v").count() == 3
     plan = index.latest_rows(delta, "v")._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan
+
+
+def test_posts_are_written_without_a_committer_and_opened_once(spark, tmp_path):
+    """Names and contents are those of Spark's text writer, and reading keeps the texts of one pass."""
+    from registry import inputs
+
+    values = ["plain", "a/b=c %", "[x]^{y}", None, ""]
+    rows = [(values[i % 5], None if i == 7 else f"text {i}\r\nline") for i in range(40)]
+    df = spark.createDataFrame(rows, "category string, raw string").repartition(3)
+    inputs.write_posts(df, str(tmp_path / "own"))
+    df.withColumnRenamed("raw", "value").write.option("maxRecordsPerFile", 1).partitionBy("category").text(str(tmp_path / "spark"))
+
+    def files(root):
+        return sorted((f.parent.name, f.read_bytes()) for f in (tmp_path / root).glob("*/part-*.txt"))
+
+    assert files("own") == files("spark") and len(files("own")) == 40
+    assert not [f for f in (tmp_path / "own").rglob("*") if f.name.startswith((".", "_"))]
+    read = posts.read_posts(spark, str(tmp_path / "own"))
+    for f in (tmp_path / "own").glob("*/part-*.txt"):
+        f.unlink()
+    assert sorted(r.raw for r in read.collect()) == sorted("\n" if i == 7 else f"text {i}\nline\n" for i in range(40))
