@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from softseek.functions.vectors import dominant_cluster, round_half_even4, top_clusters
-from softseek.operators.chains import PART_ROWS, settle_round
+from softseek.operators.chains import PART_ROWS, settle_epochs, settle_round
 from softseek.operators.joins import lookup_join
 from softseek.operators.ordering import carry_window, range_parts
 from softseek.operators.pairs import Rule, Sizes, with_best_match
@@ -26,6 +26,10 @@ from softseek.session import materialize
 DEFAULT_THRESHOLD = 0.80
 FIRST_BLOCK = 100_000
 BLOCK_GROWTH = 4
+#: Rows of short epochs that a task holds at a time, about.
+GROUP_ROWS = 32_768
+#: Stands for a missing epoch, whose rows match nothing.
+NO_EPOCH = -(1 << 63)
 
 
 def with_clusters(df: DataFrame, n: int = 2) -> DataFrame:
@@ -251,6 +255,9 @@ def cache_replay(
     ``queries(seq, query, embedding, top_clusters, dominant_cluster[, theta][, epoch])``; ``entries(seq,
     embedding, cluster_id[, epoch])`` is a cache filled before, with lower ``seq``. Adds ``cache_hit``,
     ``matched_seq``, ``similarity`` (4 places). Every miss is an entry from then on.
+
+    Epochs share no entries. Those of at most ``part_rows`` rows, and without entries from before, are
+    decided whole, each by one task, in one shuffle of the log; the others go through the rounds.
     """
     theta = F.coalesce("theta", F.lit(threshold)) if "theta" in queries.columns else F.lit(threshold)
     epoch = F.col("epoch") if "epoch" in queries.columns else F.lit(0)
@@ -262,6 +269,7 @@ def cache_replay(
                 "q_floor": theta.cast("double"),
                 "q_buckets": F.transform("top_clusters", lambda c: _bucket(epoch, c)),
                 "home": _bucket(epoch, F.col("dominant_cluster")),
+                "_epoch": F.coalesce(epoch.cast("long"), F.lit(NO_EPOCH)),
             }
         ).drop("embedding"),
         "queries",
@@ -271,17 +279,14 @@ def cache_replay(
         entry_epoch = F.col("epoch") if "epoch" in entries.columns else F.lit(0)
         before = entries.select(
             F.col("seq").cast("long").alias("e_id"), F.col("embedding").alias("e_vec"),
-            _bucket(entry_epoch, F.col("cluster_id")).alias("e_bucket"),
+            _bucket(entry_epoch, F.col("cluster_id")).alias("e_bucket"), entry_epoch.cast("long").alias("_epoch"),
         )
-    first = log.select(F.size("q_vec").alias("d")).head(1)
-    sizes = Sizes(log.count(), 0, 8 * first[0]["d"] if first else 0, 1, 0)
-    candidates = materialize(_candidates(log), "candidates")
-    stored = materialize(_leaders(candidates, before, first_block, sizes, part_rows), "entries")
-    cache = stored if before is None else before.unionByName(stored)
-    n_e, n_buckets = cache.agg(F.count("*"), F.approx_count_distinct("e_bucket")).head()
-    sizes = replace(sizes, entries=n_e, buckets=max(1, n_buckets))
+    short, rest = _by_epoch(log, before, part_rows)
+    found = [short] if short is not None else []
+    if rest is not None:
+        found.append(_in_rounds(rest.drop("_epoch"), before.drop("_epoch") if before is not None else None, first_block, part_rows))
     decided = (
-        with_best_match(log, cache, REPLAY_RULE, sizes=sizes)
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
         .withColumn("embedding", F.col("q_vec"))
         .withColumn("cache_hit", F.col("e_id").isNotNull())
         .withColumn("matched_seq", F.col("e_id"))
@@ -292,6 +297,36 @@ def cache_replay(
     return materialize(decided, "decisions")
 
 
+def _by_epoch(log: DataFrame, before: DataFrame | None, part_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The decided rows of short epochs, and the rows of all other epochs; None where there are none."""
+    sizes = log.groupBy("_epoch").agg(F.count("*").alias("n"))
+    whole = F.col("n") <= part_rows
+    if before is not None:
+        known = before.where("_epoch is not null").select("_epoch", F.lit(True).alias("_known")).distinct()
+        sizes, whole = sizes.join(known, "_epoch", "left"), whole & F.col("_known").isNull()
+    sizes = materialize(sizes.select("_epoch", "n", whole.alias("whole")), "epochs")
+    n_short, epochs, n_rest = sizes.agg(F.sum(F.when(F.col("whole"), F.col("n"))), F.count_if("whole"), F.count_if(~F.col("whole"))).head()
+    if not epochs:
+        return None, log
+    tasks = max(-(-n_short // GROUP_ROWS), min(epochs, 2 * log.sparkSession.sparkContext.defaultParallelism))
+    if not n_rest:
+        return settle_epochs(log, tasks), None
+    others = sizes.where(~F.col("whole")).select("_epoch")
+    return settle_epochs(log.join(others, "_epoch", "left_anti"), tasks), log.join(others, "_epoch", "left_semi")
+
+
+def _in_rounds(log: DataFrame, before: DataFrame | None, first_block: int, part_rows: int) -> DataFrame:
+    """``log`` plus ``e_id`` and ``score`` of the entry that serves a row, for epochs of any length."""
+    first = log.select(F.size("q_vec").alias("d")).head(1)
+    sizes = Sizes(log.count(), 0, 8 * first[0]["d"] if first else 0, 1, 0)
+    candidates = materialize(_candidates(log), "candidates")
+    stored = materialize(_leaders(candidates, before, first_block, sizes, part_rows), "entries")
+    cache = stored if before is None else before.unionByName(stored)
+    n_e, n_buckets = cache.agg(F.count("*"), F.approx_count_distinct("e_bucket")).head()
+    sizes = replace(sizes, entries=n_e, buckets=max(1, n_buckets))
+    return with_best_match(log, cache, REPLAY_RULE, sizes=sizes)
+
+
 def with_matched_query(decisions: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """Adds ``matched_query``, the text of the entry that served each hit."""
     texts = decisions.where(~F.col("cache_hit")).select("seq", "query")

@@ -283,3 +283,30 @@ def test_a_lookup_returns_the_entry(spark):
     assert got == {10: (True, 1, "first", "text 1"), 11: (True, 2, "second", None), 12: (False, None, None, None)}
     bare = cache.cache_lookup(queries, entries.drop("result", "query"), 0.8)
     assert bare.count() == 3 and "matched_query" not in bare.columns
+
+
+def test_short_epochs_are_decided_in_one_shuffle(spark, monkeypatch):
+    """Short epochs need no rounds; long ones, and those with entries from before, still take them."""
+    rows, rounds = random_log(1234, n=400), []
+    state = cache.control_state(log_frame(spark, rows).repartition(5), 0.8)
+    queries = state.where("not is_flush and set_theta is null").drop("is_flush", "set_theta")
+    plain, want = cache.settle_round, one_by_one(rows, 0.8)
+    monkeypatch.setattr(cache, "settle_round", lambda *args, **kw: rounds.append(1) or plain(*args, **kw))
+    longest = max(r["count"] for r in queries.groupBy("epoch").count().collect())
+    assert decided(cache.cache_replay(queries, 0.8, part_rows=longest)) == want and not rounds
+    assert decided(cache.cache_replay(queries, 0.8, part_rows=longest - 1)) == want and rounds
+    rounds.clear()
+    first, last = queries.where("epoch < 3"), queries.where("epoch >= 3")
+    held = cache.entries_of(cache.cache_replay(first, 0.8).withColumn("epoch", F.lit(3)))
+    seqs = {r.seq for r in last.where("epoch > 3").select("seq").collect()}
+    got = decided(cache.cache_replay(last, 0.8, held))
+    assert rounds and {s: got[s] for s in seqs} == {s: want[s] for s in seqs}
+
+
+def test_missing_clusters_and_vectors_in_short_epochs(spark):
+    """Rows that cannot match are misses."""
+    log = [(0, [1.0, 0.0], [1, None], 1), (1, [1.0, 0.0], None, 1), (2, [1.0, 0.0], [None, 1], None), (3, None, [1, 2], 1), (4, [1.0, 0.0], [2, 1], 2), (5, [float("nan"), 0.0], [1, 2], 1), (6, [1.0, 0.0], [2, 1], 1), (7, [1.0, 0.0], [1, 2], 1)]
+    df = spark.createDataFrame(log, "seq long, embedding array<double>, top_clusters array<int>, dominant_cluster int")
+    want = {0: None, 1: None, 2: 0, 3: None, 4: 0, 5: None, 6: 0, 7: 0}
+    got = decided(cache.cache_replay(df, 0.8))
+    assert {seq: match for seq, (_, match, _) in got.items()} == want
