@@ -41,6 +41,11 @@ BLOCK_BYTES = 32 << 20
 MAX_BROADCAST_BUCKETS = 100_000
 TASK_FLOPS = 5e9
 CELLS_AT_ONCE = 4_000_000
+TILE_ENTRIES = 16_384
+#: Scores of a row that one maximum stands for.
+STRAND = 32
+#: Entries that a task streams past all lookups, at least.
+TASK_ENTRIES = 16_384
 
 
 @dataclass(frozen=True)
@@ -271,30 +276,58 @@ def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> F
         return Found.none()
     eps = max(np.finfo(q.vectors.dtype).eps, np.finfo(e_vecs.dtype).eps)
     margin = 2.0 * e_vecs.shape[1] * eps * _row_norms(e_vecs).max()
-    step = max(1, CELLS_AT_ONCE // n_e)
+    # Both sides are cut: a product of a few rows with very many spends its time on copying these.
+    step = max(1, CELLS_AT_ONCE // min(n_e, TILE_ENTRIES))
     out = []
     for at in range(0, len(rows), step):
         r, p = rows[at : at + step], pos[at : at + step]
         vecs = q.vectors[r]
-        scores = vecs @ e_vecs.T
-        if rule.earlier or rule.before:
-            scores[e_ids[None, :] >= q.before[r][:, None]] = -np.inf
-        if rule.skip_self:
-            scores[e_ids[None, :] == q.ids[r][:, None]] = -np.inf
-        kk = min(int(q.k[r].max()), n_e)
-        if kk == 0:
+        top = int(q.k[r].max())
+        if top == 0:
             continue
-        kth = scores.max(axis=1) if kk == 1 else np.partition(scores, n_e - kk, axis=1)[:, n_e - kk]
-        least = np.maximum(kth.astype(np.float64), bar[r]) - margin * _row_norms(vecs)
-        i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        exact = exact_scores(vecs[i], e_vecs[j])
-        ok = exact >= q.floor[r][i]
-        out.append(Found(r[i][ok], exact[ok], p[i][ok], e_ids[j][ok]))
-        if len(out) > 64:
-            out = [Found.best(out, q.k, rule.by_position)]
+        near = margin * _row_norms(vecs)
+        for low in range(0, n_e, TILE_ENTRIES):
+            ids, tile = e_ids[low : low + TILE_ENTRIES], e_vecs[low : low + TILE_ENTRIES]
+            scores = vecs @ tile.T
+            if rule.earlier or rule.before:
+                scores[ids[None, :] >= q.before[r][:, None]] = -np.inf
+            if rule.skip_self:
+                scores[ids[None, :] == q.ids[r][:, None]] = -np.inf
+            i, j = _near_top(scores, min(top, len(ids)), bar[r], near)
+            exact = exact_scores(vecs[i], tile[j])
+            ok = exact >= q.floor[r][i]
+            out.append(Found(r[i][ok], exact[ok], p[i][ok], ids[j][ok]))
+            if len(out) > 64:
+                out = [Found.best(out, q.k, rule.by_position)]
     return Found.best(out, q.k, rule.by_position)
 
 
+def _near_top(scores: np.ndarray, k: int, bar: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all scores that may be among their row's ``k`` largest and reach the row's ``bar``, up to ``margin``.
+
+    Columns are taken in strands (every ``m``-th column); the ``k``-th largest of the strands' maxima is at most the
+    ``k``-th largest score. So one pass over the scores finds the few strands that are looked into at all.
+    """
+    n, width = scores.shape
+    m = width // STRAND
+    if m < 4 * k:
+        kth = scores.max(axis=1) if k == 1 else np.partition(scores, width - k, axis=1)[:, width - k]
+        least = np.maximum(kth.astype(np.float64), bar) - margin
+        return np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    whole, rest = scores[:, : m * STRAND].reshape(n, STRAND, m), scores[:, m * STRAND :]
+    tops = whole.max(axis=1)
+    kth = tops.max(axis=1) if k == 1 else np.partition(tops, m - k, axis=1)[:, m - k]
+    least = np.maximum(kth.astype(np.float64), bar) - margin
+    # Rounded down, so that scores are compared in their own precision.
+    low = np.nextafter(least.astype(scores.dtype), np.array(-np.inf, scores.dtype))
+    i, strand = np.nonzero((tops >= low[:, None]) & (tops > -np.inf))
+    at, row = np.nonzero(whole[i, :, strand] >= low[i, None])
+    rest_i, rest_j = np.nonzero(rest >= low[:, None])
+    i, j = np.concatenate([i[at], rest_i]), np.concatenate([row * m + strand[at], rest_j + m * STRAND])
+    held = scores[i, j] > -np.inf
+    return i[held], j[held]
+
+
 # --------------------------------------------------------------------------------- physical strategies
 
 
@@ -362,7 +395,11 @@ def nearest_pairs(
     if sizes.entries_fit(broadcast_bytes):
         found = _entries_everywhere(_spread(lookups, "q_id", sizes.tasks(sizes.lookups), sizes.lookup_parts), entries, rule, sizes.max_k)
     elif sizes.lookups_fit(broadcast_bytes):
-        found = _lookups_everywhere(lookups, _spread(entries, "e_id", sizes.tasks(sizes.entries), sizes.entry_parts), rule, sizes.max_k)
+        # Every task emits its best for all lookups: it has to see enough entries to be worth that.
+        enough = max(sizes.entries // TASK_ENTRIES, lookups.sparkSession.sparkContext.defaultParallelism)
+        tasks = min(sizes.tasks(sizes.entries), enough)
+        streamed = _spread(entries, "e_id", tasks, sizes.entry_parts)
+        found = _lookups_everywhere(lookups, streamed.coalesce(enough) if sizes.entry_parts > enough else streamed, rule, sizes.max_k)
     else:
         found = _grid(lookups, entries, rule, sizes, max(1, block_bytes // max(sizes.width, 1)))
 

@@ -177,3 +177,41 @@ def test_any_number_of_hot_keys(spark, keys):
     got = lookup_join(many, unique, "k", "left", hot_rows=3)
     assert got.count() == keys * 8
     assert got.where("v = 2 * k").count() == (keys - 1) * 8 and got.where("v is null").count() == 8
+
+
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+@pytest.mark.parametrize("rule", [Rule(k=1), Rule(k=5), Rule(k=5, skip_self=True), Rule(k=3, earlier=True, floor=True)])
+def test_strands_find_what_a_full_sort_finds(monkeypatch, rule, dtype):
+    """Blocks long enough for strands, with copies and a rest; only the strands' maxima are ever partitioned."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(700, 8)).astype(dtype)
+    vectors[::9] = vectors[1]
+    ids, sorted_scores, plain = np.arange(700), [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *args, **kw: sorted_scores.append(a.size) or plain(a, *args, **kw))
+    monkeypatch.setattr(pairs, "STRAND", 16)
+    monkeypatch.setattr(pairs, "TILE_ENTRIES", 350)
+    floor = np.full(700, 2.0 if rule.floor else -np.inf)
+    q = pairs.Lookups(ids, vectors, np.full(700, rule.k), floor, {0: (ids, np.zeros(700, np.int32))}, ids)
+    found = pairs._match(q, pairs.Entries({0: (ids, vectors)}), rule, pairs.Found.none())
+    assert sum(sorted_scores) <= 700 * 700 / 16
+    got = {}
+    for row, score, eid in zip(found.row, found.score, found.eid):
+        got.setdefault(int(row), []).append((-score, int(eid)))
+    for i in range(700):
+        scores = pairs.exact_scores(np.repeat(vectors[i : i + 1], 700, axis=0), vectors)
+        want = sorted((-s, e) for e, s in enumerate(scores) if s >= floor[i] and not (rule.skip_self and e == i) and not (rule.earlier and e >= i))
+        assert sorted(got.get(i, [])) == want[: rule.k]
+
+
+def test_few_tasks_answer_all_lookups(spark, monkeypatch):
+    """Where the lookups are shared, each task emits up to k rows for all of them: work alone does not make tasks."""
+    monkeypatch.setattr(pairs, "TASK_FLOPS", 1.0)
+    rows = [(i, [float(i % 97), 1.0]) for i in range(600)]
+    entries = spark.createDataFrame(rows, "e_id long, e_vec array<double>").repartition(50)
+    lookups = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "q_id long, q_vec array<double>")
+    emitted = []
+    plain = pairs._lookups_everywhere
+    monkeypatch.setattr(pairs, "_lookups_everywhere", lambda *args: emitted.append(plain(*args)) or emitted[-1])
+    found = nearest_pairs(lookups, entries, Rule(k=2), broadcast_bytes=1000)
+    assert {(r.q_id, r["rank"], r.e_id) for r in found.collect()} == {(q, rank, e) for q in range(5) for rank, e in ((1, 96), (2, 193))}
+    assert emitted[0].count() <= 5 * 2 * spark.sparkContext.defaultParallelism
