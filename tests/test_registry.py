@@ -47,3 +47,14 @@ def test_query(spark, tables, sf, name):
         want = tables.sql(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_long_logs_are_streamed_from_several_files(spark, tables, sf, monkeypatch, tmp_path):
+    """A micro-batch of a long log is written by several tasks; the decisions are the same."""
+    from registry import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 400)
+    stream = queries._in_order(spark, spark.range(1000).withColumnRenamed("id", "seq"), str(tmp_path))
+    assert len(list((tmp_path / "log").glob("part-*.parquet"))) == 12 and stream.isStreaming
+    want = tables.sql(ORACLES["cache_replay_stream"]).df()
+    assert rows(queries.cache_replay_stream(spark, sf).toPandas()) == rows(want)
