@@ -230,7 +230,8 @@ def _leaders(
             decided.append(new)
             rows = settled.where("state = 'open'").drop("state")
             rows = rows if rows.isEmpty() else _unmatched(rows, _stored(new), within)
-    return _union([_stored(d) for d in decided]) if decided else _stored(candidates)
+    # Nothing is stored where entries from before match every candidate.
+    return _union([_stored(d) for d in decided]) if decided else _stored(candidates).where(F.lit(False))
 
 
 def _unmatched(rows: DataFrame, entries: DataFrame, sizes: Sizes) -> DataFrame:

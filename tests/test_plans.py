@@ -51,6 +51,18 @@ def test_answers_from_an_earlier_cache(spark):
     assert answer.service_summary(entries).head().asDict() == {"status": "ok", "cache_entries": 1, "threshold": 0.8}
 
 
+def test_a_cache_that_matches_every_query_stores_none(spark):
+    """Queries nearer to each other than to the entry: all of them hit the entry, and none is lost."""
+    entries = spark.createDataFrame(
+        [(-1, "old sun", VECTORS["sun"], 0, 7, "old text")],
+        "seq long, query string, embedding array<double>, cluster_id int, top_k int, result string",
+    )
+    log = queries(spark, [("sea", 1), ("sea", 2), ("sea", 3)])
+    got = {r.seq: r for r in answer.answer_queries(log, index(spark), MODEL, 0.9, entries).collect()}
+    assert got.keys() == {0, 1, 2}
+    assert {(r.cache_hit, r.matched_query, r.similarity_score, r.result) for r in got.values()} == {(True, "old sun", 0.96, "old text")}
+
+
 def test_search_quality(spark):
     rows = [(0, VECTORS["sun"], "cat.sun"), (1, VECTORS["fog"], "sea"), (2, VECTORS["sea"], "nothing"), (3, VECTORS["sun"], "the cat.sea is wide")]
     labelled = spark.createDataFrame(rows, "query_id long, embedding array<double>, expected_category string")
