@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from softseek.functions.vectors import l2_normalize
 from softseek.operators.cache import with_clusters
 from softseek.operators.clusters import centers_array, fcm_memberships
+from softseek.session import materialize
 
 FUZZINESS = 1.1
 LOG_THETA = 0.30
@@ -120,16 +121,25 @@ def _vector_for(df: DataFrame, number: str, features: DataFrame) -> DataFrame:
     return keyed.join(features.withColumnRenamed("point_id", "_vec"), "_vec").drop("_vec")
 
 
-def doc_index(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents as index points; there are more documents than vectors, so vectors repeat."""
-    docs = table(spark, sf, "documents").select(
+def doc_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as payload, without vectors."""
+    return table(spark, sf, "documents").select(
         F.col("doc_id").alias("point_id"),
         F.col("source").alias("category"),
         F.expr("CASE WHEN doc_id % 9 = 4 THEN NULL ELSE lang || ' note ' || doc_id END").alias("subject"),
         "text",
     )
-    vectors = embeddings(spark, sf).select("point_id", "embedding")
-    return _vector_for(docs, "point_id", vectors)
+
+
+def doc_index(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as index points; there are more documents than vectors, so vectors repeat."""
+    return _vector_for(doc_payload(spark, sf), "point_id", embeddings(spark, sf).select("point_id", "embedding"))
+
+
+def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of ``doc_index`` without payload, as a table: no text is shuffled to give it a vector, and none twice."""
+    points = doc_payload(spark, sf).select("point_id")
+    return materialize(_vector_for(points, "point_id", embeddings(spark, sf).select("point_id", "embedding")), "index")
 
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:

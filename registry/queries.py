@@ -289,7 +289,7 @@ def topk_search_per_query_k(spark, sf):
 @query
 def format_results(spark, sf):
     queries = src.as_queries(src.embeddings(spark, sf)).withColumn("top_k", (F.col("query_id") % 4).cast("int"))
-    return search.format_results(queries, search.topk_search(queries, src.doc_index(spark, sf)))
+    return search.format_results(queries, search.topk_search(queries, src.doc_vectors(spark, sf), payload=src.doc_payload(spark, sf)))
 
 
 @query
@@ -521,7 +521,9 @@ def answer_stream(spark, sf):
     log = src.turn_log(spark, sf).selectExpr("*", "false as is_flush", "cast(null as double) as set_theta")
     model = models.ClusterModel(None, src.centers(spark, sf), src.FUZZINESS)
     stream = _in_order(spark, log, folder)
-    cache_stream.answer_stream(stream, f"{folder}/store", f"{folder}/checkpoint", src.doc_index(spark, sf), model, src.LOG_THETA).awaitTermination()
+    cache_stream.answer_stream(
+        stream, f"{folder}/store", f"{folder}/checkpoint", src.doc_vectors(spark, sf), model, src.LOG_THETA, payload=src.doc_payload(spark, sf)
+    ).awaitTermination()
     return cache_stream.read_answers(spark, f"{folder}/store").withColumn("similarity_score", r6("similarity_score"))
 
 
@@ -577,7 +579,7 @@ def validate_queries(spark, sf):
 @query
 def answer_queries(spark, sf):
     model = models.ClusterModel(None, src.centers(spark, sf), src.FUZZINESS)
-    answers = answer.answer_queries(src.turn_log(spark, sf), src.doc_index(spark, sf), model, src.LOG_THETA)
+    answers = answer.answer_queries(src.turn_log(spark, sf), src.doc_vectors(spark, sf), model, src.LOG_THETA, payload=src.doc_payload(spark, sf))
     return answers.withColumn("similarity_score", r6("similarity_score"))
 
 

@@ -24,29 +24,32 @@ def _lookups(queries: DataFrame, k: int, *extra: Column) -> tuple[DataFrame, boo
     return queries.where("embedding is not null").select(*cols), row_k
 
 
-def _search(lookups: DataFrame, entries: DataFrame, rule: Rule, index: DataFrame | None) -> DataFrame:
+def _search(lookups: DataFrame, entries: DataFrame, rule: Rule, payload: DataFrame | None) -> DataFrame:
     sizes = measure(lookups, entries, rule)
     hits = nearest_pairs(lookups, entries, rule, sizes=sizes).select(
         F.col("q_id").alias("query_id"), "rank", F.col("e_id").alias("point_id"), "score"
     )
-    if index is None:
+    if payload is None:
         return hits
     if sizes.results <= HOT_ROWS:
         # Four numbers per result, at most 40 MB: the payload is filtered where it lies.
-        return index.drop("embedding").join(F.broadcast(hits), "point_id").select("point_id", *hits.columns[:2], "score", *[c for c in index.columns if c not in ("point_id", "embedding")])
+        return payload.join(F.broadcast(hits), "point_id").select("point_id", *hits.columns[:2], "score", *[c for c in payload.columns if c != "point_id"])
     # A point can be a hit of very many queries; the search result is kept before it is examined.
-    return lookup_join(materialize(hits, "hits"), index.drop("embedding"), "point_id", spread_by=("query_id",))
+    return lookup_join(materialize(hits, "hits"), payload, "point_id", spread_by=("query_id",))
 
 
-def topk_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
+def topk_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool | DataFrame = True) -> DataFrame:
     """The ``k`` most similar points per query with score, rank and payload; ties by point id.
 
     ``queries(query_id, embedding[, top_k])``, ``index(point_id, embedding, payload...)``. The search
-    reads only id and vector; payload columns are fetched for the hits alone.
+    reads only id and vector; payload columns are fetched for the hits alone. ``payload``: whether they
+    are fetched, or the table ``(point_id, payload...)`` that has them if the index holds vectors only.
     """
     lookups, row_k = _lookups(queries, k)
     entries = index.select(F.col("point_id").cast("long").alias("e_id"), F.col("embedding").alias("e_vec"))
-    return _search(lookups, entries, Rule(k=k, row_k=row_k), index if payload else None)
+    if isinstance(payload, bool):
+        payload = index.drop("embedding") if payload else None
+    return _search(lookups, entries, Rule(k=k, row_k=row_k), payload)
 
 
 def pruned_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: bool = True) -> DataFrame:
@@ -65,7 +68,7 @@ def pruned_search(queries: DataFrame, index: DataFrame, k: int = 5, payload: boo
         F.col("embedding").alias("e_vec"),
         F.col("dominant_cluster").alias("e_bucket"),
     )
-    return _search(lookups, entries, Rule(k=k, row_k=row_k, bucketed=True), index if payload else None)
+    return _search(lookups, entries, Rule(k=k, row_k=row_k, bucketed=True), index.drop("embedding") if payload else None)
 
 
 def neighbors(index: DataFrame, ids: DataFrame, k: int = 3) -> DataFrame:

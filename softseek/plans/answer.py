@@ -29,27 +29,31 @@ def answer_queries(
     model,
     threshold: float = DEFAULT_THRESHOLD,
     entries: DataFrame | None = None,
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Answer a log in order: hits repeat the text of the entry they match, misses search the index.
 
     ``queries(seq, query, embedding[, top_k][, theta][, epoch])``; ``model.memberships`` adds memberships;
-    ``entries`` is a cache from before, with ``query`` and ``result``. Rejected queries are left out. Only
-    misses are searched; a hit carries ``top_k`` of the query whose text it returns.
+    ``entries`` is a cache from before, with ``query`` and ``result``; ``payload`` has the index's payload
+    by ``point_id``, if the index holds vectors only. Rejected queries are left out. Only misses are
+    searched; a hit carries ``top_k`` of the query whose text it returns.
     """
     valid = validate_queries(queries).where("reject_reason is null").drop("reject_reason")
     log = with_clusters(model.memberships(valid))
     decided = cache_replay(log, threshold, entries)
 
-    return answer_decided(decided, index, entries)[0]
+    return answer_decided(decided, index, entries, payload)[0]
 
 
-def answer_decided(decided: DataFrame, index: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def answer_decided(
+    decided: DataFrame, index: DataFrame, entries: DataFrame | None = None, payload: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The answers of a decided log, and ``seq, query, top_k, result`` of its misses, which are the new entries.
 
-    ``decided``: what ``cache_replay`` makes of a validated log; ``entries``: as for ``answer_queries``.
+    ``decided``: what ``cache_replay`` makes of a validated log; ``entries``, ``payload``: as for ``answer_queries``.
     """
     misses = decided.where(~F.col("cache_hit")).select(F.col("seq").alias("query_id"), "embedding", "top_k")
-    texts = format_results(misses, topk_search(misses, index))
+    texts = format_results(misses, topk_search(misses, index, payload=True if payload is None else payload))
     missed = decided.where(~F.col("cache_hit")).select("seq", "query", "top_k")
     made = materialize(missed.join(texts.withColumnRenamed("query_id", "seq"), "seq"), "answers")
     stored = made if entries is None else made.unionByName(entries.select("seq", "query", "top_k", "result"))

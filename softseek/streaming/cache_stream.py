@@ -96,7 +96,8 @@ def decide_batch(
 
 
 def answer_batch(
-    batch: DataFrame, batch_id: int, store: str, index: DataFrame, model, threshold: float = DEFAULT_THRESHOLD, compact_every: int = COMPACT_EVERY
+    batch: DataFrame, batch_id: int, store: str, index: DataFrame, model, threshold: float = DEFAULT_THRESHOLD, compact_every: int = COMPACT_EVERY,
+    payload: DataFrame | None = None,
 ) -> None:
     """Answer one micro-batch: hits repeat the text that an entry holds, misses search the index and are
     stored with their text. Rejected queries are left out."""
@@ -106,7 +107,7 @@ def answer_batch(
         log = materialize(with_clusters(model.memberships(valid)), "log")
         held = entries(_searched(log))
         decided = cache_replay(log, threshold, held)
-        answers, made = answer_decided(decided, index, held)
+        answers, made = answer_decided(decided, index, held, payload)
         own = decided.where(~F.col("cache_hit")).select(
             "seq", "embedding", F.col("memberships").cast("array<double>").alias("memberships"), F.col("dominant_cluster").cast("int").alias("cluster_id"), "epoch"
         )
@@ -131,10 +132,12 @@ def cache_replay_stream(
 
 
 def answer_stream(
-    stream: DataFrame, store: str, checkpoint: str, index: DataFrame, model, threshold: float = DEFAULT_THRESHOLD, available_now: bool = True
+    stream: DataFrame, store: str, checkpoint: str, index: DataFrame, model, threshold: float = DEFAULT_THRESHOLD, available_now: bool = True,
+    payload: DataFrame | None = None,
 ) -> StreamingQuery:
     """Answer a stream of queries, which must arrive in ``seq`` order, batch by batch: the rows of ``answer_queries``.
 
     ``stream(seq, query, embedding, is_flush, set_theta[, top_k])``; ``model.memberships`` adds memberships.
+    Every batch reads ``index``, which should be a table rather than a job; ``payload`` as for ``answer_queries``.
     """
-    return _started(stream, checkpoint, available_now, lambda batch, n: answer_batch(batch, n, store, index, model, threshold))
+    return _started(stream, checkpoint, available_now, lambda batch, n: answer_batch(batch, n, store, index, model, threshold, payload=payload))

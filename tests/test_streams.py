@@ -1,11 +1,13 @@
 """Answers over a stream against the batch job, and what a batch reads of the store."""
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from registry.queries import QUERIES
 from softseek.plans import answer
 from softseek.operators.search import topk_search
 from softseek.streaming import cache_stream
@@ -95,3 +97,26 @@ def test_payload_is_joined_where_it_lies(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert found.columns == ["point_id", "query_id", "rank", "score", "category", "subject", "text"]
     assert found.count() == 12
+
+
+def test_payload_beside_an_index_of_vectors(spark):
+    index = index_of(spark)
+    queries = index.limit(4).select(F.col("point_id").alias("query_id"), "embedding")
+    whole = topk_search(queries, index, 3)
+    apart = topk_search(queries, index.select("point_id", "embedding"), 3, payload=index.drop("embedding"))
+    assert apart.columns == whole.columns and sorted(apart.collect()) == sorted(whole.collect())
+
+
+@pytest.mark.parametrize("name, searches", [("answer_stream", 4), ("answer_queries", 1)])
+def test_texts_are_not_joined_with_vectors_in_every_search(spark, sf, monkeypatch, name, searches):
+    plans = []
+
+    def kept(*args, **options):
+        found = topk_search(*args, **options)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(answer, "topk_search", kept)
+    QUERIES[name](spark, sf)
+    assert len(plans) == searches
+    assert not any(re.search(r"\b_vec#", plan) for plan in plans)
