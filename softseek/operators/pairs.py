@@ -22,7 +22,7 @@ its rounding error.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from uuid import uuid4
 
 import numpy as np
@@ -46,6 +46,8 @@ TILE_ENTRIES = 16_384
 STRAND = 32
 #: Entries that a task streams past all lookups, at least.
 TASK_ENTRIES = 16_384
+#: Entries whose sets are all held against a lookup's; behind them only the sets of those that score enough.
+FIRST_ENTRIES = 2_048
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,7 @@ class Rule:
     """What counts as a match.
 
     Lookups carry ``q_id``, ``q_vec`` and, as the flags ask, ``q_buckets`` (ordered ids), ``q_floor``,
-    ``q_before`` and ``q_k``; entries carry ``e_id``, ``e_vec`` and ``e_bucket``.
+    ``q_before``, ``q_k`` and ``q_sets``; entries carry ``e_id``, ``e_vec``, ``e_bucket`` and ``e_sets``.
     """
 
     k: int = 1
@@ -64,6 +66,7 @@ class Rule:
     row_k: bool = False  # q_k results instead of k
     skip_self: bool = False  # not the entry with the lookup's own id
     by_position: bool = False  # equal scores: earlier bucket of the lookup first, then lower e_id
+    sets: bool = False  # only entries that share a bit of q_sets and e_sets, which are as many longs in all rows
 
 
 # ---------------------------------------------------------------------------------- block arithmetic
@@ -133,6 +136,8 @@ class Lookups:
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
     # entries count only below this id
     before: np.ndarray
+    # one row of bits per lookup, if the rule asks for them
+    sets: np.ndarray | None = None
 
     @staticmethod
     def of(table: pa.Table | pa.RecordBatch, rule: Rule) -> Lookups:
@@ -149,7 +154,8 @@ class Lookups:
             groups = _bucket_groups(table.column("q_buckets"))
         before = table.column("q_before").to_numpy() if rule.before else ids
         vectors, valid = masked_vectors(table.column("q_vec"))
-        return Lookups(ids, vectors, np.where(valid, k, 0), floor, groups, before)
+        sets = vector_matrix(table.column("q_sets")) if rule.sets else None
+        return Lookups(ids, vectors, np.where(valid, k, 0), floor, groups, before, sets)
 
 
 def _bucket_groups(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -168,23 +174,35 @@ def _bucket_groups(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.nda
 class Entries:
     # bucket -> (ids ascending, vectors)
     groups: dict[int, tuple[np.ndarray, np.ndarray]]
+    # bucket -> one row of bits per entry, if the rule asks for them
+    sets: dict[int, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def of(table: pa.Table | pa.RecordBatch, rule: Rule, max_k: int) -> Entries:
         ids = table.column("e_id").to_numpy()
         vectors, valid = masked_vectors(table.column("e_vec"))
         buckets = table.column("e_bucket").to_numpy() if rule.bucketed else np.zeros(len(ids), dtype=np.int64)
+        bits = vector_matrix(table.column("e_sets")) if rule.sets else None
         if not valid.all():
             ids, vectors, buckets = ids[valid], vectors[valid], buckets[valid]
+            bits = bits[valid] if rule.sets else None
         order = np.lexsort((ids, buckets))
         cuts = np.flatnonzero(np.diff(buckets[order])) + 1
         keep = max_k + int(rule.skip_self)
-        groups = {}
+        groups, sets = {}, {}
         for part in np.split(order, cuts):
             if len(part):
-                part = part[~_dominated_copies(vectors[part], keep)]
+                # A copy stands for another only where both may be found by the same lookups.
+                rows = np.hstack([_words(vectors[part]), _words(bits[part])]) if rule.sets else vectors[part]
+                part = part[~_dominated_copies(rows, keep)]
                 groups[int(buckets[part[0]])] = (ids[part], vectors[part])
-        return Entries(groups)
+                if rule.sets:
+                    sets[int(buckets[part[0]])] = bits[part]
+        return Entries(groups, sets)
+
+
+def _words(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(np.uint32)
 
 
 def _dominated_copies(vectors: np.ndarray, keep: int) -> np.ndarray:
@@ -193,7 +211,7 @@ def _dominated_copies(vectors: np.ndarray, keep: int) -> np.ndarray:
     Rows come in id order. Equal vectors score equally for every lookup and the lower id wins, so the
     result stays exact, and a block full of copies costs no more than one of distinct vectors.
     """
-    words = np.ascontiguousarray(vectors).view(np.uint32).astype(np.uint64)
+    words = _words(vectors).astype(np.uint64)
     odd = np.random.default_rng(7).integers(1, 2**63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     hashes = (words * odd).sum(axis=1)
     _, first, group, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -266,11 +284,11 @@ def _match(q: Lookups, entries: Entries, rule: Rule, so_far: Found) -> Found:
     bar = np.maximum(so_far.weakest(q.k), q.floor)
     for bucket, (rows, pos) in q.groups.items():
         if bucket in entries.groups:
-            parts.append(_match_bucket(q, rows, pos, *entries.groups[bucket], rule, bar))
+            parts.append(_match_bucket(q, rows, pos, *entries.groups[bucket], entries.sets.get(bucket), rule, bar))
     return Found.best(parts, q.k, rule.by_position)
 
 
-def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> Found:
+def _match_bucket(q, rows, pos, e_ids, e_vecs, e_sets, rule: Rule, bar: np.ndarray) -> Found:
     n_e = len(e_ids)
     if not q.k.any():
         return Found.none()
@@ -278,6 +296,7 @@ def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> F
     margin = 2.0 * e_vecs.shape[1] * eps * _row_norms(e_vecs).max()
     # Both sides are cut: a product of a few rows with very many spends its time on copying these.
     step = max(1, CELLS_AT_ONCE // min(n_e, TILE_ENTRIES))
+    starts = _growing_starts(n_e) if rule.sets else range(0, n_e, TILE_ENTRIES)
     out = []
     for at in range(0, len(rows), step):
         r, p = rows[at : at + step], pos[at : at + step]
@@ -286,22 +305,64 @@ def _match_bucket(q, rows, pos, e_ids, e_vecs, rule: Rule, bar: np.ndarray) -> F
         if top == 0:
             continue
         near = margin * _row_norms(vecs)
-        for low in range(0, n_e, TILE_ENTRIES):
-            ids, tile = e_ids[low : low + TILE_ENTRIES], e_vecs[low : low + TILE_ENTRIES]
+        least, best = bar[r], Found.none()
+        for low, high in zip(starts, [*starts[1:], n_e]):
+            ids, tile = e_ids[low:high], e_vecs[low:high]
             scores = vecs @ tile.T
             if rule.earlier or rule.before:
                 scores[ids[None, :] >= q.before[r][:, None]] = -np.inf
             if rule.skip_self:
                 scores[ids[None, :] == q.ids[r][:, None]] = -np.inf
-            i, j = _near_top(scores, min(top, len(ids)), bar[r], near)
+            if rule.sets:
+                i, j = _near_top_shared(scores, min(top, len(ids)), least, near, q.sets[r], e_sets[low:high])
+            else:
+                i, j = _near_top(scores, min(top, len(ids)), least, near)
             exact = exact_scores(vecs[i], tile[j])
             ok = exact >= q.floor[r][i]
-            out.append(Found(r[i][ok], exact[ok], p[i][ok], ids[j][ok]))
+            if rule.sets:
+                # Rows of this step by their numbers in it: their weakest is what the next entries have to reach.
+                best = Found.best([best, Found(i[ok], exact[ok], p[i][ok], ids[j][ok])], q.k[r], rule.by_position)
+                least = np.maximum(best.weakest(q.k[r]), bar[r])
+            else:
+                out.append(Found(r[i][ok], exact[ok], p[i][ok], ids[j][ok]))
             if len(out) > 64:
                 out = [Found.best(out, q.k, rule.by_position)]
+        if rule.sets:
+            out.append(Found(r[best.row], best.score, best.pos, best.eid))
     return Found.best(out, q.k, rule.by_position)
 
 
+def _growing_starts(n: int) -> list[int]:
+    """Starts of tiles that double: the bar that each leaves lets few scores of the next one through."""
+    starts, size = [0], FIRST_ENTRIES
+    while starts[-1] + size < n:
+        starts.append(starts[-1] + size)
+        size = min(2 * size, TILE_ENTRIES)
+    return starts
+
+
+def _near_top_shared(
+    scores: np.ndarray, k: int, bar: np.ndarray, margin: np.ndarray, own: np.ndarray, other: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``_near_top`` among the columns whose bits ``other`` share one with the row's ``own``.
+
+    A row that has a bar looks up the bits of the few scores that reach it; only without one, all bits are compared.
+    """
+    low = _rounded_down(bar - margin, scores.dtype)
+    free = np.flatnonzero(bar == -np.inf)
+    low[free] = np.inf
+    i, j = _reaching(scores, low) if len(free) < len(scores) else (free[:0], free[:0])
+    held = (own[i] & other[j]).any(axis=1)
+    i, j = i[held], j[held]
+    if not len(free):
+        return i, j
+    shared = np.zeros((len(free), len(other)), bool)
+    for word in range(own.shape[1]):
+        shared |= (own[free, word, None] & other[None, :, word]) != 0
+    free_i, free_j = _near_top(np.where(shared, scores[free], -np.inf), k, bar[free], margin[free])
+    return np.concatenate([i, free[free_i]]), np.concatenate([j, free_j])
+
+
 def _near_top(scores: np.ndarray, k: int, bar: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of all scores that may be among their row's ``k`` largest and reach the row's ``bar``, up to ``margin``.
 
@@ -314,12 +375,28 @@ def _near_top(scores: np.ndarray, k: int, bar: np.ndarray, margin: np.ndarray) -
         kth = scores.max(axis=1) if k == 1 else np.partition(scores, width - k, axis=1)[:, width - k]
         least = np.maximum(kth.astype(np.float64), bar) - margin
         return np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-    whole, rest = scores[:, : m * STRAND].reshape(n, STRAND, m), scores[:, m * STRAND :]
-    tops = whole.max(axis=1)
+    tops = _strand_tops(scores)
     kth = tops.max(axis=1) if k == 1 else np.partition(tops, m - k, axis=1)[:, m - k]
-    least = np.maximum(kth.astype(np.float64), bar) - margin
-    # Rounded down, so that scores are compared in their own precision.
-    low = np.nextafter(least.astype(scores.dtype), np.array(-np.inf, scores.dtype))
+    return _reaching(scores, _rounded_down(np.maximum(kth.astype(np.float64), bar) - margin, scores.dtype), tops)
+
+
+def _rounded_down(least: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """So that scores are compared in their own precision."""
+    return np.nextafter(least.astype(dtype), np.array(-np.inf, dtype))
+
+
+def _strand_tops(scores: np.ndarray) -> np.ndarray:
+    n, width = scores.shape
+    m = width // STRAND
+    return scores[:, : m * STRAND].reshape(n, STRAND, m).max(axis=1)
+
+
+def _reaching(scores: np.ndarray, low: np.ndarray, tops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of all scores that reach their row's ``low``; only strands whose maximum does are looked into."""
+    n, width = scores.shape
+    m = width // STRAND
+    tops = _strand_tops(scores) if tops is None else tops
+    whole, rest = scores[:, : m * STRAND].reshape(n, STRAND, m), scores[:, m * STRAND :]
     i, strand = np.nonzero((tops >= low[:, None]) & (tops > -np.inf))
     at, row = np.nonzero(whole[i, :, strand] >= low[i, None])
     rest_i, rest_j = np.nonzero(rest >= low[:, None])
@@ -367,7 +444,8 @@ def measure(lookups: DataFrame, entries: DataFrame, rule: Rule) -> Sizes:
     # Two rows of one job.
     both = asked.withColumn("side", F.lit("q")).unionByName(stored.withColumn("side", F.lit("e"))).collect()
     q, e = sorted(both, key=lambda r: r["side"], reverse=True)
-    first = entries.select(F.size("e_vec").alias("d")).head(1)
+    # Bits of sets are held and compared as components are.
+    first = entries.select((F.size("e_vec") + (F.size("e_sets") if rule.sets else F.lit(0))).alias("d")).head(1)
     width = 8 * first[0]["d"] if first else 0
     held = [1 + (-1 if r["parts"] is None else r["parts"]) for r in (q, e)]
     return Sizes(q["n"], e["n"], width, int(q["top"] or 0), int(q["total"] or 0), max(1, e["buckets"]), *held)
@@ -388,8 +466,9 @@ def nearest_pairs(
     q_cols += ["q_floor"] if rule.floor else []
     q_cols += ["q_before"] if rule.before else []
     q_cols += ["q_k"] if rule.row_k else []
+    q_cols += ["q_sets"] if rule.sets else []
     lookups = lookups.select(*q_cols)
-    entries = entries.select(*(["e_id", "e_vec", "e_bucket"] if rule.bucketed else ["e_id", "e_vec"]))
+    entries = entries.select("e_id", "e_vec", *(["e_bucket"] if rule.bucketed else []), *(["e_sets"] if rule.sets else []))
 
     sizes = sizes or measure(lookups, entries, rule)
     if sizes.entries_fit(broadcast_bytes):
@@ -425,7 +504,7 @@ def with_best_match(
     Rows without a match keep nulls. While the entries fit the broadcast bound this is a pass over
     ``df`` without any shuffle; otherwise the matches are joined back by ``q_id``.
     """
-    assert rule.k == 1 and not rule.row_k
+    assert rule.k == 1 and not rule.row_k and not rule.sets
     sizes = sizes or measure(df, entries, rule)
     if not sizes.entries_fit(broadcast_bytes):
         found = nearest_pairs(

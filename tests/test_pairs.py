@@ -215,3 +215,55 @@ def test_few_tasks_answer_all_lookups(spark, monkeypatch):
     found = nearest_pairs(lookups, entries, Rule(k=2), broadcast_bytes=1000)
     assert {(r.q_id, r["rank"], r.e_id) for r in found.collect()} == {(q, rank, e) for q in range(5) for rank, e in ((1, 96), (2, 193))}
     assert emitted[0].count() <= 5 * 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("how", STRATEGIES)
+def test_only_entries_that_share_a_bit(spark, how):
+    rng = np.random.default_rng(8)
+    bits = lambda: [int(rng.integers(0, 4)) << 61, int(rng.integers(0, 8))]
+    q, e = data(5, copies=how != "lookups")
+    q, e = [(i, v, bits()) for i, v, *_ in q], [(i, v, bits()) for i, v, *_ in e]
+    lookups = spark.createDataFrame(q, "q_id long, q_vec array<double>, q_sets array<long>")
+    entries = spark.createDataFrame(e, "e_id long, e_vec array<double>, e_sets array<long>").repartition(3)
+    options = {"broadcast_bytes": 40 * (8 * 8 + 64)} if how == "lookups" else STRATEGIES[how]
+    want = set()
+    for q_id, q_vec, own in q:
+        scores = [(-sum(x * y for x, y in zip(q_vec, v)), i) for i, v, other in e if i != q_id and (own[0] & other[0] or own[1] & other[1])]
+        want |= {(q_id, i, rank, round(-s, 9)) for rank, (s, i) in enumerate(sorted(scores)[:3], 1)}
+    found = nearest_pairs(lookups, entries, Rule(k=3, skip_self=True, sets=True), **options).collect()
+    assert {(r.q_id, r.e_id, r["rank"], round(r.score, 9)) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("share", [0.9, 0.02])
+def test_shared_bits_in_long_blocks(monkeypatch, share):
+    """Tiles after the first are held against the bar of what was found; lookups that share bits with fewer than k have none."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(900, 8)).astype(np.float32)
+    vectors[::7] = vectors[1]
+    member = rng.random((900, 70)) < 1 - (1 - share) ** 0.5
+    sets = np.zeros((900, 2), np.int64)
+    for bit in range(70):
+        sets[member[:, bit], bit // 64] |= np.int64(1 << (bit % 64)) if bit % 64 < 63 else np.int64(-(1 << 63))
+    sets[::50] = 0
+    monkeypatch.setattr(pairs, "FIRST_ENTRIES", 100)
+    monkeypatch.setattr(pairs, "TILE_ENTRIES", 300)
+    assert pairs._growing_starts(900) == [0, 100, 300, 600]
+    rule, ids = Rule(k=4, skip_self=True, sets=True), np.arange(900)
+    q = pairs.Lookups(ids, vectors, np.full(900, 4), np.full(900, -np.inf), {0: (ids, np.zeros(900, np.int32))}, ids, sets)
+    found = pairs._match(q, pairs.Entries({0: (ids, vectors)}, {0: sets}), rule, pairs.Found.none())
+    got = {}
+    for row, score, eid in zip(found.row, found.score, found.eid):
+        got.setdefault(int(row), []).append((-score, int(eid)))
+    for i in range(900):
+        scores = pairs.exact_scores(np.repeat(vectors[i : i + 1], 900, axis=0), vectors)
+        want = sorted((-s, e) for e, s in enumerate(scores) if e != i and (sets[i] & sets[e]).any())
+        assert sorted(got.get(i, [])) == want[:4]
+
+
+def test_copies_with_other_bits_are_kept():
+    """An entry is left out for copies only if they share bits with the same lookups."""
+    import pyarrow as pa
+
+    table = pa.table({"e_id": range(12), "e_vec": [[1.0, 2.0]] * 12, "e_sets": [[1]] * 5 + [[2]] * 7})
+    entries = pairs.Entries.of(table, Rule(k=2, sets=True), 2)
+    assert entries.groups[0][0].tolist() == [0, 1, 5, 6] and entries.sets[0].ravel().tolist() == [1, 1, 2, 2]
